@@ -77,4 +77,4 @@ def recent(grid: DataFrame, months: int | None) -> DataFrame:
 
 def segment_days(grid: DataFrame) -> DataFrame:
     """Snapshots that need an account segment: the training ones and the live one."""
-    return grid.filter(F.col("is_training") | F.col("is_live")).select("snapshot_t").distinct()
+    return grid.filter(F.col("is_training") | F.col("is_live")).select("snapshot_t")

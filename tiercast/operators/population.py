@@ -72,7 +72,6 @@ def _account_keys(personas: DataFrame, days: DataFrame) -> DataFrame:
         .dropna(subset=["acct_id"])
         # One row per calendar month: small by construction.
         .join(F.broadcast(days), "snapshot_t", "left_semi")
-        .distinct()
     )
 
 
@@ -174,6 +173,7 @@ def panel_frame(
         )
     frame = tiers_by_role(personas, grid)
     at_t, at_check = F.col("at_t.user_category_persona"), F.col("at_check.user_category_persona")
+    # A plain conjunction that is never null: a filter on it splits and moves down.
     at_risk = (
         at_t.isNotNull()
         & ~at_t.isin(*cfg.exclude_tiers_at_t)
@@ -196,7 +196,7 @@ def panel_frame(
         at_t.alias("persona_at_t"),
         at_check.alias("persona_at_check"),
         F.col("at_check").isNotNull().alias("check_observed"),
-        F.coalesce(at_risk, F.lit(False)).alias("at_risk"),
+        at_risk.alias("at_risk"),
         _in_tiers(at_check, cfg.power_tiers).cast("int").alias("engaged"),
     )
 

@@ -59,10 +59,15 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
 
 
 def stage(spark: SparkSession, name: str, version: str, build) -> DataFrame:
-    """The table ``name`` of ``version``: built and written once per application."""
+    """The table ``name`` of ``version``: built and written once per application.
+
+    Rows are dealt evenly over as many files as the session has shuffle
+    partitions, whatever key they were computed by.
+    """
     key = f"{spark.sparkContext.applicationId}/{name}/{version}"
     if key not in _written:
         path = fresh_path(spark, name)
-        build().write.parquet(path)
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        build().repartition(files).write.parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])

@@ -128,24 +128,21 @@ def account_state_daily(spark: SparkSession, sf_dir: str, usage: DataFrame) -> D
     previous = F.lag("d").over(Window.orderBy("d"))  # a few hundred probe days
     # Calendar days up to each probe day: one row per day of the history.
     begun = F.coalesce(F.date_add(previous, 1), F.least(start, "d"))
-    calendar = probes.withColumn("_from", begun).select(
-        "d", F.explode(F.sequence("_from", "d")).alias("day")
-    )
+    numbered = probes.withColumn("_from", begun).withColumn("k", F.row_number().over(Window.orderBy("d")))
+    calendar = numbered.select("k", F.explode(F.sequence("_from", "d")).alias("day"))
     newest = (
         orders.filter(F.col("o_custkey") % 11 != 5)
         .withColumn("day", day)
         .join(F.broadcast(calendar), "day")
-        .groupBy(F.col("o_custkey").alias("acct_id"), "d")
+        .groupBy(F.col("o_custkey").alias("acct_id"), "k")
         .agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")).alias("last"))
     )
     # At most one row per probe day and account.
-    following = F.lead("d").over(Window.partitionBy("acct_id").orderBy("d"))
+    following = F.lead("k").over(Window.partitionBy("acct_id").orderBy("k"))
     spans = newest.withColumn("until", following).withColumn("_probes", _days(probes))
-    inside = F.filter(
-        "_probes", lambda d: (d >= F.col("d")) & (F.col("until").isNull() | (d < F.col("until")))
-    )
+    covered = F.slice("_probes", F.col("k"), F.coalesce("until", F.size("_probes") + 1) - F.col("k"))
     return spans.select(
-        "acct_id", F.explode(inside).alias("date"), (F.col("last.o_orderstatus") != "F").alias("paid")
+        "acct_id", F.explode(covered).alias("date"), (F.col("last.o_orderstatus") != "F").alias("paid")
     )
 
 
