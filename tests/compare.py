@@ -1,0 +1,60 @@
+"""Compare a Spark result with its SQL counterpart, ignoring row order."""
+
+from __future__ import annotations
+
+import datetime as dt
+import glob
+import math
+import os
+
+import duckdb
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        name = os.path.basename(path).removesuffix(".parquet")
+        con.execute(f"create view {name} as select * from read_parquet('{path}')")
+    return con
+
+
+def _plain(v):
+    if v is None or (isinstance(v, float) and math.isnan(v)):
+        return (0, "")
+    if isinstance(v, bool):
+        return (1, int(v))
+    if isinstance(v, (int, float)):
+        return (1, round(float(v), 9) + 0.0)
+    if isinstance(v, dt.datetime):
+        v = v.date() if v.time() == dt.time() else v
+    return (2, str(v))
+
+
+def as_rows(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(_plain(r[i]) for i in order) for r in rows)
+
+
+KINDS = {
+    "HUGEINT": "int", "BIGINT": "int", "INTEGER": "int", "UBIGINT": "int", "DOUBLE": "float", "DATE": "date",
+    "VARCHAR": "str", "BOOLEAN": "bool", "bigint": "int", "int": "int", "double": "float", "date": "date",
+    "string": "str", "boolean": "bool",
+}
+
+
+def differences(spark_df, con, sql: str) -> str | None:
+    """None if equal, else a short account of the first difference."""
+    cur = con.execute(sql)
+    want_types = {d[0]: KINDS.get(str(d[1]), str(d[1])) for d in cur.description}
+    want = as_rows(list(want_types), cur.fetchall())
+    got_types = {n: KINDS.get(t, t) for n, t in spark_df.dtypes}
+    if want_types != got_types:
+        odd = {k: (got_types.get(k), want_types.get(k)) for k in {*got_types, *want_types} if got_types.get(k) != want_types.get(k)}
+        return f"columns (spark, sql): {odd}"
+    got = as_rows(spark_df.columns, spark_df.collect())
+    if len(got) != len(want):
+        return f"{len(got)} rows, {len(want)} expected"
+    for a, b in zip(got, want):
+        if a != b:
+            return f"row {a[:8]} vs {b[:8]}"
+    return None

@@ -8,12 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tiercast.functions.columns import quoted
 from tiercast.operators.population import KEYS
 
 
+def _rankable(mean: Column) -> Column:
+    """Sums of doubles depend on their order in the last digits; ranks must not."""
+    return F.round(mean, 12)
+
+
 def mean_abs(phi: DataFrame, rows: DataFrame, features: DataFrame) -> DataFrame:
     """Mean absolute attribution of every listed feature over all rows."""
     n_rows = rows.agg(F.count("*")).scalar()
@@ -77,7 +82,7 @@ def gain(nodes: DataFrame, features: DataFrame, n_folds: int) -> DataFrame:
 
 def ranked(table: DataFrame) -> DataFrame:
     """Most important first, equal ones by name; as long as the feature list."""
-    return table.orderBy(F.desc("mean_abs_shap"), "sub_feature")
+    return table.orderBy(_rankable(F.col("mean_abs_shap")).desc(), "sub_feature")
 
 
 def importance_table(means: DataFrame, gains: DataFrame, directions: DataFrame) -> DataFrame:
@@ -101,7 +106,7 @@ def by_snapshot(phi: DataFrame, rows: DataFrame, features: DataFrame, n: int) ->
     counts = rows.groupBy("snapshot_t").agg(F.count("*").alias("n_rows"))
     sums = phi.groupBy("snapshot_t", "sub_feature").agg(F.sum(F.abs("phi")).alias("_s"))
     # One row per (snapshot, feature); the window never sees data rows.
-    best_first = Window.partitionBy("snapshot_t").orderBy(F.desc("_m"), "sub_feature")
+    best_first = Window.partitionBy("snapshot_t").orderBy(_rankable(F.col("_m")).desc(), "sub_feature")
     return (
         counts.withColumn("_names", listed)
         .select("snapshot_t", "n_rows", F.explode("_names").alias("sub_feature"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tiercast.config import ModelParams, PanelConfig
-from tiercast.sources.storage import fingerprint, stage
+from tiercast.sources.storage import stage
 from tiercast.sources.tables import scan
 
 # Scope used with these tables. Few small trees: the data has no planted signal.
@@ -24,6 +24,9 @@ TEST_CONFIG = PanelConfig(
     model=ModelParams(trees=5),
 )
 
+# The test tables read here.
+INPUTS = ("orders", "lineitem", "part")
+
 LOOK_BACK = 29
 
 
@@ -146,9 +149,8 @@ def account_state_daily(spark: SparkSession, sf_dir: str, usage: DataFrame) -> D
     )
 
 
-def domain_tables(spark: SparkSession, sf_dir: str) -> DomainTables:
+def domain_tables(spark: SparkSession, sf_dir: str, version: str) -> DomainTables:
     """The four domain tables, written once per application and input version."""
-    version = fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "part")])
     key = f"{sf_dir}/{version}"
     usage = stage(spark, "usage", key, lambda: usage_daily(spark, sf_dir))
     return DomainTables(
