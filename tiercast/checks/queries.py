@@ -18,7 +18,7 @@ from tiercast.plans.panel import Panel, build_panel
 from tiercast.plans.run import PanelTables, run_metrics
 from tiercast.plans.training import TrainingRun
 from tiercast.sources import metadata
-from tiercast.sources.storage import fingerprint
+from tiercast.sources.storage import fingerprint, write_through
 from tiercast.sources.tables import ingest_personas, scan
 from tiercast.sources.testdata import INPUTS, TEST_CONFIG, domain_tables
 
@@ -47,23 +47,32 @@ class Workspace:
     def grid(self) -> DataFrame:
         return calendar.pin(self.lazy_grid)
 
+    # --- operators on the domain tables -----------------------------------
+
     def segments(self) -> DataFrame:
         t = self.tables
         return population.segment_at_snapshot(t.personas, t.account_state, calendar.segment_days(self.grid))
 
+    def usage_long(self) -> DataFrame:
+        return usage_ops.windowed_usage(self.tables.usage, self.grid, self.tables.catalog, self.cfg)
+
     def frame(self, **changes) -> DataFrame:
         cfg = replace(self.cfg, **changes)
         training = calendar.recent(self.grid, cfg.training_months)
-        return population.panel_frame(self.tables.personas, training, self.segments(), cfg)
+        return population.panel_frame(self.tables.personas, training, self.panel.segments, cfg)
 
-    def usage_long(self) -> DataFrame:
-        return usage_ops.windowed_usage(self.tables.usage, self.grid, self.tables.catalog, self.cfg)
+    # --- operators on the panel, whose parts are written once --------------
+
+    @cached_property
+    def panel(self) -> Panel:
+        t = self.tables
+        return build_panel(self.grid, t.personas, t.usage, t.catalog, t.account_state, self.cfg)
 
     def at_risk(self) -> DataFrame:
-        return population.at_risk_rows(self.frame())
+        return population.at_risk_rows(self.panel.frame)
 
     def at_risk_usage(self) -> DataFrame:
-        return matrix.at_risk_usage(self.usage_long(), self.at_risk())
+        return matrix.at_risk_usage(self.panel.usage_long, self.at_risk())
 
     def features(self) -> DataFrame:
         return matrix.feature_list(self.at_risk_usage())
@@ -72,71 +81,63 @@ class Workspace:
     def names(self) -> list[str]:
         return matrix.feature_names(self.features(), self.cfg)
 
-    @cached_property
-    def model_names(self) -> list[str]:
-        return matrix.feature_names(matrix.model_features(self.features(), self.cfg), self.cfg)
-
     def training_set(self) -> DataFrame:
-        return matrix.training_set(self.frame(), self.usage_long(), self.model_names)
+        return matrix.training_set(self.panel.frame, self.panel.usage_long, self.panel.names)
 
     def live_cohort(self) -> DataFrame:
-        return population.live_population(self.tables.personas, self.grid, self.segments(), self.cfg)
+        return population.live_population(self.tables.personas, self.grid, self.panel.segments, self.cfg)
 
     def live_features(self) -> DataFrame:
         cohort = self.live_cohort().filter("at_risk")
-        return matrix.feature_list(matrix.at_risk_usage(self.usage_long(), cohort))
+        return matrix.feature_list(matrix.at_risk_usage(self.panel.usage_long, cohort))
 
     # --- surrogates: scores and attributions that need no model ----------
 
     def surrogate_scores(self) -> DataFrame:
         """A score with many ties: the log of a row's events, shifted by user."""
-        events = self.usage_long().groupBy(*KEYS).agg(F.sum("early_events").alias("n"))
+        events = self.panel.usage_long.groupBy(*KEYS).agg(F.sum("early_events").alias("n"))
         value = F.log(1 + F.coalesce("n", F.lit(0))) + (F.col("user_id") % 7) / 10
         return self.at_risk().join(events, KEYS, "left").select(
             *KEYS, "engaged", F.round(value, 2).alias("score")
         )
 
+    @cached_property
     def surrogate_phi(self) -> DataFrame:
         """Centred feature values, with the sign turned for names of odd length."""
-        wide = self.training_set()
-        cells = wide.unpivot(
-            KEYS, [quoted(n) for n in self.model_names], "sub_feature", "n"
+        cells = self.training_set().unpivot(
+            KEYS, [F.col(quoted(n)) for n in self.panel.names], "sub_feature", "n"
         ).withColumn("value", F.log1p(F.col("n").cast("double")))
         centre = cells.groupBy("sub_feature").agg(F.avg("value").alias("centre"))
         sign = F.when(F.length("sub_feature") % 2 == 0, 1.0).otherwise(-1.0)
-        return cells.join(centre, "sub_feature").select(
+        phi = cells.join(centre, "sub_feature").select(
             *KEYS, "sub_feature", "value", ((F.col("value") - F.col("centre")) * sign).alias("phi")
         )
+        return write_through(phi, "surrogate-phi")
 
     def surrogate_gain(self) -> DataFrame:
         """Users per feature."""
-        used = self.surrogate_phi().filter("value > 0")
+        used = self.surrogate_phi.filter("value > 0")
         return used.groupBy("sub_feature").agg(F.count_distinct("user_id").cast("double").alias("gain"))
 
     def model_feature_table(self) -> DataFrame:
-        return matrix.feature_table(self.spark, self.model_names)
+        return self.panel.features()
 
     def surrogate_direction(self) -> DataFrame:
-        phi = self.surrogate_phi()
+        phi = self.surrogate_phi
         values = phi.filter("value > 0").select("sub_feature", "value")
         return importance.direction(phi, values, self.at_risk(), self.model_feature_table())
 
     def surrogate_ranking(self) -> DataFrame:
-        means = importance.mean_abs(self.surrogate_phi(), self.at_risk(), self.model_feature_table())
+        means = importance.mean_abs(self.surrogate_phi, self.at_risk(), self.model_feature_table())
         return importance.importance_table(means, self.surrogate_gain(), self.surrogate_direction())
 
     def surrogate_by_snapshot(self) -> DataFrame:
         return importance.by_snapshot(
-            self.surrogate_phi(), self.at_risk(), self.model_feature_table(), self.cfg.top_n
+            self.surrogate_phi, self.at_risk(), self.model_feature_table(), self.cfg.top_n
         )
 
     # --- model-bound parts, fitted once ----------------------------------
 
-    @cached_property
-    def panel(self) -> Panel:
-        t = self.tables
-        return build_panel(self.grid, t.personas, t.usage, t.catalog, t.account_state, self.cfg)
-
     @cached_property
     def run(self) -> TrainingRun:
         return TrainingRun(self.panel, self.cfg)
@@ -246,20 +247,20 @@ def at_risk_cohort(w: Workspace) -> DataFrame:
 
 
 def sparse_matrix(w: Workspace) -> DataFrame:
-    packed = matrix.sparse_matrix(w.at_risk().drop("engaged"), w.usage_long(), w.features())
+    packed = matrix.sparse_matrix(w.at_risk().drop("engaged"), w.panel.usage_long, w.features())
     joined = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("indices", "values")]
     return packed.select(*KEYS, *joined)
 
 
 def run_counts(w: Workspace) -> DataFrame:
     return clean.count_rows(
-        w.usage_long(), n_features="sub_feature", n_users="user_id", n_snapshots="snapshot_t"
+        w.panel.usage_long, n_features="sub_feature", n_users="user_id", n_snapshots="snapshot_t"
     )
 
 
 def log_features(w: Workspace) -> DataFrame:
-    wide = matrix.log_features(w.training_set().drop("engaged"), w.model_names)
-    return wide.select(*KEYS, *[F.round(quoted(n), 6).alias(n) for n in w.model_names])
+    wide = matrix.log_features(w.training_set().drop("engaged"), w.panel.names)
+    return wide.selectExpr(*KEYS, *[f"round({quoted(n)}, 6) AS {quoted(n)}" for n in w.panel.names])
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -280,7 +281,8 @@ def unseen_features(w: Workspace) -> DataFrame:
 
 
 def _live_matrix(w: Workspace) -> DataFrame:
-    return live_matrix(w.tables.personas, w.grid, w.segments(), w.usage_long(), w.model_names, w.cfg)
+    p = w.panel
+    return live_matrix(w.tables.personas, w.grid, p.segments, p.usage_long, p.names, w.cfg)
 
 
 QUERIES = {
@@ -306,12 +308,12 @@ QUERIES = {
     "exclusion_counts": lambda w: population.exclusion_counts(w.tables.personas, w.cfg.flag_columns),
     "user_join_date": lambda w: population.join_dates(w.tables.personas, w.cfg.flag_columns),
     "segment_at_snapshot": lambda w: w.segments(),
-    "segment_counts": lambda w: population.segment_counts(w.segments()),
+    "segment_counts": lambda w: population.segment_counts(w.panel.segments),
     "segment_coverage": lambda w: population.segment_coverage(
-        w.tables.personas, w.segments(), calendar.segment_days(w.grid)
+        w.tables.personas, w.panel.segments, calendar.segment_days(w.grid)
     ),
     "panel_frame": lambda w: w.frame(),
-    "at_risk": lambda w: w.at_risk(),
+    "at_risk": lambda w: population.at_risk_rows(w.frame()),
     "at_risk_cohort": at_risk_cohort,
     "live_population": lambda w: w.live_cohort(),
     # usage
@@ -327,7 +329,9 @@ QUERIES = {
     # matrix
     "feature_list": lambda w: w.features(),
     "model_features": lambda w: matrix.model_features(w.features(), w.cfg),
-    "feature_matrix": lambda w: matrix.feature_matrix(w.at_risk().drop("engaged"), w.usage_long(), w.names),
+    "feature_matrix": lambda w: matrix.feature_matrix(
+        w.at_risk().drop("engaged"), w.panel.usage_long, w.names
+    ),
     "sparse_matrix": sparse_matrix,
     "training_set": lambda w: w.training_set(),
     "log_features": log_features,

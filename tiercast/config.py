@@ -50,6 +50,7 @@ class PanelConfig:
     seed: int = 42
     top_n: int = 10
     wide_top: int = 40
+    parallel_fits: int = 5
     model: ModelParams = field(default_factory=ModelParams)
 
     def __post_init__(self) -> None:

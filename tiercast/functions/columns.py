@@ -11,9 +11,13 @@ from pyspark.sql import Column, functions as F
 UNLABELED = "(unlabeled)"
 
 
-def quoted(name: str) -> Column:
-    """Column by exact name, also when the name holds dots or backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def quoted(name: str) -> str:
+    """``name`` as SQL text, also when it holds dots, blanks or backticks.
+
+    Wide selections are written as text: one call instead of one per function
+    and column.
+    """
+    return "`" + name.replace("`", "``") + "`"
 
 
 def safe_date(col: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -59,9 +61,13 @@ def score(rows: DataFrame, model: GBTClassificationModel, name: str = "score") -
 
 def fit_folds(folded: DataFrame, pos_weight: float, cfg: PanelConfig) -> dict[int, GBTClassificationModel]:
     """One model per fold, each fitted without that fold's users."""
-    return {
-        k: fit(folded.filter(F.col("fold") != k), pos_weight, cfg) for k in range(cfg.n_folds)
-    }
+
+    def one(k: int) -> GBTClassificationModel:
+        return fit(folded.filter(F.col("fold") != k), pos_weight, cfg)
+
+    # The fits are independent; run together, their many small jobs fill the cluster.
+    with ThreadPool(min(cfg.parallel_fits, cfg.n_folds)) as pool:
+        return dict(enumerate(pool.map(inheritable_thread_target(folded.sparkSession)(one), range(cfg.n_folds))))
 
 
 def oof_scores(folded: DataFrame, models: Mapping[int, GBTClassificationModel]) -> DataFrame:

@@ -134,6 +134,6 @@ def per_row(scored: DataFrame, phi: DataFrame, top: Sequence[str]) -> DataFrame:
         .pivot("sub_feature", list(top))
         .agg(F.sum("phi"))
     )
-    return wide.select(
-        *carried, *[F.coalesce(quoted(n), F.lit(0.0)).alias(f"shap__{n}") for n in top]
+    return wide.selectExpr(
+        *carried, *[f"coalesce({quoted(n)}, 0D) AS {quoted('shap__' + n)}" for n in top]
     )

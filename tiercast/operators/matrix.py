@@ -68,8 +68,8 @@ def feature_matrix(at_risk: DataFrame, usage_long: DataFrame, names: Sequence[st
         .pivot("sub_feature", list(names))
         .agg(F.sum("early_events"))
     )
-    return wide.select(
-        *carried, *[F.coalesce(quoted(n), F.lit(0)).cast("bigint").alias(n) for n in names]
+    return wide.selectExpr(
+        *map(quoted, carried), *[f"coalesce({quoted(n)}, 0L) AS {quoted(n)}" for n in names]
     )
 
 
@@ -100,14 +100,14 @@ def training_set(frame: DataFrame, usage_long: DataFrame, names: Sequence[str])
 def log_features(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
     """Event counts on the log1p scale; the other columns stay."""
     wanted = set(names)
-    return matrix.select(
-        *[F.log1p(quoted(c)).alias(c) if c in wanted else quoted(c) for c in matrix.columns]
+    return matrix.selectExpr(
+        *[f"log1p({quoted(c)}) AS {quoted(c)}" if c in wanted else quoted(c) for c in matrix.columns]
     )
 
 
 def logged_array(names: Sequence[str]) -> Column:
     """The named count columns as one array of log1p values."""
-    return F.array(*[F.log1p(quoted(n).cast("double")) for n in names])
+    return F.expr("array(" + ", ".join(f"log1p({quoted(n)})" for n in names) + ")")
 
 
 def align_features(present: DataFrame, trained: DataFrame) -> DataFrame:
