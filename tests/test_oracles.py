@@ -1,0 +1,41 @@
+"""Every query with a SQL counterpart, and the row counts of the others."""
+
+import pytest
+from compare import connect, differences
+from conftest import SF_DIR
+
+import __spark_entry__ as entry_point
+from tiercast.checks.oracles import ORACLES
+from tiercast.checks.queries import QUERIES
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF_DIR)
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_equals_sql(name, spark, con):
+    df = entry_point.queries()[name](spark, SF_DIR)
+    assert differences(df, con, ORACLES[name]) is None
+
+
+@pytest.mark.parametrize("name", [q for q in QUERIES if q not in ORACLES])
+def test_model_bound_query_runs(name, work):
+    assert QUERIES[name](work).count() > 0
+
+
+def test_every_oracle_belongs_to_a_query():
+    assert set(ORACLES) <= set(QUERIES)
+
+
+def test_entry(spark):
+    df = entry_point.entry(spark)
+    assert df.columns[:3] == ["user_id", "snapshot_t", "engaged"]
+    assert df.count() == 544
+
+
+def test_same_tables_are_derived_once(spark, work):
+    from tiercast.checks.queries import workspace
+
+    assert workspace(spark, SF_DIR + "/") is work

@@ -59,15 +59,23 @@ def score(rows: DataFrame, model: GBTClassificationModel, name: str = "score") -
     )
 
 
+def _together(spark: SparkSession, task, items: Sequence, limit: int) -> list:
+    """Run independent Spark work side by side, as cross-validation in Spark ML does.
+
+    The many small jobs of one fit leave most of a cluster idle.
+    """
+    with ThreadPool(max(1, min(limit, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(task), items)
+
+
 def fit_folds(folded: DataFrame, pos_weight: float, cfg: PanelConfig) -> dict[int, GBTClassificationModel]:
     """One model per fold, each fitted without that fold's users."""
 
     def one(k: int) -> GBTClassificationModel:
         return fit(folded.filter(F.col("fold") != k), pos_weight, cfg)
 
-    # The fits are independent; run together, their many small jobs fill the cluster.
-    with ThreadPool(min(cfg.parallel_fits, cfg.n_folds)) as pool:
-        return dict(enumerate(pool.map(inheritable_thread_target(folded.sparkSession)(one), range(cfg.n_folds))))
+    models = _together(folded.sparkSession, one, range(cfg.n_folds), cfg.parallel_fits)
+    return dict(enumerate(models))
 
 
 def oof_scores(folded: DataFrame, models: Mapping[int, GBTClassificationModel]) -> DataFrame:
@@ -115,8 +123,9 @@ def tree_nodes(spark: SparkSession, models: Mapping[int, GBTClassificationModel]
 
     As many rows as trees times nodes per tree: a model parameter, not data size.
     """
-    frames = []
-    for fold, model in models.items():
+
+    def nodes_of(item: tuple[int, GBTClassificationModel]) -> DataFrame:
+        fold, model = item
         path = fresh_path(spark, "model")
         model.save(path)
         weights = spark.createDataFrame(
@@ -134,5 +143,6 @@ def tree_nodes(spark: SparkSession, models: Mapping[int, GBTClassificationModel]
             F.col("nodeData.split.featureIndex").alias("feature"),
             F.get("nodeData.split.leftCategoriesOrThreshold", 0).alias("threshold"),
         )
-        frames.append(nodes.join(F.broadcast(weights), "tree"))
-    return _union(frames)
+        return nodes.join(F.broadcast(weights), "tree")
+
+    return _union(_together(spark, nodes_of, list(models.items()), len(models)))

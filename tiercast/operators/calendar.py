@@ -78,3 +78,14 @@ def recent(grid: DataFrame, months: int | None) -> DataFrame:
 def segment_days(grid: DataFrame) -> DataFrame:
     """Snapshots that need an account segment: the training ones and the live one."""
     return grid.filter(F.col("is_training") | F.col("is_live")).select("snapshot_t")
+
+
+def on_days(df: DataFrame, column: str, days: DataFrame) -> DataFrame:
+    """The rows of ``df`` dated on one of ``days``, a one-column slice of the grid.
+
+    The few days become a literal list: it prunes the folders of a history laid
+    out by day, which a join would only do at run time and only if Spark deems
+    the other side selective.
+    """
+    wanted = sorted({row[0] for row in days.collect()})  # a handful per calendar month
+    return df.filter(F.col(column).isin(wanted) if wanted else F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tiercast.config import PanelConfig
 from tiercast.functions.columns import any_of, safe_date
+from tiercast.operators.calendar import on_days
 
 KEYS = ["user_id", "snapshot_t"]
 
@@ -66,13 +67,8 @@ def exclusion_counts(personas: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def _account_keys(personas: DataFrame, days: DataFrame) -> DataFrame:
-    return (
-        _dated(personas, "acct_id")
-        .withColumnRenamed("score_date", "snapshot_t")
-        .dropna(subset=["acct_id"])
-        # One row per calendar month: small by construction.
-        .join(F.broadcast(days), "snapshot_t", "left_semi")
-    )
+    dated = _dated(personas, "acct_id").withColumnRenamed("score_date", "snapshot_t")
+    return on_days(dated.dropna(subset=["acct_id"]), "snapshot_t", days)
 
 
 def segment_at_snapshot(personas: DataFrame, state: DataFrame, days: DataFrame) -> DataFrame:
@@ -83,13 +79,13 @@ def segment_at_snapshot(personas: DataFrame, state: DataFrame, days: DataFrame)
     An account that holds many of the users stays a join partition that
     adaptive execution may split: the result is regrouped by user right after.
     """
+    dated = state.select(
+        F.col("acct_id"),
+        F.to_date("date").alias("snapshot_t"),
+        F.coalesce(F.col("paid"), F.lit(False)).alias("paid"),
+    )
     by_day = (
-        state.select(
-            F.col("acct_id"),
-            F.to_date("date").alias("snapshot_t"),
-            F.coalesce(F.col("paid"), F.lit(False)).alias("paid"),
-        )
-        .join(F.broadcast(days), "snapshot_t", "left_semi")
+        on_days(dated, "snapshot_t", days)
         .groupBy("acct_id", "snapshot_t")
         .agg(F.bool_or("paid").alias("paid"))
     )
@@ -137,10 +133,12 @@ def tiers_by_role(personas: DataFrame, grid: DataFrame) -> DataFrame:
     The tier columns stay structs so that "no row" and "row without a tier" differ.
     """
     picked = F.struct("acct_id", "user_category_persona")
+    roles = _roles(grid)
+    dated = _dated(personas, "acct_id", "user_category_persona")
     return (
-        _dated(personas, "acct_id", "user_category_persona")
+        on_days(dated, "score_date", roles.select("score_date"))
         # Two rows per calendar month: small by construction.
-        .join(F.broadcast(_roles(grid)), "score_date")
+        .join(F.broadcast(roles), "score_date")
         .groupBy(*KEYS, "window_start")
         .agg(
             F.min(F.when(~F.col("is_check"), picked)).alias("at_t"),

@@ -13,10 +13,10 @@ def write_parquet(df: DataFrame, path: str, *partition_by: str) -> None:
 def write_usage(usage_long: DataFrame, path: str) -> None:
     """Windowed usage, one folder per snapshot.
 
-    Rows are spread over (snapshot, user) first, so that no snapshot is written
-    by a single task and no task opens a file for every snapshot at random.
+    Ranges of (snapshot, user) go to the writing tasks: a task meets one or two
+    snapshots and so opens few files, and a large snapshot has many writers.
     """
-    write_parquet(usage_long.repartition("snapshot_t", "user_id"), path, "snapshot_t")
+    write_parquet(usage_long.repartitionByRange("snapshot_t", "user_id"), path, "snapshot_t")
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
