@@ -1,0 +1,122 @@
+import datetime as dt
+import random
+
+import pytest
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.sql import functions as F
+
+from tiercast.operators import metrics, ranks, splits
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """Users with one to four rows; a third of all users are alike."""
+    rng = random.Random(1)
+    data = []
+    for u in range(900):
+        n = 1 if u % 3 == 0 else rng.randint(1, 4)
+        for m in range(n):
+            y = 0 if u % 3 == 0 else int(rng.random() < 0.1)
+            data.append((u, dt.date(2024, m + 1, 28), y))
+    return spark.createDataFrame(data, "user_id bigint, snapshot_t date, engaged int").cache()
+
+
+def test_folds_keep_users_together_and_are_even(rows):
+    folded = splits.group_folds(rows, 5, 42)
+    assert folded.count() == rows.count()
+    assert folded.groupBy("user_id").agg(F.count_distinct("fold").alias("n")).filter("n > 1").isEmpty()
+    per_fold = folded.groupBy("fold").agg(
+        F.count_distinct("user_id").alias("users"), F.count("*").alias("n"), F.sum("engaged").alias("p")
+    ).collect()
+    for column, slack in (("users", 1), ("n", 25), ("p", 8)):
+        sizes = [r[column] for r in per_fold]
+        assert max(sizes) - min(sizes) <= slack, (column, sizes)
+
+
+def test_folds_repeat_and_follow_the_seed(rows):
+    def draw(seed):
+        return sorted(map(tuple, splits.fold_of_user(rows, 5, seed).collect()))
+
+    assert draw(42) == draw(42) != draw(43)
+
+
+def test_holdout_parts_users(rows):
+    marked = splits.group_holdout(rows, 0.2, 42)
+    both = marked.groupBy("user_id").agg(F.count_distinct("is_test").alias("n")).filter("n > 1")
+    assert both.isEmpty()
+    share = marked.select("user_id", "is_test").distinct().agg(F.avg(F.col("is_test").cast("int"))).first()[0]
+    assert 0.15 < share < 0.25
+
+
+def test_permutation_keeps_rows_and_class_counts(rows):
+    shuffled = splits.permute_labels(rows, 42)
+    assert shuffled.columns == rows.columns
+    keys = ["user_id", "snapshot_t"]
+    assert shuffled.select(*keys).exceptAll(rows.select(*keys)).isEmpty()
+    assert shuffled.count() == rows.count()
+    assert shuffled.agg(F.sum("engaged")).first() == rows.agg(F.sum("engaged")).first()
+    assert shuffled.exceptAll(rows).count() > 50
+
+
+def test_rank_is_that_of_one_ordered_window(spark):
+    rng = random.Random(2)
+    data = [(i, rng.choice([0, 5, 2**20, 2**31, 2**32 - 1, rng.randrange(2**32)])) for i in range(3000)]
+    df = spark.createDataFrame(data, "id bigint, h bigint")
+    want = {i: n for n, (i, _) in enumerate(sorted(data, key=lambda r: (r[1], r[0])), 1)}
+    got = {r.id: r.n for r in ranks.rank_by_hash(df, "h", ["id"], "n").collect()}
+    assert got == want
+
+
+def brute_force(pairs):
+    pos = [s for s, y in pairs if y]
+    neg = [s for s, y in pairs if not y]
+    auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    ap = seen = hits = 0
+    for score in sorted({s for s, _ in pairs}, reverse=True):
+        tied = [y for s, y in pairs if s == score]
+        seen, hits = seen + len(tied), hits + sum(tied)
+        ap += sum(tied) / len(pos) * hits / seen
+    return auc, ap
+
+
+@pytest.mark.parametrize("kind", ["ties", "band", "spread", "one_score"])
+def test_metrics_equal_brute_force(spark, kind):
+    rng = random.Random(3)
+    draw = {
+        "ties": lambda: rng.randint(0, 9) / 10,
+        "band": lambda: 0.3 + rng.random() * 1e-9,
+        "spread": lambda: 10 ** rng.uniform(-9, 0),
+        "one_score": lambda: 0.5,
+    }[kind]
+    pairs = [(draw(), int(rng.random() < 0.2)) for _ in range(1500)]
+    scored = spark.createDataFrame(pairs, "score double, engaged int")
+    got = metrics.ranking_metrics(scored).first()
+    auc, ap = brute_force(pairs)
+    assert got.roc_auc == pytest.approx(auc, abs=1e-12)
+    assert got.average_precision == pytest.approx(ap, abs=1e-12)
+    spark_auc = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0).evaluate(
+        scored.withColumn("label", F.col("engaged").cast("double"))
+    )
+    assert got.roc_auc == pytest.approx(spark_auc, abs=1e-9)
+
+
+def test_metrics_per_group_and_single_class(spark):
+    scored = spark.createDataFrame(
+        [("a", 0.9, 1), ("a", 0.1, 0), ("b", 0.5, 0), ("b", 0.6, 0), ("c", 0.5, 1)], "g string, score double, engaged int"
+    )
+    got = {r.g: (r.roc_auc, r.average_precision) for r in metrics.ranking_metrics(scored, ["g"]).collect()}
+    assert got == {"a": (1.0, 1.0), "b": (None, None), "c": (None, 1.0)}
+
+
+def test_a_narrow_band_of_scores_falls_into_many_buckets(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(0.3 + rng.random() * 1e-6,) for _ in range(5000)], "score double")
+    sizes = ranks.bucket_by_quantile(df, "score", "b").groupBy("b").count()
+    assert sizes.count() > 500 and sizes.agg(F.max("count")).first()[0] < 100
+
+
+def test_class_statistics(spark):
+    rows = spark.createDataFrame([(1,), (0,), (0,), (0,)], "engaged int")
+    assert tuple(metrics.base_rate(rows).first()) == (4, 1, 0.25)
+    assert metrics.class_weight(rows).first().pos_weight == 3
+    assert metrics.class_weight(rows.filter("engaged = 0")).first().pos_weight == 3
