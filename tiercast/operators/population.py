@@ -24,17 +24,16 @@ def _flagged(personas: DataFrame, flags: Sequence[str]) -> Column:
     return any_of([F.col(f) for f in flags])
 
 
-def flagged_users(personas: DataFrame, flags: Sequence[str]) -> DataFrame:
-    return personas.filter(_flagged(personas, flags)).select("user_id").distinct()
-
-
 def exclude_flagged_users(personas: DataFrame, flags: Sequence[str]) -> DataFrame:
     """Drop every row of a user who was flagged on any day.
 
     No broadcast hint: the flagged set grows with the users, so Spark decides
-    from its measured size.
+    from its measured size. The flags stay in the distinct key on purpose: its
+    partitioning then differs from the join's, both join sides come straight
+    from a shuffle, and Spark can split a user who holds much of the history.
     """
-    return personas.join(flagged_users(personas, flags), "user_id", "left_anti")
+    flagged = personas.filter(_flagged(personas, flags)).select("user_id", *flags).distinct()
+    return personas.join(flagged.select("user_id"), "user_id", "left_anti")
 
 
 def user_facts(personas: DataFrame, flags: Sequence[str]) -> DataFrame:
@@ -74,21 +73,18 @@ def _account_keys(personas: DataFrame, days: DataFrame) -> DataFrame:
 def segment_at_snapshot(personas: DataFrame, state: DataFrame, days: DataFrame) -> DataFrame:
     """Segment per (user, snapshot): Paid if any of the user's accounts is paid that day.
 
-    The state side is cut to the snapshot days and to one row per account and
-    day before it is shuffled, so a repeated state row cannot multiply users.
-    An account that holds many of the users stays a join partition that
-    adaptive execution may split: the result is regrouped by user right after.
+    The state side is cut to the snapshot days and to distinct rows before the
+    join, so a repeated state row cannot multiply users. It is made distinct by
+    (account, day, paid), not aggregated by the join key: both join sides then
+    come straight from a shuffle, and Spark can split an account that holds
+    many of the users. The rows are regrouped by user right after.
     """
     dated = state.select(
         F.col("acct_id"),
         F.to_date("date").alias("snapshot_t"),
         F.coalesce(F.col("paid"), F.lit(False)).alias("paid"),
     )
-    by_day = (
-        on_days(dated, "snapshot_t", days)
-        .groupBy("acct_id", "snapshot_t")
-        .agg(F.bool_or("paid").alias("paid"))
-    )
+    by_day = on_days(dated, "snapshot_t", days).distinct()
     return (
         _account_keys(personas, days)
         .join(by_day, ["acct_id", "snapshot_t"])

@@ -23,7 +23,9 @@ def usage_scope(usage: DataFrame, cfg: PanelConfig) -> DataFrame:
 
 
 def denied_table(spark: SparkSession, cfg: PanelConfig) -> DataFrame:
-    return spark.createDataFrame([(name,) for name in cfg.denied_features], "sub_feature string")
+    """The configured denylist; as short as the configuration, hence broadcast."""
+    rows = [(name,) for name in cfg.denied_features]
+    return F.broadcast(spark.createDataFrame(rows, "sub_feature string"))
 
 
 def drop_denied(usage: DataFrame, denied: DataFrame) -> DataFrame:
@@ -69,12 +71,19 @@ def counted_catalog(catalog: DataFrame, cfg: PanelConfig) -> DataFrame:
 
     A repeated catalog key multiplies the sums of its events; carrying the
     number of copies gives that result without multiplying the fact rows.
+    Grouping also by the flag, the same for all rows kept, keeps the shuffle of
+    the grouping apart from that of the join, so that Spark can split a hot
+    feature there should the catalog be too large to broadcast.
     """
-    keys = catalog.filter(F.col("is_counted").eqNullSafe(True)).select(
-        "product", "feature", F.coalesce("sub_feature", F.lit("")).alias("_sub")
-    )
+    counted = catalog.filter(F.col("is_counted").eqNullSafe(True))
     copies = F.lit(1).cast("bigint") if cfg.dedupe_catalog else F.count("*")
-    return keys.groupBy("product", "feature", "_sub").agg(copies.alias("copies"))
+    return (
+        counted.groupBy(
+            "product", "feature", F.coalesce("sub_feature", F.lit("")).alias("_sub"), "is_counted"
+        )
+        .agg(copies.alias("copies"))
+        .drop("is_counted")
+    )
 
 
 def windowed_usage(
