@@ -17,6 +17,10 @@ from tiercast.operators.population import KEYS
 from tiercast.sources.storage import fresh_path, shared_folder
 
 
+# Every tree level runs a job over the training rows; smaller tasks would be all overhead.
+ROWS_PER_TASK = 5_000
+
+
 def model_rows(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
     """The matrix with its feature columns packed into ``x``, on the log1p scale."""
     wanted = set(names)
@@ -32,7 +36,8 @@ def fit(rows: DataFrame, pos_weight: float, cfg: PanelConfig) -> GBTClassificati
     """
     spark = rows.sparkSession
     shared_folder(spark)  # boosting cuts its lineage in the checkpoint folder
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, rows.count() // ROWS_PER_TASK))
     data = (
         rows.repartition(parts, *KEYS)
         .sortWithinPartitions(*KEYS)

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tiercast.config import PanelConfig
 from tiercast.operators import attribution, boosting, importance, metrics, splits
-from tiercast.operators.population import KEYS
 from tiercast.plans.panel import Panel, nonzero_values
 from tiercast.sources.storage import write_through
 
