@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, records, simhash
+from . import decontamination, embeddings, language, packing, records, simhash, toxicity, urls
 from .common import read
 
 
@@ -14,10 +14,26 @@ def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digests(records.write_records(read(spark, sf_dir, "documents")))
 
 
+def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op7_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(read(spark, sf_dir, "pages"))
+
+
 def op9_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(read(spark, sf_dir, "documents")))
 
@@ -27,7 +43,11 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_binary_records, op4_simhash_gray_index, op9_concat_and_cut, op10_wu_manber)
+    f.__name__: f
+    for f in (
+        op2_binary_records, op3_cross_parsing, op4_simhash_gray_index, op5_pivot_permutation,
+        op7_nb_ngrams, op8_digest_array, op9_concat_and_cut, op10_wu_manber,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_digest_array": urls.ORACLE}
