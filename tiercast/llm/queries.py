@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, language, packing, records, simhash, toxicity, urls
+from . import decontamination, embeddings, extraction, language, packing, records, simhash, toxicity, urls
 from .common import read
 
 
@@ -26,6 +26,10 @@ def op5_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op6_boosted_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_texts(read(spark, sf_dir, "pages"))
+
+
 def op7_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_binary_records, op3_cross_parsing, op4_simhash_gray_index, op5_pivot_permutation,
-        op7_nb_ngrams, op8_digest_array, op9_concat_and_cut, op10_wu_manber,
+        op6_boosted_dom, op7_nb_ngrams, op8_digest_array, op9_concat_and_cut, op10_wu_manber,
     )
 }
 
