@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,8 +28,15 @@ def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with columns of these names out of the way, for an operator that adds columns of the names."""
+    taken = {n.lower() for n in names}
+    return df.withColumnsRenamed({c: f"__own_{c}" for c in df.columns if c.lower() in taken})
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` in ``df``, those set aside under their own names again."""
+    return df.select(*(F.col(f"`__own_{c}`").alias(c) if f"__own_{c}" in df.columns else F.col(f"`{c}`") for c in like.columns))
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:

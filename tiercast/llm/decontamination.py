@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, text_column
+from .common import restored, set_aside, slices, text_column
 
 WINDOW = 13
 BLOCK = 2
@@ -165,4 +165,5 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
-    return judge(find(docs, benchmark)).where(~F.col("contaminated")).select(*docs.columns)
+    aside = set_aside(docs, "n_words", "hits", "items", "n_hit", "n_items", "items_sha256", "contaminated")
+    return restored(judge(find(aside, benchmark)).where(~F.col("contaminated")), docs)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, learnable, slices, text_column
+from .common import held_out, learnable, restored, set_aside, slices, text_column
 
 #: Languages are learnt from rows whose crc32 of the id, modulo FOLDS, is not HELD.
 FOLDS, HELD = 4, 2
@@ -222,6 +222,5 @@ def predictions(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:
 
 def with_language(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:
     """The rows of ``docs`` in some learnt language, with their columns; null and letterless texts go."""
-    own = {c: f"own_{c}" for c in docs.columns if c in ("lang_pred", "score")}
-    found = identify(docs.withColumnsRenamed(own), references(docs, sample)).where(F.col("lang_pred") != UNKNOWN)
-    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
+    found = identify(set_aside(docs, "lang_pred", "score"), references(docs, sample))
+    return restored(found.where(F.col("lang_pred") != UNKNOWN), docs)

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, extraction, language, packing, records, simhash, toxicity, urls
+from . import decontamination, embeddings, extraction, language, packing, quality, records, simhash, toxicity, urls
 from .common import read
 
 
+def op1_cumulative_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ratings(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_digests(records.write_records(read(spark, sf_dir, "documents")))
 
@@ -49,7 +53,7 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_binary_records, op3_cross_parsing, op4_simhash_gray_index, op5_pivot_permutation,
+        op1_cumulative_link, op2_binary_records, op3_cross_parsing, op4_simhash_gray_index, op5_pivot_permutation,
         op6_boosted_dom, op7_nb_ngrams, op8_digest_array, op9_concat_and_cut, op10_wu_manber,
     )
 }

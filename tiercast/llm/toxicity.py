@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, learnable, slices, text_column
+from .common import held_out, learnable, restored, set_aside, slices, text_column
 
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 20
@@ -190,6 +190,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), how:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not judged toxic, with their columns."""
-    scored = score(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c in ("score", "predicted")}), train(docs, labels))
-    kept = scored.where(F.col("predicted") == 0)
-    return kept.drop("score", "predicted").withColumnsRenamed({f"own_{c}": c for c in docs.columns if c in ("score", "predicted")})
+    scored = score(set_aside(docs, "score", "predicted"), train(docs, labels))
+    return restored(scored.where(F.col("predicted") == 0), docs)
