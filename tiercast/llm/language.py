@@ -85,7 +85,8 @@ class CrossParser:
 
     ``table[state * symbols + symbol]`` is the next state times ``symbols``. If
     the phrase cannot go on, the entry leads on from the root by the symbol and
-    carries the phrase mark. A symbol of no reference is a phrase of its own.
+    carries the mark of a new phrase. A symbol that the reference lacks is a
+    phrase of its own and leads back to the root.
     """
 
     def __init__(self, references: dict[str, bytes]):
@@ -101,6 +102,7 @@ class CrossParser:
             for state, steps in enumerate(follow):
                 table[state, self.symbol[list(steps)]] = [(base + t) * self.symbols for t in steps.values()]
             first = np.where(table[0] >= 0, table[0], base * self.symbols)
+            table[0] = -1  # whatever is read at the root starts a phrase
             tables.append(np.where(table >= 0, table, first[None, :] - (1 << 31)).astype(np.int32))
             self.roots.append(base * self.symbols)
             base += len(follow)
@@ -139,7 +141,6 @@ class CrossParser:
             nxt = self.table[state[:, :n] + symbols[step, :n]]
             count[:, :n] -= nxt >> 31
             state[:, :n] = nxt & _PLACE
-        count += 1  # the phrase that a stretch ends in
         np.add.at(out, np.array(owner)[order], count.T)
 
     def decide(self, texts: list[str]) -> list[tuple[str, float]]:

@@ -7,8 +7,9 @@ fingerprints are sorted by Gray rank, where neighbours differ in few bits, and
 share. A search walks down from the roots, adds up only the differences in bits
 that a node fixes beyond its parent, and drops the whole node once they exceed
 ``k``; what is left at the leaves is the exact distance. A group of more than
-``GROUP`` fingerprints is dealt anew by its remaining bits, as often as needed,
-so a frequent block value meets no limit and costs no pair.
+``GROUP`` fingerprints is dealt anew by its remaining bits or, where those do
+not part it, in pairs of slices, so a frequent block value meets no limit and
+costs no pair.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ WORDS = 4
 BITS = 4
 SEED = 42
 FAN = 8
-#: Distinct fingerprints of a (block, value) group that one index holds; larger groups are dealt anew.
+#: Distinct fingerprints that one index holds; larger (block, value) groups are dealt anew or cut into slices.
 GROUP = 4096
 #: Rows indexed at once, and pairs of a row and a node examined at once, in a task.
 BUFFER, FRONTIER = 65_536, 1_000_000
@@ -79,9 +80,11 @@ def _signed(x: int) -> int:
 
 
 def _refine(mask: int, parts: int) -> list[int]:
-    """``mask`` with one of ``parts`` blocks of its free bits added, for each block."""
+    """``mask`` with one of ``parts`` blocks of its free bits added, for each block; none if there are fewer bits."""
     free = [b for b in range(64) if not mask >> b & 1]
-    return [mask | sum(1 << int(b) for b in block) for block in np.array_split(np.array(free), parts) if len(block)]
+    if len(free) < parts:
+        return []  # two words may differ in all of them
+    return [mask | sum(1 << int(b) for b in block) for block in np.array_split(np.array(free), parts)]
 
 
 def _gray_rank(fp: Column) -> Column:
@@ -91,34 +94,55 @@ def _gray_rank(fp: Column) -> Column:
     return fp
 
 
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` once for each finer mask, as ``finer``: each of ``parts`` blocks of the mask's free bits added."""
+    masks = [r.mask & _FULL for r in rows.select("mask").distinct().collect()]
+    to = rows.sparkSession.createDataFrame(
+        [(_signed(m), [_signed(c) for c in _refine(m, parts)]) for m in masks], "mask long, finer array<long>")
+    # One row for each mask of a round: at most (bits + 1) ** round, whatever the data.
+    return rows.join(F.broadcast(to), "mask").withColumn("finer", F.explode("finer"))
+
+
 def groups(distinct: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
-    """(mask, value, node, fp): rows that agree on the bits of ``mask``, no group above ``group`` rows.
+    """(mask, value, first, second, node, fp): rows to compare, together if all but ``fp`` and ``node`` agree.
 
-    Each round deals only the groups that are still too large, by each block of
-    their free bits. At log2(group) free bits a group of distinct fingerprints
-    cannot be too large any more, so the rounds end.
+    Rows meet by the bits of ``mask``. A group above ``group`` rows is dealt
+    anew by blocks of its free bits if that at least halves the pairs in it.
+    Else it is a dense cluster, which more bits do not part: it is cut into
+    slices, and each pair of slices is compared on its own. Either way every
+    pair within ``bits`` meets, and nothing larger than two slices is held.
     """
-    spark = distinct.sparkSession
     parts = bits + 1
+    whole = [F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("second")]
+    out: DataFrame | None = None
 
-    def deal(rows: DataFrame, masks: list[int]) -> DataFrame:
-        to = spark.createDataFrame(
-            [(_signed(m), [_signed(c) for c in _refine(m, parts)]) for m in masks], "mask long, finer array<long>")
-        # One row for each mask of this round: at most (bits + 1) ** round, whatever the data.
-        finer = rows.join(F.broadcast(to), "mask").select(F.explode("finer").alias("mask"), "node", "fp")
-        return finer.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "node", "fp")
+    def add(rows: DataFrame) -> None:
+        nonlocal out
+        rows = rows.select("mask", "value", "first", "second", "node", "fp")
+        out = rows if out is None else out.unionByName(rows)
 
-    masks, rows, done = [0], distinct.select(F.lit(0).cast("long").alias("mask"), "node", "fp"), None
+    rows = distinct.select(F.lit(0).cast("long").alias("mask"), "node", "fp")
     while True:
-        rows = deal(rows, masks)
-        masks = sorted({c for m in masks for c in _refine(m, parts)})
-        sizes = rows.groupBy("mask", "value").agg(F.count("*").alias("n"))
-        large = write_through(sizes.where(F.col("n") > group).select("mask", "value"), "large")
+        rows = _dealt(rows, parts).select(
+            F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("value"), "node", "fp")
+        key = ["mask", "value"]
+        large = write_through(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > group), "large")
         if large.isEmpty():
-            return rows if done is None else done.unionByName(rows)
-        kept = rows.join(large, ["mask", "value"], "left_anti")
-        done = kept if done is None else done.unionByName(kept)
-        rows = write_through(rows.join(large, ["mask", "value"], "left_semi"), "dealt")
+            add(rows.select("*", *whole))
+            return out
+        add(rows.join(large, key, "left_anti").select("*", *whole))
+        rows = write_through(rows.join(large, key), "crowded")
+        finer = _dealt(rows, parts).groupBy(*key, "n", "finer", F.col("fp").bitwiseAND(F.col("finer")).alias("part")).agg(F.count("*").alias("c"))
+        pairs = finer.groupBy(*key, "n").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("pairs"))
+        parted = write_through(pairs.where(2 * F.col("pairs") < F.col("n").cast("double") * F.col("n")).select(*key), "parted")
+        slices = F.ceil(2 * F.col("n") / group)
+        dense = rows.join(parted, key, "left_anti").select(
+            *key, "node", "fp", F.pmod(F.xxhash64("fp"), slices).alias("slice"),
+            F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("other"))
+        add(dense.select("*", F.least("slice", "other").alias("first"), F.greatest("slice", "other").alias("second")))
+        if parted.isEmpty():
+            return out
+        rows = rows.join(parted, key, "left_semi").select("mask", "node", "fp")
 
 
 class GrayIndex:
@@ -199,20 +223,22 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _searched(bits: int):
-    def linked(mask: np.ndarray, value: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        change = (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])
+    def linked(mask, value, first, second, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        change = np.zeros(len(fp) - 1, bool)
+        for key in (mask, value, first, second):
+            change |= key[1:] != key[:-1]
         group = np.concatenate(([0], np.cumsum(change)))
         root = spanning(len(fp), GrayIndex(group, fp.view(np.uint64)).links(bits))
         own = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], schema=_LINK)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 4
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * 6
         for batch in batches:
             held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns)]
             if len(held[0]) >= BUFFER:
-                open_key = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
-                whole = len(open_key) - int(open_key.sum())
+                last = np.logical_and.reduce([h == h[-1] for h in held[:4]])  # may go on in the next batch
+                whole = len(last) - int(last.sum())
                 if whole:
                     yield linked(*(h[:whole] for h in held))
                     held = [h[whole:] for h in held]
@@ -225,8 +251,9 @@ def _searched(bits: int):
 def links(distinct: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
     """(a, b): links that join (node, fp) rows exactly as all pairs within ``bits`` do, one a row and group at most."""
     rows = groups(distinct, bits, group).withColumn("rank", _gray_rank(F.col("fp")))
-    laid = rows.repartition("mask", "value").sortWithinPartitions("mask", "value", "rank")
-    return laid.select("mask", "value", "node", "fp").mapInArrow(_searched(bits), "a long, b long")
+    key = ["mask", "value", "first", "second"]
+    laid = rows.repartition(*key).sortWithinPartitions(*key, "rank")
+    return laid.select(*key, "node", "fp").mapInArrow(_searched(bits), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, group: int = GROUP) -> DataFrame:
