@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,28 @@ def test_a_fit_repeats(rows):
     assert first.drop("x").exceptAll(second.drop("x")).isEmpty()
 
 
+def test_a_fit_does_not_depend_on_the_session(spark, rows):
+    cfg, before = config(trees=3), spark.conf.get("spark.sql.shuffle.partitions")
+    cfg = replace(cfg, fit_rows_per_task=200)
+    got = []
+    try:
+        for n in ("2", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            scored = boosting.score(rows, boosting.fit(rows, 1.5, cfg)).drop("x")
+            got.append({(r.user_id, r.snapshot_t): r.score for r in scored.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+
+
+def test_equal_means_after_rounding_keep_their_order(spark):
+    means = spark.createDataFrame([("a", 0.0112), ("b", 0.0114), ("c", 0.5)], "sub_feature string, mean_abs_shap double")
+    gains = means.select("sub_feature", F.lit(1.0).alias("gain"))
+    directions = means.select("sub_feature", F.lit(1.0).alias("direction"))
+    table = importance.importance_table(means, gains, directions).collect()
+    assert [(r.rank, r.sub_feature, r.mean_abs_shap) for r in table] == [(1, "c", 0.5), (2, "b", 0.011), (3, "a", 0.011)]
+
+
 def test_model_round_trip(spark, rows, tmp_path):
     model = boosting.fit(rows, 1.5, config(trees=2))
     boosting.save_model(model, NAMES, str(tmp_path / "m"))
@@ -195,7 +218,7 @@ def test_rankings(spark, hand_made):
 
 def test_rounding_is_half_even_and_comes_after_sorting(spark):
     means = spark.createDataFrame([("a", 0.0125), ("b", 0.01251)], "sub_feature string, mean_abs_shap double")
-    assert [tuple(r) for r in importance.live_ranking(means).collect()] == [("b", 0.013), ("a", 0.012)]
+    assert [tuple(r) for r in importance.live_ranking(means).collect()] == [(1, "b", 0.013), (2, "a", 0.012)]
 
 
 def test_per_row_table(spark, hand_made):

@@ -51,6 +51,9 @@ class PanelConfig:
     top_n: int = 10
     wide_top: int = 40
     parallel_fits: int = 5
+    # Training rows of one task. Every tree level runs a job over all tasks, so small ones are
+    # all overhead. Part of the model's definition: row sampling goes by task.
+    fit_rows_per_task: int = 5_000
     model: ModelParams = field(default_factory=ModelParams)
 
     def __post_init__(self) -> None:

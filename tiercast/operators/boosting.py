@@ -17,10 +17,6 @@ from tiercast.operators.population import KEYS
 from tiercast.sources.storage import fresh_path, shared_folder
 
 
-# Every tree level runs a job over the training rows; smaller tasks would be all overhead.
-ROWS_PER_TASK = 5_000
-
-
 def model_rows(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
     """The matrix with its feature columns packed into ``x``, on the log1p scale."""
     wanted = set(names)
@@ -31,13 +27,13 @@ def model_rows(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
 def fit(rows: DataFrame, pos_weight: float, cfg: PanelConfig) -> GBTClassificationModel:
     """One weighted fit on ``rows`` (KEYS, engaged, x).
 
-    Rows are laid out by key first, so that the row sampling, which goes by
-    partition and position, repeats from run to run.
+    Rows are laid out by key first, in a task for every ``fit_rows_per_task``
+    rows. The row sampling goes by partition and position, so the model depends
+    on the rows and the configuration alone, never on a session setting.
     """
     spark = rows.sparkSession
     shared_folder(spark)  # boosting cuts its lineage in the checkpoint folder
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(most, rows.count() // ROWS_PER_TASK))
+    parts = max(1, rows.count() // cfg.fit_rows_per_task)
     data = (
         rows.repartition(parts, *KEYS)
         .sortWithinPartitions(*KEYS)

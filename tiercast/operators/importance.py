@@ -41,9 +41,15 @@ def direction(phi: DataFrame, values: DataFrame, rows: DataFrame, features: Data
         F.min("value").alias("_minv"), F.max("value").alias("_maxv"),
     )
     of_phi = phi.groupBy("sub_feature").agg(
-        F.count("*").alias("_np"), F.sum("phi").alias("_sp"),
+        F.count("*").alias("_np"),
         F.min("phi").alias("_minp"), F.max("phi").alias("_maxp"),
-        F.sum(F.col("phi") * F.col("value")).alias("_svp"),
+    )
+    # Centred before summing: the difference of two large sums would lose its sign near 0.
+    means = of_value.select("sub_feature", (F.col("_sv") / n_rows).alias("_mean"))
+    co_moment = (
+        phi.join(means, "sub_feature", "left")
+        .groupBy("sub_feature")
+        .agg(F.sum(F.col("phi") * (F.col("value") - F.coalesce("_mean", F.lit(0.0)))).alias("_covariance"))
     )
 
     def constant(count: str, low: str, high: str):
@@ -53,17 +59,17 @@ def direction(phi: DataFrame, values: DataFrame, rows: DataFrame, features: Data
         hi = F.when(padded, F.greatest(F.lit(0.0), high)).otherwise(F.col(high))
         return F.coalesce(lo == hi, F.lit(True))
 
-    covariance = F.col("_svp") - F.col("_sv") / F.col("_n") * F.col("_sp")
     return (
         features.select("sub_feature")
         .join(of_value, "sub_feature", "left")
         .join(of_phi, "sub_feature", "left")
+        .join(co_moment, "sub_feature", "left")
         .withColumn("_n", n_rows)
         .select(
             "sub_feature",
             F.when(constant("_nv", "_minv", "_maxv"), F.lit(0.0))
             .when(constant("_np", "_minp", "_maxp"), F.lit(None).cast("double"))
-            .otherwise(F.signum(covariance))
+            .otherwise(F.signum("_covariance"))
             .alias("direction"),
         )
     )
@@ -85,10 +91,16 @@ def ranked(table: DataFrame) -> DataFrame:
     return table.orderBy(_rankable(F.col("mean_abs_shap")).desc(), "sub_feature")
 
 
+def _rank() -> Column:
+    """Place by unrounded importance; the window sees one row per feature."""
+    return F.row_number().over(Window.orderBy(_rankable(F.col("mean_abs_shap")).desc(), "sub_feature"))
+
+
 def importance_table(means: DataFrame, gains: DataFrame, directions: DataFrame) -> DataFrame:
-    """The pooled ranking: sorted on the exact values, then rounded half-even."""
+    """The pooled ranking: ranked on the exact values, then rounded half-even."""
     joined = means.join(gains, "sub_feature", "left").join(directions, "sub_feature", "left")
-    return ranked(joined).select(
+    return joined.withColumn("rank", _rank()).orderBy("rank").select(
+        "rank",
         "sub_feature",
         F.bround("mean_abs_shap", 3).alias("mean_abs_shap"),
         F.bround("gain", 1).alias("gain"),
@@ -97,7 +109,8 @@ def importance_table(means: DataFrame, gains: DataFrame, directions: DataFrame)
 
 
 def live_ranking(means: DataFrame) -> DataFrame:
-    return ranked(means).select("sub_feature", F.bround("mean_abs_shap", 3).alias("mean_abs_shap"))
+    return means.withColumn("rank", _rank()).orderBy("rank").select(
+        "rank", "sub_feature", F.bround("mean_abs_shap", 3).alias("mean_abs_shap"))
 
 
 def by_snapshot(phi: DataFrame, rows: DataFrame, features: DataFrame, n: int) -> DataFrame:
@@ -129,7 +142,7 @@ def per_row(scored: DataFrame, phi: DataFrame, top: Sequence[str]) -> DataFrame:
     labelled = scored.select(*KEYS, "engaged", F.col("score").alias("engaged_probability"))
     carried = labelled.columns
     wide = (
-        labelled.join(phi.select(*KEYS, "sub_feature", "phi"), KEYS, "left")
+        labelled.join(phi.filter(F.col("sub_feature").isin(*top)).select(*KEYS, "sub_feature", "phi"), KEYS, "left")
         .groupBy(*carried)
         .pivot("sub_feature", list(top))
         .agg(F.sum("phi"))
