@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiercast import ModelParams
-from tiercast.operators import boosting
+from tiercast.operators import boosting, importance
 from tiercast.plans.live import forecast
-from tiercast.plans.run import PanelTables, run_panel
+from tiercast.plans.run import PanelTables, run_panel, score_month
+from tiercast.plans.training import TrainingRun
 from tiercast.sources.tables import PERSONA_COLUMNS, PERSONA_RENAMES, ingest_personas, scan
 
 
@@ -72,6 +73,24 @@ def test_saved_model_scores_like_the_run(spark, work, outcome):
     assert (row.month, row.check_day) == ("July 2001", "2001-08-30")
 
 
+def test_ranking_files_follow_the_unrounded_order(spark, work, outcome):
+    out, _, cfg = outcome
+    run = TrainingRun(work.panel, cfg)
+    exact = importance.ranked(importance.mean_abs(run.phi, work.panel.rows, work.panel.features()))
+    names = [r.sub_feature for r in exact.collect()]
+    assert [r.sub_feature for r in read_csv(spark, f"{out}/importance").collect()] == names
+    assert [r.sub_feature for r in read_csv(spark, f"{out}/importance_top").collect()] == names[:10]
+
+
+def test_scoring_a_month_without_training_gives_the_same_files(spark, outcome, tmp_path):
+    out, report, cfg = outcome
+    live = score_month(spark, out, cfg, str(tmp_path))
+    for name in ("live_scores", "live_importance", "live_summary", "live_unseen_features"):
+        again, first = read_csv(spark, f"{tmp_path}/{name}"), read_csv(spark, f"{out}/{name}")
+        assert again.columns == first.columns and again.exceptAll(first).isEmpty() and first.exceptAll(again).isEmpty()
+    assert live.summary.first().outcome_known is bool(report["live_outcome_known"])
+
+
 def test_empty_live_cohort_ends_cleanly(spark, work, outcome):
     out, _, cfg = outcome
     model, names = boosting.load_model(spark, f"{out}/model")

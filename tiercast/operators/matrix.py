@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tiercast.config import PanelConfig
 from tiercast.functions.columns import quoted, sanitize_name, sanitize_text
@@ -19,18 +19,22 @@ def at_risk_usage(usage_long: DataFrame, at_risk: DataFrame) -> DataFrame:
 def feature_list(usage: DataFrame) -> DataFrame:
     """Sanitised sub-feature names in name order, numbered from 0.
 
-    The set is as long as the feature dictionary, not the data.
+    The distinct names are as many as the feature dictionary, not the data has.
     """
-    names = usage.agg(F.array_sort(F.collect_set(sanitize_name(F.col("sub_feature")))).alias("names"))
-    return names.select(F.posexplode("names").alias("idx", "sub_feature"))
+    return _numbered(usage.select(sanitize_name(F.col("sub_feature")).alias("sub_feature")).distinct())
+
+
+def _numbered(names: DataFrame) -> DataFrame:
+    """Names in order, numbered from 0; the window sees one row per name."""
+    place = F.row_number().over(Window.orderBy("sub_feature")) - 1
+    return names.filter(F.col("sub_feature").isNotNull()).select(place.alias("idx"), "sub_feature")
 
 
 def model_features(features: DataFrame, cfg: PanelConfig) -> DataFrame:
     """The list without the features excluded from the model, numbered anew."""
     excluded = [sanitize_text(f) for f in cfg.exclude_features]
     kept = features.filter(~F.col("sub_feature").isin(*excluded)) if excluded else features
-    names = kept.agg(F.array_sort(F.collect_list("sub_feature")).alias("names"))
-    return names.select(F.posexplode("names").alias("idx", "sub_feature"))
+    return _numbered(kept)
 
 
 def feature_names(features: DataFrame, cfg: PanelConfig) -> list[str]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DateType
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from tiercast.config import PanelConfig
 
@@ -37,16 +39,28 @@ def _bin(day, width: int):
     return F.floor(F.unix_date(day) / F.lit(width))
 
 
+def _within(usage: DataFrame, grid: DataFrame) -> Column:
+    """True from the first window's start to the last snapshot, in a form that scans push down."""
+    lo, hi = grid.agg(F.min("window_start"), F.max("snapshot_t")).first()
+    if lo is None:
+        return F.lit(False)
+    kind = usage.schema["time_period"].dataType
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        after = F.lit(hi + dt.timedelta(days=1))
+        return (F.col("time_period") >= F.lit(lo).cast(kind)) & (F.col("time_period") < after.cast(kind))
+    return (F.col("time_period") if isinstance(kind, DateType) else F.to_date("time_period")).between(F.lit(lo), F.lit(hi))
+
+
 def window_range_join(usage: DataFrame, grid: DataFrame, cfg: PanelConfig) -> DataFrame:
     """Each usage row once per snapshot window [window_start, T] that holds its day.
 
     Days are numbered in bins as wide as a window, so a window touches at most
     two bins. The grid is spread over its bins and hash-joined on the bin; the
     range test is left as the residual condition. The fact rows are neither
-    multiplied nor shuffled, and the window bounds reach the scan as a filter.
+    multiplied nor shuffled. The grid's first and last day stand as literals on
+    the raw column, so that the scan skips files and row groups outside them.
     """
     day = F.to_date("time_period")
-    bounds = grid.agg(F.min("window_start").alias("lo"), F.max("snapshot_t").alias("hi"))
     binned = grid.select(
         "snapshot_t",
         "window_start",
@@ -57,7 +71,7 @@ def window_range_join(usage: DataFrame, grid: DataFrame, cfg: PanelConfig) -> Da
         ).alias("_bin"),
     )
     return (
-        usage.filter(day.between(bounds.select("lo").scalar(), bounds.select("hi").scalar()))
+        usage.filter(_within(usage, grid))
         .withColumn("_bin", _bin(day, cfg.window_days))
         # At most two rows per snapshot, one snapshot per calendar month.
         .join(F.broadcast(binned), "_bin")

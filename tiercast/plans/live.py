@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tiercast.config import PanelConfig
 from tiercast.functions.columns import iso_day, month_label
-from tiercast.operators import attribution, boosting, importance, matrix, population
+from tiercast.operators import attribution, boosting, calendar, importance, matrix, population
 from tiercast.operators.population import KEYS
 from tiercast.sources.storage import write_through
 
@@ -20,7 +20,7 @@ _LIVE = 0
 @dataclass(frozen=True)
 class Forecast:
     scores: DataFrame  # user_id, snapshot_t, forecast_probability
-    ranking: DataFrame  # sub_feature, mean_abs_shap
+    ranking: DataFrame  # rank, sub_feature, mean_abs_shap
     unseen: DataFrame  # sub_feature
     summary: DataFrame  # one row
 
@@ -35,7 +35,12 @@ def live_matrix(
 ) -> DataFrame:
     """At-risk users of the live snapshot with exactly the trained feature columns."""
     cohort = population.live_population(personas, grid, segments, cfg).filter("at_risk").select(*KEYS)
-    return matrix.feature_matrix(cohort, usage_long, names)
+    return matrix.feature_matrix(cohort, live_usage(usage_long, grid), names)
+
+
+def live_usage(usage_long: DataFrame, grid: DataFrame) -> DataFrame:
+    """The windowed usage of the live snapshot; the other snapshots' folders are not read."""
+    return calendar.on_days(usage_long, "snapshot_t", calendar.live_snapshot(grid).select("snapshot_t"))
 
 
 def forecast(
@@ -60,8 +65,9 @@ def forecast(
     if rows.isEmpty():
         ranking = ranking.limit(0)
 
-    present = matrix.feature_list(matrix.at_risk_usage(usage_long, rows))
-    live = grid.filter("is_live").agg(F.struct(F.max("snapshot_t").alias("t"), F.max("check_day").alias("c")))
+    present = matrix.feature_list(matrix.at_risk_usage(live_usage(usage_long, grid), rows))
+    live = grid.filter("is_live").agg(F.struct(
+        F.max("snapshot_t").alias("t"), F.max("check_day").alias("c"), F.bool_or("is_training").alias("known")))
     summary = scored.agg(
         F.count("*").alias("n_at_risk"), F.avg("forecast_probability").alias("mean_probability")
     ).withColumn("_live", live.scalar())
@@ -73,6 +79,7 @@ def forecast(
             F.col("_live.t").alias("snapshot_t"),
             month_label(F.col("_live.t")).alias("month"),
             iso_day(F.col("_live.c")).alias("check_day"),
+            F.col("_live.known").alias("outcome_known"),
             "n_at_risk",
             "mean_probability",
         ),

@@ -21,7 +21,9 @@ class Panel:
     grid: DataFrame
     segments: DataFrame | None
     usage_long: DataFrame
+    training_usage: DataFrame  # usage_long of the training snapshots
     frame: DataFrame
+    n_listed: int  # features before the exclusion
     names: list[str]
     rows: DataFrame  # user_id, snapshot_t, engaged, x
 
@@ -57,14 +59,17 @@ def build_panel(
         segments = write_through(
             population.segment_at_snapshot(personas, account_state, days), "segments"
         )
-    usage_long = write_through(usage_ops.windowed_usage(usage, grid, catalog, cfg), "usage-long")
+    # One folder per snapshot: training and scoring read the folders of their own days.
+    windowed = usage_ops.windowed_usage(usage, grid, catalog, cfg).repartitionByRange("snapshot_t", "user_id")
+    usage_long = write_through(windowed, "usage-long", "snapshot_t")
     training = calendar.recent(grid, cfg.training_months)
+    training_usage = calendar.on_days(usage_long, "snapshot_t", training.select("snapshot_t"))
     frame = write_through(population.panel_frame(personas, training, segments, cfg), "frame")
     at_risk = population.at_risk_rows(frame)
-    listed = matrix.feature_list(matrix.at_risk_usage(usage_long, at_risk))
+    listed = write_through(matrix.feature_list(matrix.at_risk_usage(training_usage, at_risk)), "features")
     names = matrix.feature_names(matrix.model_features(listed, cfg), cfg)
     if not names:
         raise ValueError("no feature left: the at-risk rows have no usage in scope")
-    wide = matrix.training_set(frame, usage_long, names)
+    wide = matrix.training_set(frame, training_usage, names)
     rows = write_through(model_rows(wide, names), "rows")
-    return Panel(grid, segments, usage_long, frame, names, rows)
+    return Panel(grid, segments, usage_long, training_usage, frame, listed.count(), names, rows)

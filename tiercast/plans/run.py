@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tiercast.config import PanelConfig
-from tiercast.operators import boosting, calendar, clean, importance, metrics, population
+from tiercast.operators import boosting, calendar, clean, metrics, population
 from tiercast.plans.live import Forecast, forecast
 from tiercast.plans.panel import Panel, build_panel
 from tiercast.plans.training import TrainingRun
@@ -38,8 +38,15 @@ def _tall(row: DataFrame, prefix: str = "") -> DataFrame:
     return row.select(F.explode(pairs).alias("m")).select("m.*")
 
 
-def run_metrics(run: TrainingRun, tables: PanelTables, live: Forecast | None = None) -> DataFrame:
-    """The run report as (metric, value) rows."""
+def _day_number(day: Column) -> Column:
+    """A day as the number yyyymmdd."""
+    return F.year(day) * 10_000 + F.month(day) * 100 + F.dayofmonth(day)
+
+
+def run_metrics(
+    run: TrainingRun, tables: PanelTables, live: Forecast | None = None, horizon: DataFrame | None = None
+) -> DataFrame:
+    """The run report as (metric, value) rows; days are numbers yyyymmdd, flags 0 or 1."""
     cfg, panel = run.cfg, run.panel
     folds = run.fold_metrics().agg(
         F.avg("train_auc").alias("train_auc"),
@@ -48,34 +55,59 @@ def run_metrics(run: TrainingRun, tables: PanelTables, live: Forecast | None = N
     )
     parts = [
         _tall(population.exclusion_counts(tables.personas, cfg.flag_columns), "users_"),
+        _tall(tables.personas.agg(_day_number(F.min("score_date")).alias("first_day"), _day_number(F.max("score_date")).alias("last_day")), "tiers_"),
+        _tall(clean.count_rows(panel.usage_long, n_features="sub_feature", n_users="user_id", n_snapshots="snapshot_t"), "usage_"),
+        _tall(panel.grid.agg(
+            F.count_if("is_training").alias("available"),
+            F.least(F.count_if("is_training"), F.lit(cfg.training_months)).alias("used")), "snapshots_"),
         _tall(clean.count_rows(panel.rows, n_users="user_id"), "panel_"),
+        _tall(clean.count_rows(run.holdout[0], n_users="user_id"), "pool_"),
+        _tall(clean.count_rows(run.holdout[1], n_users="user_id").select("n_users"), "test_"),
         _tall(metrics.base_rate(panel.rows).select("n_pos", "base_rate"), "panel_"),
         _tall(run.oof_metrics().select("roc_auc", "average_precision"), "oof_"),
         _tall(run.permutation_auc(), "permuted_"),
         _tall(folds, "mean_"),
         _tall(run.holdout_metrics(), "test_"),
     ]
+    if panel.segments is not None:
+        counts = population.segment_counts(panel.segments)
+        parts.append(counts.select(
+            F.concat(F.lit("segment_"), "customer_segment").alias("metric"), F.col("n_rows").cast("double").alias("value")))
+        days = calendar.segment_days(panel.grid)
+        parts.append(_tall(population.segment_coverage(tables.personas, panel.segments, days), "segment_"))
     if live is not None:
-        parts.append(_tall(live.summary.select("n_at_risk", "mean_probability"), "live_"))
-    report = run.spark.createDataFrame([("panel_n_features", float(len(panel.names)))], "metric string, value double")
+        numbers = live.summary.select("n_at_risk", "mean_probability", F.col("outcome_known").cast("int").alias("outcome_known"))
+        parts.append(_tall(numbers, "live_"))
+        parts.append(_tall(live.unseen.agg(F.count("*").alias("n_unseen_features")), "live_"))
+    if horizon is not None:
+        parts.append(_tall(horizon.select(F.col("is_stale").cast("int").alias("is_stale")), "tiers_"))
+    constants = {
+        "panel_n_features_listed": panel.n_listed, "panel_n_features": len(panel.names), "fit_rows_per_task": cfg.fit_rows_per_task}
+    report = run.spark.createDataFrame([(k, float(v)) for k, v in constants.items()], "metric string, value double")
     for part in parts:
         report = report.unionByName(part)
     return report
 
 
+def write_live(live: Forecast, out: str) -> None:
+    """The forecast's files: scores, ranking, summary and the features the model never saw."""
+    sinks.write_csv(live.ranking.orderBy("rank").drop("rank"), f"{out}/live_importance", single_file=True)
+    sinks.write_csv(live.scores, f"{out}/live_scores")
+    sinks.write_csv(live.summary, f"{out}/live_summary", single_file=True)
+    sinks.write_csv(live.unseen, f"{out}/live_unseen_features", single_file=True)
+
+
 def write_outputs(run: TrainingRun, live: Forecast, out: str) -> None:
     """The result files below ``out``; rankings are single files, row-level tables are not."""
-    ranking = run.ranking
-    sinks.write_csv(importance.ranked(ranking), f"{out}/importance", single_file=True)
-    sinks.write_csv(
-        importance.ranked(ranking).limit(run.cfg.top_n), f"{out}/importance_top", single_file=True
-    )
+    ranking = run.ranking.orderBy("rank")
+    sinks.write_csv(ranking.drop("rank"), f"{out}/importance", single_file=True)
+    top = ranking.filter(F.col("rank") <= run.cfg.top_n)
+    sinks.write_csv(top.drop("rank"), f"{out}/importance_top", single_file=True)
     sinks.write_csv(
         run.ranking_by_snapshot().drop("rank"), f"{out}/importance_by_snapshot", single_file=True
     )
     sinks.write_csv(run.attribution_per_row(), f"{out}/attribution_per_row")
-    sinks.write_csv(live.ranking, f"{out}/live_importance", single_file=True)
-    sinks.write_csv(live.scores, f"{out}/live_scores")
+    write_live(live, out)
     boosting.save_model(run.final_model, run.panel.names, f"{out}/model")
 
 
@@ -87,6 +119,7 @@ def run_panel(spark: SparkSession, tables: PanelTables, cfg: PanelConfig, out: s
     panel: Panel = build_panel(
         grid, tables.personas, tables.usage, tables.catalog, tables.account_state, cfg
     )
+    sinks.write_parquet(tables.personas, f"{out}/personas")
     sinks.write_usage(panel.usage_long, f"{out}/usage_long")
     if panel.segments is not None:
         sinks.write_parquet(panel.segments, f"{out}/segments")
@@ -95,6 +128,20 @@ def run_panel(spark: SparkSession, tables: PanelTables, cfg: PanelConfig, out: s
         run.final_model, panel.names, tables.personas, panel.usage_long, panel.segments, grid, cfg
     )
     write_outputs(run, live, out)
-    report = run_metrics(run, tables, live)
+    report = run_metrics(run, tables, live, horizon)
     sinks.write_csv(report, f"{out}/run_metrics", single_file=True)
     return report
+
+
+def score_month(spark: SparkSession, run: str, cfg: PanelConfig, out: str) -> Forecast:
+    """The live month scored again from what a run left in its folder ``run``, without training.
+
+    Reads metadata, personas, windowed usage, segments and model; writes the live files below ``out``.
+    """
+    grid = calendar.pin(metadata.grid_from_metadata(metadata.read_metadata(spark, f"{run}/metadata")))
+    segments = spark.read.parquet(f"{run}/segments") if cfg.restrict_segment else None
+    model, names = boosting.load_model(spark, f"{run}/model")
+    personas, usage_long = (spark.read.parquet(f"{run}/{name}") for name in ("personas", "usage_long"))
+    live = forecast(model, names, personas, usage_long, segments, grid, cfg)
+    write_live(live, out)
+    return live

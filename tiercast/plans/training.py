@@ -118,7 +118,7 @@ class TrainingRun:
     @cached_property
     def ranking(self) -> DataFrame:
         rows, features = self.panel.rows, self.panel.features()
-        values = nonzero_values(self.panel.usage_long, rows)
+        values = nonzero_values(self.panel.training_usage, rows)
         table = importance.importance_table(
             importance.mean_abs(self.phi, rows, features),
             self.gain_importance(),
