@@ -132,6 +132,16 @@ BLOCKS = {
     "dealt": """
         select user_id, cast(row_number() over (order by n_rows, n_pos, h, user_id) % 5 as integer) as fold
         from hashed_users""",
+    "marked": """
+        select k.*, cast('0x' || substr(md5(user_id || ':42'), 1, 8) as bigint) % 10000 < 2000 as is_test
+        from at_risk_keys k""",
+    "pool_users": """
+        select user_id, count(*) as n_rows, sum(engaged) as n_pos,
+               cast('0x' || substr(md5(user_id || ':42'), 1, 8) as bigint) as h
+        from marked where not is_test group by user_id""",
+    "pool_dealt": """
+        select user_id, cast(row_number() over (order by n_rows, n_pos, h, user_id) % 5 as integer) as fold
+        from pool_users""",
     "orders_of_rows": """
         select *, row_number() over (order by substr(md5(user_id || ':' || snapshot_t || ':42-rows'), 1, 8),
                                      user_id, snapshot_t) as taker,
@@ -161,13 +171,12 @@ def _ranking_sql(by: str) -> str:
             {f'group by {by}' if by else ''})"""
 
 
-def _pivot_sql(rows: str, features: str, value: str, carried: str, keys: str) -> str:
-    """Wide matrix: every row against every listed feature, turned by feature name."""
+def _packed_sql(rows: str, features: str, value: str, carried: str) -> str:
+    """Every row against every listed feature, its values as one text in feature order."""
     return f"""
-        select * from (pivot (
-            select {carried}, sub_feature, {value} as v
-            from {rows} cross join {features} left join usage_long using (user_id, snapshot_t, sub_feature)
-        ) on sub_feature using first(v) group by {keys})"""
+        select {carried}, string_agg(cast({value} as varchar), ',' order by idx) as cells
+        from {rows} cross join {features} left join usage_long using (user_id, snapshot_t, sub_feature)
+        group by {carried}"""
 
 
 _KEYS = "user_id, snapshot_t"
@@ -264,23 +273,21 @@ RAW = {
     # matrix
     "feature_list": "select * from features",
     "model_features": "select * from trained",
-    "feature_matrix": _pivot_sql("at_risk_keys", "features", "coalesce(early_events, 0)", _KEYS, _KEYS),
+    "feature_matrix": _packed_sql("at_risk_keys", "features", "coalesce(early_events, 0)", _KEYS),
     "sparse_matrix": """
         select user_id, snapshot_t, coalesce(string_agg(idx, ',' order by idx), '') as indices,
                coalesce(string_agg(early_events, ',' order by idx), '') as "values"
         from at_risk_keys left join usage_long using (user_id, snapshot_t) left join features using (sub_feature)
         group by user_id, snapshot_t""",
-    "training_set": _pivot_sql(
-        "at_risk_keys", "trained", "coalesce(early_events, 0)", f"{_KEYS}, engaged", f"{_KEYS}, engaged"
-    ),
-    "log_features": _pivot_sql(
-        "at_risk_keys", "trained", "round(ln(1 + coalesce(early_events, 0)), 6)", _KEYS, _KEYS
+    "training_set": _packed_sql("at_risk_keys", "trained", "coalesce(early_events, 0)", f"{_KEYS}, engaged"),
+    "log_features": _packed_sql(
+        "at_risk_keys", "trained", "cast(round(ln(1 + coalesce(early_events, 0)) * 1000000) as bigint)", _KEYS
     ),
     "align_features": """
         select idx, t.sub_feature, l.sub_feature is not null as is_present
         from trained t left join live_features l using (sub_feature)""",
     "unseen_features": "select * from live_features anti join trained using (sub_feature)",
-    "live_matrix": _pivot_sql("live_keys", "trained", "coalesce(early_events, 0)", _KEYS, _KEYS),
+    "live_matrix": _packed_sql("live_keys", "trained", "coalesce(early_events, 0)", _KEYS),
     # splits
     "group_folds": "select user_id, snapshot_t, engaged, fold from at_risk_keys join dealt using (user_id)",
     "group_holdout": """
@@ -304,12 +311,58 @@ RAW = {
     # rankings on surrogate attributions
     "feature_direction": "select sub_feature, direction from surrogate_importance",
     "feature_importance": """
-        select sub_feature, round_even(m, 3) as mean_abs_shap, round_even(g, 1) as gain, direction
+        select row_number() over (order by m desc, sub_feature) as rank, sub_feature, round_even(m, 3) as mean_abs_shap, round_even(g, 1) as gain, direction
         from surrogate_importance""",
     "importance_top10": """
-        select sub_feature, round_even(m, 3) as mean_abs_shap, round_even(g, 1) as gain, direction
+        select row_number() over (order by m desc, sub_feature) as rank, sub_feature, round_even(m, 3) as mean_abs_shap, round_even(g, 1) as gain, direction
         from surrogate_importance order by m desc, sub_feature limit 10""",
     "importance_by_snapshot": "select * from surrogate_by_snapshot",
+    # model-bound: what holds for any fit
+    "oof_scores": """
+        select user_id, snapshot_t, engaged, fold, true as score from at_risk_keys join dealt using (user_id)""",
+    "oof_metrics": "select count(*) as n_rows, true as roc_auc, true as average_precision from at_risk_keys",
+    "permutation_auc": """
+        select count(*) as n_rows, cast(sum(engaged) as bigint) as n_pos, true as roc_auc from at_risk_keys""",
+    "fold_metrics": """
+        select fold, count(*) as n_rows, true as sound from marked join pool_dealt using (user_id)
+        where not is_test group by fold""",
+    "holdout_metrics": "select count(*) as n_rows, round(avg(engaged), 6) as base_rate from marked where is_test",
+    "gain_importance": "select sub_feature, true as not_negative from trained",
+    "oof_attribution": """
+        select user_id, snapshot_t, fold, true as adds_up from at_risk_keys join dealt using (user_id)""",
+    "model_importance": "select sub_feature, true as in_order, true as falling from trained",
+    "attribution_per_row": """
+        select user_id, snapshot_t, engaged, cast(least((select count(*) from trained), 40) as integer) as n_features
+        from at_risk_keys""",
+    "live_scores": "select user_id, snapshot_t, true as forecast_probability from live_keys",
+    "live_importance": "select sub_feature, true as not_negative from trained",
+    "live_summary": """
+        select snapshot_t, strftime(snapshot_t, '%B %Y') as "month", cast(check_day as varchar) as check_day,
+               is_training as outcome_known, (select count(*) from live_keys) as n_at_risk, true as mean_probability
+        from grid where is_live""",
+    "run_metrics": """
+        select unnest(['users_n_before', 'users_n_excluded', 'users_n_after']) as metric,
+               unnest([n_before, n_before - n_after, n_after])::double as value
+        from (select count(distinct user_id) as n_before from personas), (select count(*) as n_after from clean_users)
+        union all
+        select unnest(['panel_n_rows', 'panel_n_users', 'panel_n_pos']),
+               unnest([count(*), count(distinct user_id), sum(engaged)])::double from at_risk_keys
+        union all select 'panel_n_features_listed', count(*)::double from features
+        union all select 'panel_n_features', count(*)::double from trained
+        union all select unnest(['usage_n_rows', 'usage_n_users']), unnest([count(*), count(distinct user_id)])::double from usage_long
+        union all select unnest(['snapshots_available', 'snapshots_used']), unnest([count(*), count(*)])::double
+        from grid where is_training
+        union all select 'segment_Paid', count(*)::double from segments where customer_segment = 'Paid'
+        union all
+        select unnest(['segment_n_matched', 'segment_n_total']), unnest([count(s.user_id), count(*)])::double
+        from (select distinct user_id, snapshot_t from personas
+              join grid on score_date = snapshot_t and (is_training or is_live) where acct_id is not null) k
+        left join segments s using (user_id, snapshot_t)
+        union all select 'live_n_at_risk', count(*)::double from live_keys
+        union all select 'tiers_last_day', strftime(persona_max, '%Y%m%d')::double from horizon
+        union all select 'tiers_is_stale', is_stale::integer::double from horizon
+        union all select 'live_n_unseen_features', count(*)::double from live_features anti join trained using (sub_feature)
+        union all select 'live_outcome_known', is_training::integer::double from grid where is_live""",
     "importance_latest": """
         select * from surrogate_by_snapshot where snapshot_t = (select max(snapshot_t) from surrogate_by_snapshot)""",
 }

@@ -6,7 +6,7 @@ import datetime as dt
 from dataclasses import replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tiercast.functions.columns import iso_day, month_label, quoted, sanitize_name
 from tiercast.operators import (
@@ -72,7 +72,7 @@ class Workspace:
         return population.at_risk_rows(self.panel.frame)
 
     def at_risk_usage(self) -> DataFrame:
-        return matrix.at_risk_usage(self.panel.usage_long, self.at_risk())
+        return matrix.at_risk_usage(self.panel.training_usage, self.at_risk())
 
     def features(self) -> DataFrame:
         return matrix.feature_list(self.at_risk_usage())
@@ -82,7 +82,7 @@ class Workspace:
         return matrix.feature_names(self.features(), self.cfg)
 
     def training_set(self) -> DataFrame:
-        return matrix.training_set(self.panel.frame, self.panel.usage_long, self.panel.names)
+        return matrix.training_set(self.panel.frame, self.panel.training_usage, self.panel.names)
 
     def live_cohort(self) -> DataFrame:
         return population.live_population(self.tables.personas, self.grid, self.panel.segments, self.cfg)
@@ -152,7 +152,7 @@ class Workspace:
     def report(self) -> DataFrame:
         t = self.tables
         return run_metrics(
-            self.run, PanelTables(t.usage, t.catalog, t.personas, t.account_state), self.live
+            self.run, PanelTables(t.usage, t.catalog, t.personas, t.account_state), self.live, self.horizon
         )
 
 
@@ -258,9 +258,22 @@ def run_counts(w: Workspace) -> DataFrame:
     )
 
 
+def _packed(wide: DataFrame, names: list[str], scale: int | None = None) -> DataFrame:
+    """The named columns as one text per row, in order; scaled values as rounded whole numbers."""
+    cells = [F.col(quoted(n)) for n in names]
+    cells = [F.round(c * scale).cast("bigint") for c in cells] if scale else cells
+    carried = [c for c in wide.columns if c not in set(names)]
+    return wide.select(*carried, F.array_join(F.array(*[c.cast("string") for c in cells]), ",").alias("cells"))
+
+
+def feature_matrix(w: Workspace) -> DataFrame:
+    wide = matrix.feature_matrix(w.at_risk().drop("engaged"), w.panel.training_usage, w.names)
+    return _packed(wide, w.names)
+
+
 def log_features(w: Workspace) -> DataFrame:
     wide = matrix.log_features(w.training_set().drop("engaged"), w.panel.names)
-    return wide.selectExpr(*KEYS, *[f"round({quoted(n)}, 6) AS {quoted(n)}" for n in w.panel.names])
+    return _packed(wide, w.panel.names, 1_000_000)
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -282,7 +295,96 @@ def unseen_features(w: Workspace) -> DataFrame:
 
 def _live_matrix(w: Workspace) -> DataFrame:
     p = w.panel
-    return live_matrix(w.tables.personas, w.grid, p.segments, p.usage_long, p.names, w.cfg)
+    return _packed(live_matrix(w.tables.personas, w.grid, p.segments, p.usage_long, p.names, w.cfg), p.names)
+
+
+# --- model-bound: what can be told of a fit without repeating it ---------------
+
+
+def _share(column: str):
+    """True for a proportion; null stays null."""
+    return F.col(column).between(0.0, 1.0).alias(column)
+
+
+def oof_scores(w: Workspace) -> DataFrame:
+    return w.run.oof.scored.select(*KEYS, "engaged", "fold", _share("score"))
+
+
+def oof_metrics(w: Workspace) -> DataFrame:
+    return w.run.oof_metrics().select("n_rows", _share("roc_auc"), _share("average_precision"))
+
+
+def permutation_auc(w: Workspace) -> DataFrame:
+    """The shuffled labels have as many positives as the labels; their score is a proportion."""
+    labels = w.run.permuted.scored.agg(F.count("*").alias("n_rows"), F.sum("engaged").alias("n_pos"))
+    return labels.crossJoin(F.broadcast(w.run.permutation_auc().select(_share("roc_auc"))))  # one row each
+
+
+def fold_metrics(w: Workspace) -> DataFrame:
+    """Per fold: its rows, and that gap = train - validation, with both in range where defined."""
+    rows = w.run.pool.scored.groupBy("fold").agg(F.count("*").alias("n_rows"))
+    gap = F.abs(F.col("gap") - (F.col("train_auc") - F.col("validation_auc"))) < 1e-12
+    sound = gap & F.col("train_auc").between(0, 1) & F.col("validation_auc").between(0, 1)
+    return rows.join(w.run.fold_metrics().select("fold", F.coalesce(sound, F.lit(True)).alias("sound")), "fold")
+
+
+def holdout_metrics(w: Workspace) -> DataFrame:
+    return w.run.holdout_metrics().select("n_rows", F.round("base_rate", 6).alias("base_rate"))
+
+
+def gain_importance(w: Workspace) -> DataFrame:
+    return w.run.gain_importance().select("sub_feature", (F.col("gain") >= 0).alias("not_negative"))
+
+
+def oof_attribution(w: Workspace) -> DataFrame:
+    """Per row: its attributions and the base value of its fold's model add up to the model's score."""
+    run = w.run
+    sums = run.phi.groupBy(*KEYS).agg(F.sum("phi").alias("phi"))
+    margin = F.log(F.col("score") / (1 - F.col("score"))) / 2
+    # A fold's base value is the same for all its rows: what is left after the attributions.
+    left = run.oof.scored.join(sums, KEYS, "left").select(
+        *KEYS, "fold", (margin - F.coalesce("phi", F.lit(0.0))).alias("base"))
+    bases = left.groupBy("fold").agg(F.min("base").alias("low"), F.max("base").alias("high"))
+    return left.join(F.broadcast(bases), "fold").select(  # one row a fold
+        *KEYS, "fold", (F.col("high") - F.col("low") < 1e-6).alias("adds_up"))
+
+
+def model_importance(w: Workspace) -> DataFrame:
+    """Every feature once, ranks without gaps, in the order of the rounded means."""
+    by_rank = Window.orderBy("rank")  # one row per feature
+    falling = F.coalesce(F.lag("mean_abs_shap").over(by_rank) >= F.col("mean_abs_shap"), F.lit(True))
+    return w.run.ranking.select(
+        "sub_feature", (F.row_number().over(by_rank) == F.col("rank")).alias("in_order"), falling.alias("falling"))
+
+
+def attribution_per_row(w: Workspace) -> DataFrame:
+    wide = w.run.attribution_per_row()
+    return wide.select(*KEYS, "engaged", F.lit(len(wide.columns) - 4).alias("n_features"))
+
+
+def live_scores(w: Workspace) -> DataFrame:
+    return w.live.scores.select(*KEYS, _share("forecast_probability"))
+
+
+def live_importance(w: Workspace) -> DataFrame:
+    return w.live.ranking.select("sub_feature", (F.col("mean_abs_shap") >= 0).alias("not_negative"))
+
+
+def live_summary(w: Workspace) -> DataFrame:
+    return w.live.summary.withColumn("mean_probability", _share("mean_probability"))
+
+
+#: Rows of the report that do not depend on a fit.
+FIT_FREE = (
+    "users_n_before", "users_n_excluded", "users_n_after", "panel_n_rows", "panel_n_users", "panel_n_pos",
+    "panel_n_features_listed", "panel_n_features", "usage_n_rows", "usage_n_users", "snapshots_available",
+    "snapshots_used", "segment_Paid", "segment_n_matched", "segment_n_total", "live_n_at_risk", "tiers_last_day",
+    "tiers_is_stale", "live_n_unseen_features", "live_outcome_known",
+)
+
+
+def report(w: Workspace) -> DataFrame:
+    return w.report().filter(F.col("metric").isin(*FIT_FREE))
 
 
 QUERIES = {
@@ -329,11 +431,9 @@ QUERIES = {
     # matrix
     "feature_list": lambda w: w.features(),
     "model_features": lambda w: matrix.model_features(w.features(), w.cfg),
-    "feature_matrix": lambda w: matrix.feature_matrix(
-        w.at_risk().drop("engaged"), w.panel.usage_long, w.names
-    ),
+    "feature_matrix": feature_matrix,
     "sparse_matrix": sparse_matrix,
-    "training_set": lambda w: w.training_set(),
+    "training_set": lambda w: _packed(w.training_set(), w.panel.names),
     "log_features": log_features,
     "align_features": align_features,
     "unseen_features": unseen_features,
@@ -353,23 +453,23 @@ QUERIES = {
     # rankings on surrogate attributions
     "feature_direction": lambda w: w.surrogate_direction(),
     "feature_importance": lambda w: w.surrogate_ranking(),
-    "importance_top10": lambda w: w.surrogate_ranking().limit(w.cfg.top_n),
+    "importance_top10": lambda w: w.surrogate_ranking().filter(F.col("rank") <= w.cfg.top_n),
     "importance_by_snapshot": lambda w: w.surrogate_by_snapshot(),
     "importance_latest": lambda w: importance.latest(w.surrogate_by_snapshot()),
     # model-bound
-    "oof_scores": lambda w: w.run.oof.scored.drop("x"),
-    "oof_metrics": lambda w: w.run.oof_metrics(),
-    "permutation_auc": lambda w: w.run.permutation_auc(),
-    "fold_metrics": lambda w: w.run.fold_metrics(),
-    "holdout_metrics": lambda w: w.run.holdout_metrics(),
-    "gain_importance": lambda w: w.run.gain_importance(),
-    "oof_attribution": lambda w: w.run.phi,
-    "model_importance": lambda w: w.run.ranking,
-    "attribution_per_row": lambda w: w.run.attribution_per_row(),
-    "live_scores": lambda w: w.live.scores,
-    "live_importance": lambda w: w.live.ranking,
-    "live_summary": lambda w: w.live.summary,
-    "run_metrics": lambda w: w.report(),
+    "oof_scores": oof_scores,
+    "oof_metrics": oof_metrics,
+    "permutation_auc": permutation_auc,
+    "fold_metrics": fold_metrics,
+    "holdout_metrics": holdout_metrics,
+    "gain_importance": gain_importance,
+    "oof_attribution": oof_attribution,
+    "model_importance": model_importance,
+    "attribution_per_row": attribution_per_row,
+    "live_scores": live_scores,
+    "live_importance": live_importance,
+    "live_summary": live_summary,
+    "run_metrics": report,
 }
 
 _workspaces: dict[tuple[str, str, str], Workspace] = {}
