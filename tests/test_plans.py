@@ -91,6 +91,18 @@ def test_only_the_folders_of_the_days_in_question_are_read(spark, work):
     assert p.usage_long.select("snapshot_t").distinct().count() > 70
 
 
+def test_panel_frame_lays_rows_out_by_key_once_and_by_user_once(spark, work):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(work.frame())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_key = re.findall(r"Exchange hashpartitioning\(user_id#\d+L, snapshot_t#\d+, \d+\)", plan)
+    by_user = re.findall(r"Exchange hashpartitioning\(user_id#\d+L, \d+\)", plan)
+    assert len(by_key) == 2 and len(by_user) == 2 and plan.count("Exchange hashpartitioning") == 4
+
+
 def _nodes(df):
     plan = df._jdf.queryExecution().executedPlan()
     plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan

@@ -135,8 +135,9 @@ def tiers_by_role(personas: DataFrame, grid: DataFrame) -> DataFrame:
         on_days(dated, "score_date", roles.select("score_date"))
         # Two rows per calendar month: small by construction.
         .join(F.broadcast(roles), "score_date")
-        .groupBy(*KEYS, "window_start")
+        .groupBy(*KEYS)
         .agg(
+            F.min("window_start").alias("window_start"),  # the same for all rows of a snapshot
             F.min(F.when(~F.col("is_check"), picked)).alias("at_t"),
             F.min(F.when(F.col("is_check"), picked)).alias("at_check"),
         )
@@ -176,7 +177,7 @@ def panel_frame(
     if cfg.joined_since is not None:
         at_risk &= F.col("joined") >= F.lit(cfg.joined_since)
     if cfg.restrict_segment is not None and segments is not None:
-        # Both sides are grouped by (user, snapshot): the join needs no further shuffle.
+        # Both sides are grouped by (user, snapshot) alone: the join reuses that layout.
         in_segment = (
             segments.filter(F.col("customer_segment") == cfg.restrict_segment)
             .groupBy(*KEYS)

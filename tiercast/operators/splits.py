@@ -53,14 +53,16 @@ def permute_labels(
     """Deal the labels out anew: each row takes the label of a random other row.
 
     Two seeded orders of the rows are joined on the rank, so every label is
-    used exactly once and the class counts stay as they are.
+    used exactly once and the class counts stay as they are. Only the keys and
+    labels are ranked; the other columns join the result by key.
     """
     key_cols = [F.col(k) for k in keys]
     taker = rank_by_hash(
-        rows.drop(label).withColumn("_h", seeded_hash(f"{seed}-rows", *key_cols)), "_h", keys, "_rank"
+        rows.select(*keys).withColumn("_h", seeded_hash(f"{seed}-rows", *key_cols)), "_h", keys, "_rank"
     ).drop("_h")
     giver = rank_by_hash(
         rows.select(*keys, label).withColumn("_h", seeded_hash(f"{seed}-labels", *key_cols)),
         "_h", keys, "_rank",
     )
-    return taker.join(giver.select("_rank", label), "_rank").drop("_rank").select(*rows.columns)
+    dealt = taker.join(giver.select("_rank", label), "_rank").drop("_rank")
+    return rows.drop(label).join(dealt, list(keys)).select(*rows.columns)
