@@ -23,6 +23,11 @@ def test_a_table(spark):
     assert got == want and any(r[-1] for r in want)
 
 
+def test_passages_equal_sql(spark):
+    got = decontamination.verdicts(read(spark, SF_DIR, "documents"), read(spark, SF_DIR, "benchmark"))
+    assert differences(got, connect(SF_DIR), decontamination.ORACLE) is None
+
+
 ITEMS = [(1, "plain TEXT of a few"), (2, "word"), (3, None), (4, " ., "), (None, "no id here"), (10, "very long text word of a very long text word of a very long text"), (1, "plain TEXT of a few")]
 
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,6 +32,32 @@ def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers if they cannot import it; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+
+    def importable(_):
+        try:
+            import tiercast.llm  # noqa: F401
+        except ImportError:
+            return [False]
+        return [True]
+
+    if not all(sc.parallelize(range(2), 2).mapPartitions(importable).collect()):
+        package = Path(__file__).parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="tiercast-")) / f"tiercast-{uuid.uuid4().hex}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(package.rglob("*.py")):
+                out.write(path, path.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def set_aside(df: DataFrame, *names: str) -> DataFrame:
     """``df`` with columns of these names out of the way, for an operator that adds columns of the names."""
     taken = {n.lower() for n in names}
@@ -46,6 +76,12 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
 
 
+def drawn(share, *columns: str):
+    """True for about ``share`` of the distinct values of ``columns``, the same ones in every run."""
+    place = F.pmod(F.xxhash64(*columns, F.lit(11)), F.lit(1 << 30))
+    return place < F.lit(1 << 30) * share
+
+
 def learnable(doc_id: str, folds: int, held: int):
     """True for rows a model may learn from: crc32 of the id as text, modulo ``folds``, is not ``held``."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) != held, F.lit(False))

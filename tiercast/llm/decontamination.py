@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import restored, set_aside, slices, text_column
+from .common import restored, set_aside, ship, slices, text_column
 
 WINDOW = 13
 BLOCK = 2
@@ -118,6 +118,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words
     names added here are replaced.
     """
     spark = docs.sparkSession
+    ship(spark)
     out = docs.drop("n_words", "hits", "items")
     keep = out.columns
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(_HITS), "items": F.array().cast("array<string>")})
@@ -167,3 +168,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
     aside = set_aside(docs, "n_words", "hits", "items", "n_hit", "n_items", "items_sha256", "contaminated")
     return restored(judge(find(aside, benchmark)).where(~F.col("contaminated")), docs)
+
+
+_SQL_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_SQL_WORDS} AS w FROM documents)
+, b AS (SELECT coalesce(cast(item_id AS varchar), 'null') AS item, {_SQL_WORDS} AS w FROM benchmark)
+, windows AS (
+  SELECT DISTINCT item, list_slice(w, i, least(i + 12, len(w))) AS p
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+)
+, sizes AS (SELECT DISTINCT len(p) AS k FROM windows)
+, hits AS (
+  SELECT n, i, k, item
+  FROM (SELECT n, k, i, list_slice(w, i, i + k - 1) AS p
+        FROM (SELECT n, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k))
+  JOIN windows USING (p)
+)
+, hit_words AS (SELECT n, count(*) AS n_hit FROM (SELECT DISTINCT n, unnest(range(i, i + k)) AS j FROM hits) GROUP BY n)
+, found AS (
+  SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT n, item FROM hits) GROUP BY n
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit_words USING (n) LEFT JOIN found USING (n)
+"""

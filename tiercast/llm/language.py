@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, learnable, restored, set_aside, slices, text_column
+from .common import held_out, learnable, restored, set_aside, ship, slices, text_column
 
 #: Languages are learnt from rows whose crc32 of the id, modulo FOLDS, is not HELD.
 FOLDS, HELD = 4, 2
@@ -193,6 +193,7 @@ def identify(docs: DataFrame, known: dict[str, bytes]) -> DataFrame:
     is known. A tie goes to the language that sorts first, with score 0. Other
     columns pass through; columns of the two names are replaced.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     rows = docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)})
     keep = rows.columns[:-2]
@@ -222,6 +223,12 @@ def predictions(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:
 
 
 def with_language(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:
-    """The rows of ``docs`` in some learnt language, with their columns; null and letterless texts go."""
-    found = identify(set_aside(docs, "lang_pred", "score"), references(docs, sample))
+    """The rows of ``docs`` in some language, with their columns; null and letterless texts go.
+
+    If no row teaches a language, every text with a letter stays.
+    """
+    known = references(docs, sample)
+    if not known:
+        return docs.where(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    found = identify(set_aside(docs, "lang_pred", "score"), known)
     return restored(found.where(F.col("lang_pred") != UNKNOWN), docs)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tiercast.sources.storage import write_through
 
-from .common import slices
+from .common import ship, slices
 from .tokens import encoded, in_id_order, vocabulary_path
 
 LENGTH = 2048
@@ -37,6 +37,7 @@ _PIECE = pa.schema([
 
 def token_stream(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Every document's ids and ``place``, its first position in the whole stream."""
+    ship(docs.sparkSession)
     vocabulary = vocabulary or vocabulary_path()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op8_digest_array": urls.ORACLE}
+ORACLES: dict[str, str] = {"op8_digest_array": urls.ORACLE, "op10_wu_manber": decontamination.ORACLE}

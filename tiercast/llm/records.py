@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tiercast.sources.storage import fresh_path
 
-from .common import filesystem
+from .common import filesystem, ship
 from .tokens import encoded, in_id_order, vocabulary_path
 
 _HEAD = struct.Struct("<QI")
@@ -100,6 +100,7 @@ class RecordSet:
         Without an index one task reads each shard from front to end. Pass an
         ordered, filtered or shuffled index to read in that order.
         """
+        ship(self.spark)
         if index is None:
             shards = self.spark.read.parquet(f"{self.folder}/index").agg(F.max("shard")).first()[0]
             by_shard = self.index().repartition((shards or 0) + 1, "shard")
@@ -142,6 +143,7 @@ def write_records(
     task leaves a whole shard of the same bytes.
     """
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or fresh_path(spark, "records")
     vocabulary = vocabulary or vocabulary_path()
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tiercast.sources.storage import fresh_path
 
-from .common import filesystem
+from .common import filesystem, ship
 
 ALLOW, BLOCK = "allow", "block"
 #: (host, path, verdict); a rule holds for its host and all subdomains, where the url's path starts with the rule's.
@@ -161,6 +161,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES) -> Da
     are allowed. Repeated rows are judged alike. Other columns pass through;
     columns of the four names are replaced. An empty rule set allows all.
     """
+    ship(pages.sparkSession)
     name = publish(pages.sparkSession, rules)
     rows = pages.drop("host", "path", "rule", "verdict")
     url = F.col("url").cast("string")
