@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import slices, text_column
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces kept per Python worker; beyond it the store starts anew. Results do not depend on it.
-KEPT_PIECES = 400_000
+#: Pieces between spaces, and words inside them, kept per Python worker; beyond it a store starts anew. The
+#: first pieces met, mostly the frequent ones, stay in a small store that is fast to search. No result depends on them.
+FIRST_PIECES, KEPT_PIECES, KEPT_WORDS = 20_000, 400_000, 400_000
 
 # The split of byte-level BPE, with its letter, number and space classes up to U+024F.
 _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
@@ -64,6 +65,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self._letters = {chr(b): c for b, c in _byte_letters().items()}
         self._letters = str.maketrans(self._letters)
+        self._first: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
 
@@ -71,33 +73,45 @@ class Encoder:
         return np.array(ids, dtype=self.dtype).tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self._words.get(word)
-        if found is None:
-            spelled = word.encode().decode("latin-1").translate(self._letters)
-            found = self._words[word] = self._ids([t.id for t in self._model.tokenize(spelled)])
+        if len(self._words) >= KEPT_WORDS:
+            self._words.clear()
+        spelled = word.encode().decode("latin-1").translate(self._letters)
+        found = self._words[word] = self._ids([t.id for t in self._model.tokenize(spelled)])
         return found
 
     def _piece(self, piece: str) -> bytes:
         if _BEYOND.search(piece):
             return self._ids(self._tokenizer.encode(piece, add_special_tokens=False).ids)
-        return b"".join(map(self._word, _SPLIT.findall(piece)))
+        words = _SPLIT.findall(piece)
+        found = list(map(self._words.get, words))
+        if None in found:
+            found = [self._word(w) if ids is None else ids for w, ids in zip(words, found)]
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         pieces = _BORDER.split(text) if _SPACE_RUN.search(text) else text.split(" ")
-        head = self._piece(pieces[0])
-        found = list(map(self._pieces.get, pieces))
-        if None in found[1:]:
-            if len(self._pieces) > KEPT_PIECES or len(self._words) > KEPT_PIECES:
-                self._pieces.clear()
-                self._words.clear()
-            for i, piece in enumerate(pieces):
-                if i and found[i] is None:
-                    found[i] = self._pieces[piece] = self._piece(" " + piece)
-        found[0] = head
+        found = list(map(self._first.get, pieces))
+        found[0] = self._piece(pieces[0])
+        at = 0
+        for _ in range(found.count(None)):
+            at = found.index(None, at)
+            piece = pieces[at]
+            ids = self._pieces.get(piece)
+            found[at] = ids if ids is not None else self._keep(piece)
         return b"".join(found)
 
+    def _keep(self, piece: str) -> bytes:
+        ids = self._piece(" " + piece)
+        if len(self._first) < FIRST_PIECES:
+            self._first[piece] = ids
+        else:
+            if len(self._pieces) >= KEPT_PIECES:
+                self._pieces.clear()
+            self._pieces[piece] = ids
+        return ids
+
 
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
