@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame, functions as F
 from tiercast.sources.storage import write_through
 
 
-def _digest(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _settled(links: DataFrame) -> bool:
+    """True if every node on the left has one link, to a node that is on no left side."""
+    lows = links.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    if not lows.where(F.col("low") != F.col("high")).isEmpty():
+        return False
+    return links.join(lows.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,8 +30,7 @@ def components(links: DataFrame) -> DataFrame:
     now = write_through(
         links.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = _digest(now)
-    while True:
+    while not _settled(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(
@@ -37,9 +40,5 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "a").where(F.col("b") != F.col("low")).select(
             F.col("b").alias("a"), F.col("low").alias("b"))
         now = write_through(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "links")
-        after = _digest(now)
-        if after == seen:
-            break
-        seen = after
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tiercast.sources.storage import write_through
 
-from .common import slices, text_column
+from .common import ship, slices, text_column
 from .components import components
 
 WORDS = 4
@@ -61,6 +61,7 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
+    ship(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -94,13 +95,18 @@ def _gray_rank(fp: Column) -> Column:
     return fp
 
 
-def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+def _dealt(rows: DataFrame, masks: list[int], parts: int) -> DataFrame:
     """``rows`` once for each finer mask, as ``finer``: each of ``parts`` blocks of the mask's free bits added."""
-    masks = [r.mask & _FULL for r in rows.select("mask").distinct().collect()]
-    to = rows.sparkSession.createDataFrame(
-        [(_signed(m), [_signed(c) for c in _refine(m, parts)]) for m in masks], "mask long, finer array<long>")
-    # One row for each mask of a round: at most (bits + 1) ** round, whatever the data.
-    return rows.join(F.broadcast(to), "mask").withColumn("finer", F.explode("finer"))
+    # As many cases as masks in a round: at most (bits + 1) ** round, whatever the data.
+    finer = F.array().cast("array<long>")
+    for m in masks:
+        children = F.array(*(F.lit(_signed(c)) for c in _refine(m, parts))).cast("array<long>")
+        finer = F.when(F.col("mask") == F.lit(_signed(m)), children).otherwise(finer)
+    return rows.withColumn("finer", F.explode(finer))
+
+
+def _masks(rows: DataFrame) -> list[int]:
+    return [r.mask & _FULL for r in rows.select("mask").distinct().collect()]
 
 
 def groups(distinct: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
@@ -121,9 +127,9 @@ def groups(distinct: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFra
         rows = rows.select("mask", "value", "first", "second", "node", "fp")
         out = rows if out is None else out.unionByName(rows)
 
-    rows = distinct.select(F.lit(0).cast("long").alias("mask"), "node", "fp")
+    rows, masks = distinct.select(F.lit(0).cast("long").alias("mask"), "node", "fp"), [0]
     while True:
-        rows = _dealt(rows, parts).select(
+        rows = _dealt(rows, masks, parts).select(
             F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("value"), "node", "fp")
         key = ["mask", "value"]
         large = write_through(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > group), "large")
@@ -132,7 +138,7 @@ def groups(distinct: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFra
             return out
         add(rows.join(large, key, "left_anti").select("*", *whole))
         rows = write_through(rows.join(large, key), "crowded")
-        finer = _dealt(rows, parts).groupBy(*key, "n", "finer", F.col("fp").bitwiseAND(F.col("finer")).alias("part")).agg(F.count("*").alias("c"))
+        finer = _dealt(rows, _masks(rows), parts).groupBy(*key, "n", "finer", F.col("fp").bitwiseAND(F.col("finer")).alias("part")).agg(F.count("*").alias("c"))
         pairs = finer.groupBy(*key, "n").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("pairs"))
         parted = write_through(pairs.where(2 * F.col("pairs") < F.col("n").cast("double") * F.col("n")).select(*key), "parted")
         slices = F.ceil(2 * F.col("n") / group)
@@ -143,6 +149,7 @@ def groups(distinct: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFra
         if parted.isEmpty():
             return out
         rows = rows.join(parted, key, "left_semi").select("mask", "node", "fp")
+        masks = _masks(parted)
 
 
 class GrayIndex:
@@ -250,6 +257,7 @@ def _searched(bits: int):
 
 def links(distinct: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
     """(a, b): links that join (node, fp) rows exactly as all pairs within ``bits`` do, one a row and group at most."""
+    ship(distinct.sparkSession)
     rows = groups(distinct, bits, group).withColumn("rank", _gray_rank(F.col("fp")))
     key = ["mask", "value", "first", "second"]
     laid = rows.repartition(*key).sortWithinPartitions(*key, "rank")
