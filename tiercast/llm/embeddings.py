@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tiercast.sources.storage import write_through
 
+from .common import drawn, ship
 from .components import components
 from .simhash import spanning
 
@@ -38,8 +39,8 @@ _PIVOT_BITS = 20
 class Pivots:
     """Number of pivots: a power of two near sqrt(vectors), at least ``least``, so lists keep their length.
 
-    They come from ``sample`` times as many vectors of the smallest hashes: one
-    is taken if its cosine with all taken before is below ``apart``, so that a
+    They come from about ``sample`` times as many vectors, drawn and ordered by
+    hash: one is taken if its cosine with all taken before is below ``apart``, so that a
     crowd of near copies gives one pivot. Fixed random directions fill up.
     """
 
@@ -92,13 +93,14 @@ def describe(reps: DataFrame, how: Pivots = Pivots()) -> DataFrame:
     Vectors are compared with vectors of their own length only; each length has pivots of its own.
     """
     spark = reps.sparkSession
+    ship(spark)
     sizes = {r["size"]: r["n"] for r in reps.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).collect()}
     pivots = {}
     for size, n in sizes.items():
         number = how.number(n)
         of = reps.where(F.size("vector") == size)
-        rows = of.orderBy(F.xxhash64("vector"), "node").limit(how.sample * number).select("vector").collect()
-        pivots[size] = choose(np.array([r.vector for r in rows]), number, how.apart)
+        rows = of.where(drawn(how.sample * number / n, "vector")).select(F.xxhash64("vector").alias("hash"), "vector").collect()
+        pivots[size] = choose(np.array([r.vector for r in sorted(rows)]).reshape(-1, size), number, how.apart)
     shared = spark.sparkContext.broadcast(pivots)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +196,7 @@ def _compared(threshold: float):
 
 def link_rows(described: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(a, b, n): for a node and block of a list, a node it is joined to and the rows linked there (by weight)."""
+    ship(described.sparkSession)
     posted = described.select("node", F.size("vector").alias("size"), F.explode(_lists(F.col("pivots"))).alias("list"))
     lengths = posted.groupBy("size", "list").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     slices = F.ceil(F.col("n") / block)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, text_column
+from .common import ship, slices, text_column
 from .dom import LEAF, Page, parse
 
 TAGS = (
@@ -361,9 +361,14 @@ def train(sources: list[str], how: Fit = Fit(), seed: int = 7) -> Model:
 
 
 def lend(pages: DataFrame, how: Fit) -> list[str]:
-    """A bounded sample of pages, by the hash of their html, that lends its text to the training pages."""
-    rows = pages.where(F.length("html") > 0).select(F.substring(F.col("html").cast("string"), 1, how.characters).alias("html"))
-    return [r.html for r in rows.orderBy(F.xxhash64("html"), "html").limit(how.lenders).collect()]
+    """At most ``lenders`` pages whose text fills the training pages: the smallest hash in each of so many buckets."""
+    html = F.col("html").cast("string")
+    rows = pages.where(F.length(html) > 0).select(F.xxhash64(html, F.lit(5)).alias("hash"), F.substring(html, 1, how.characters).alias("html"))
+    rows = rows.withColumn("bucket", F.pmod("hash", F.lit(how.lenders)))
+    low = rows.groupBy("bucket").agg(F.min("hash").alias("hash"))
+    # At most ``lenders`` rows, and copies of a page come back once.
+    found = rows.join(F.broadcast(low), ["bucket", "hash"]).groupBy("hash").agg(F.min("html").alias("html")).collect()
+    return [r.html for r in sorted(found)]
 
 
 def extract(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
@@ -372,6 +377,7 @@ def extract(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
     Null and empty html give an empty text. Every row is read whole and on its
     own; repeated rows give equal texts. Columns of the two names are replaced.
     """
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(train(lend(pages, how), how))
     rows = pages.drop("text", "n_chars").withColumn("text", F.lit(""))
     keep = [c for c in rows.columns if c not in ("html", "text")]

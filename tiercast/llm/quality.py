@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, learnable, restored, set_aside, slices, text_column
+from .common import drawn, held_out, learnable, restored, set_aside, ship, slices, text_column
 
 FOLDS, HELD = 5, 0
 BUCKET_BITS = 16
@@ -129,24 +129,24 @@ def fit(texts: list[str], ratings: list[int], how: Fit = Fit()) -> Model:
 
 
 def train(docs: DataFrame, ratings: DataFrame, grade: str = "quality", sample: Sample = Sample(), how: Fit = Fit()) -> Model:
-    """Fit on the learnable rated rows with the smallest hashes of their ids, in every grade.
+    """Fit on a share of the learnable rated rows of each grade, drawn by the hash of their ids.
 
-    Null ids, grades and texts teach nothing; of repeated ratings the largest counts. More than
-    ``sample.grades`` grades are refused.
+    The share makes about ``rows_per_grade`` rows. Null ids, grades and texts teach nothing; of
+    repeated ratings the largest counts, of repeated documents the text that sorts first. More
+    than ``sample.grades`` grades are refused.
     """
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(grade).cast("int").alias("grade"))
     rated = rated.where(learnable("doc_id", FOLDS, HELD) & F.col("grade").isNotNull()).groupBy("doc_id").agg(F.max("grade").alias("grade"))
-    grades = sorted(r.grade for r in rated.select("grade").distinct().limit(sample.grades + 1).collect())
-    if len(grades) > sample.grades:
+    counts = rated.groupBy("grade").agg(F.count("*").alias("n")).limit(sample.grades + 1).collect()
+    if len(counts) > sample.grades:
         raise ValueError(f"more than {sample.grades} grades")
-    chosen = rated.limit(0)
-    for g in grades:
-        chosen = chosen.unionByName(rated.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample.rows_per_grade))
-    bound = max(1, len(grades)) * sample.rows_per_grade
+    share = F.lit(1.0)
+    for r in counts:
+        share = F.when(F.col("grade") == r.grade, sample.rows_per_grade / r.n).otherwise(share)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # At most ``bound`` ids, so the broadcast has a fixed size.
-    rows = texts.where(F.length("text") <= sample.longest).join(F.broadcast(chosen), "doc_id")
-    found = rows.orderBy(F.xxhash64("doc_id", "text"), "text").limit(bound).collect()
+    # About rows_per_grade ids a grade, whatever the data: the broadcast and what comes back are bounded.
+    rows = texts.where(F.length("text") <= sample.longest).join(F.broadcast(rated.where(drawn(share, "doc_id"))), "doc_id")
+    found = sorted(rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text")).collect())
     return fit([r.text for r in found], [r.grade for r in found], how)
 
 
@@ -156,6 +156,7 @@ def rate(docs: DataFrame, model: Model, wanted: int) -> DataFrame:
     Null and empty texts are rated by the thresholds alone. Every row is rated
     on its own text; columns of the two names are replaced.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.drop("expected_grade", "tail").withColumns({"expected_grade": F.lit(0.0), "tail": F.lit(0.0)})
     keep = rows.columns[:-2]

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, learnable, restored, set_aside, slices, text_column
+from .common import drawn, held_out, learnable, restored, set_aside, ship, slices, text_column
 
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 20
@@ -140,24 +140,22 @@ def fit(texts: list[str], labels: list[int], how: Fit = Fit(), share_toxic: floa
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), how: Fit = Fit()) -> Model:
-    """Fit on the learnable labelled rows with the smallest hashes of their ids, in both classes.
+    """Fit on a share of the learnable labelled rows of each class, drawn by the hash of their ids.
 
-    Rows with a null id, label or text and labels other than 0 and 1 teach nothing; of repeated
-    label rows the largest label counts, of repeated documents each text is read.
+    The share makes about ``rows_per_class`` rows. Rows with a null id, label or text and labels
+    other than 0 and 1 teach nothing; of repeated label rows the largest label counts, of repeated
+    documents the text that sorts first.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where(learnable("doc_id", FOLDS, HELD) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # At most rows_per_class rows a class, so the broadcast has a fixed bound.
-    chosen = None
-    for label in (0, 1):
-        part = marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample.rows_per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    counts = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, sample.rows_per_class / max(counts.get(1, 0), 1)).otherwise(
+        sample.rows_per_class / max(counts.get(0, 0), 1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.where(F.length("text") <= sample.longest)
-    near = F.xxhash64("doc_id", "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(near, "text").limit(2 * sample.rows_per_class).collect()
-    share = marked.agg(F.avg("toxic")).first()[0]
-    return fit([r.text for r in rows], [r.toxic for r in rows], how, share)
+    # About rows_per_class ids a class, whatever the data: the broadcast and what comes back are bounded.
+    rows = texts.where(F.length("text") <= sample.longest).join(F.broadcast(marked.where(drawn(share, "doc_id"))), "doc_id")
+    rows = sorted(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
+    return fit([r.text for r in rows], [r.toxic for r in rows], how, counts.get(1, 0) / max(sum(counts.values()), 1))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -166,6 +164,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts score as a text without n-grams that say anything.
     Every row is scored on its own text; a column of either name is replaced.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.drop("score", "predicted").withColumn("score", F.lit(0.0))
     keep = rows.columns[:-1]
