@@ -135,3 +135,17 @@ def test_embeddings_of_odd_tables(spark):
     got = sorted((tuple(r) for r in embeddings.near_duplicates(table).collect()), key=str)
     assert got == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (None, 0, None, True), (9, 0, 9, True), (9, 0, 9, True)], key=str)
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("number", [256, 1024, 4096])
+def test_pairs_at_the_threshold_share_pivots_at_every_number(spark, number):
+    r = np.random.default_rng(4)
+    x, y = r.standard_normal((2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(1, keepdims=True) * x
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate((x, y)))]
+    reps = spark.createDataFrame(rows, "node long, vector array<double>, weight long")
+    told = embeddings.describe(reps, embeddings.Pivots(least=number, sample=0))  # pivots apart from the pairs
+    lists = {n: set(k) for n, k in told.select("node", embeddings._lists(F.col("pivots"))).collect()}
+    assert np.mean([not lists[i].isdisjoint(lists[i + 1500]) for i in range(1500)]) > 0.965

@@ -1,11 +1,12 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Every vector is described by its ``NEAREST`` closest reference points (pivots),
-in order of closeness. Vectors that are close see the pivots in nearly the same
-order, so candidates are those that share at least ``SHARED`` = 2 pivots: the
-index keeps an inverted list for each pair of pivots, and a candidate pair is
-counted once, in the list of its two smallest shared pivots. Candidates are
-verified by cosine in double precision.
+Every vector is described by its closest reference points (pivots), in order of
+closeness. Vectors that are close see the pivots in nearly the same order, so
+candidates are those that share at least ``SHARED`` = 2 pivots: the index keeps
+an inverted list for each pair of pivots, and a candidate pair is counted once,
+in the list of its two smallest shared pivots. The more pivots there are, the
+more of the closest describe a vector, so that recall holds at every size.
+Candidates are verified by cosine in double precision.
 
 Lists are compared block against block inside tasks, which return link counts
 and spanning links, never pairs. A list longer than ``BLOCK`` rows is cut into
@@ -29,7 +30,7 @@ from .components import components
 from .simhash import spanning
 
 THRESHOLD = 0.95
-NEAREST = 5
+NEAREST, FEW = 5, 256
 SHARED = 2
 BLOCK = 2048
 _PIVOT_BITS = 20
@@ -52,6 +53,14 @@ class Pivots:
         return min(max(self.least, 1 << int(np.ceil(np.log2(max(vectors, 1)) / 2))), 1 << _PIVOT_BITS)
 
 
+def nearest(number: int) -> int:
+    """Pivots that describe a vector: ``NEAREST`` of ``FEW``, one more for each four times as many.
+
+    More pivots stand closer together, and near vectors order them less alike; this makes up for it.
+    """
+    return NEAREST + max(0, int(np.ceil(np.log2(number / FEW) / 2)))
+
+
 def usable(vector: Column) -> Column:
     """True for vectors that have a direction: no null or non-finite component and not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -112,7 +121,7 @@ def describe(reps: DataFrame, how: Pivots = Pivots()) -> DataFrame:
                 for size in np.unique(lengths):
                     at = np.flatnonzero(lengths == size)
                     close = _units(_vectors(batch.column("vector").take(pa.array(at)), size)) @ shared.value[size].T
-                    order = np.argsort(-close, axis=1, kind="stable")[:, :NEAREST]
+                    order = np.argsort(-close, axis=1, kind="stable")[:, : nearest(len(shared.value[size]))]
                     for i, row in zip(at, order.tolist()):
                         near[i] = row
                 yield pa.RecordBatch.from_arrays(
@@ -124,8 +133,8 @@ def describe(reps: DataFrame, how: Pivots = Pivots()) -> DataFrame:
 def _lists(pivots: Column) -> Column:
     """The inverted lists of a vector: one key for each pair of its pivots, smaller pivot first."""
     p = F.sort_array(pivots)
-    pairs = [(a, b) for a in range(NEAREST) for b in range(a + 1, NEAREST)]
-    return F.array(*(F.shiftleft(F.get(p, a).cast("long"), _PIVOT_BITS) + F.get(p, b) for a, b in pairs))
+    return F.flatten(F.transform(p, lambda a, at: F.transform(
+        F.slice(p, at + 2, F.size(p)), lambda b: F.shiftleft(a.cast("long"), _PIVOT_BITS) + b)))
 
 
 _LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
@@ -174,8 +183,9 @@ def _compared(threshold: float):
                 part = batch.slice(start, stop - start)
                 size, key, first, second = ids[:, start].tolist()
                 plain = [part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "weight")]
+                pivots = part.column("pivots")
                 out.append(block(key, first, second, size, *plain, _vectors(part.column("vector"), size),
-                                 _vectors(part.column("pivots"), NEAREST), part.column("slice").to_numpy(zero_copy_only=False)))
+                                 _vectors(pivots, len(pivots[0])), part.column("slice").to_numpy(zero_copy_only=False)))
             held[:] = [] if whole else [batch.slice(cuts[-2])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_LINKED)
