@@ -318,29 +318,29 @@ RAW = {
         from surrogate_importance order by m desc, sub_feature limit 10""",
     "importance_by_snapshot": "select * from surrogate_by_snapshot",
     # model-bound: what holds for any fit
-    "oof_scores": """
+    "oof_scores_holds": """
         select user_id, snapshot_t, engaged, fold, true as score from at_risk_keys join dealt using (user_id)""",
-    "oof_metrics": "select count(*) as n_rows, true as roc_auc, true as average_precision from at_risk_keys",
-    "permutation_auc": """
+    "oof_metrics_holds": "select count(*) as n_rows, true as roc_auc, true as average_precision from at_risk_keys",
+    "permutation_auc_holds": """
         select count(*) as n_rows, cast(sum(engaged) as bigint) as n_pos, true as roc_auc from at_risk_keys""",
-    "fold_metrics": """
+    "fold_metrics_holds": """
         select fold, count(*) as n_rows, true as sound from marked join pool_dealt using (user_id)
         where not is_test group by fold""",
-    "holdout_metrics": "select count(*) as n_rows, round(avg(engaged), 6) as base_rate from marked where is_test",
-    "gain_importance": "select sub_feature, true as not_negative from trained",
-    "oof_attribution": """
+    "holdout_metrics_holds": "select count(*) as n_rows, round(avg(engaged), 6) as base_rate from marked where is_test",
+    "gain_importance_holds": "select sub_feature, true as not_negative from trained",
+    "oof_attribution_holds": """
         select user_id, snapshot_t, fold, true as adds_up from at_risk_keys join dealt using (user_id)""",
-    "model_importance": "select sub_feature, true as in_order, true as falling from trained",
-    "attribution_per_row": """
+    "model_importance_holds": "select sub_feature, true as in_order, true as falling from trained",
+    "attribution_per_row_holds": """
         select user_id, snapshot_t, engaged, cast(least((select count(*) from trained), 40) as integer) as n_features
         from at_risk_keys""",
-    "live_scores": "select user_id, snapshot_t, true as forecast_probability from live_keys",
-    "live_importance": "select sub_feature, true as not_negative from trained",
-    "live_summary": """
+    "live_scores_holds": "select user_id, snapshot_t, true as forecast_probability from live_keys",
+    "live_importance_holds": "select sub_feature, true as not_negative from trained",
+    "live_summary_holds": """
         select snapshot_t, strftime(snapshot_t, '%B %Y') as "month", cast(check_day as varchar) as check_day,
                is_training as outcome_known, (select count(*) from live_keys) as n_at_risk, true as mean_probability
         from grid where is_live""",
-    "run_metrics": """
+    "run_metrics_holds": """
         select unnest(['users_n_before', 'users_n_excluded', 'users_n_after']) as metric,
                unnest([n_before, n_before - n_after, n_after])::double as value
         from (select count(distinct user_id) as n_before from personas), (select count(*) as n_after from clean_users)

@@ -306,21 +306,23 @@ def _share(column: str):
     return F.col(column).between(0.0, 1.0).alias(column)
 
 
-def oof_scores(w: Workspace) -> DataFrame:
+def oof_scores_holds(w: Workspace) -> DataFrame:
     return w.run.oof.scored.select(*KEYS, "engaged", "fold", _share("score"))
 
 
-def oof_metrics(w: Workspace) -> DataFrame:
+def oof_metrics_holds(w: Workspace) -> DataFrame:
     return w.run.oof_metrics().select("n_rows", _share("roc_auc"), _share("average_precision"))
 
 
-def permutation_auc(w: Workspace) -> DataFrame:
+def permutation_auc_holds(w: Workspace) -> DataFrame:
     """The shuffled labels have as many positives as the labels; their score is a proportion."""
     labels = w.run.permuted.scored.agg(F.count("*").alias("n_rows"), F.sum("engaged").alias("n_pos"))
-    return labels.crossJoin(F.broadcast(w.run.permutation_auc().select(_share("roc_auc"))))  # one row each
+    share = w.run.permutation_auc().select(_share("roc_auc"))
+    both = labels.unionByName(share, allowMissingColumns=True)  # one row each
+    return both.agg(F.max("n_rows").alias("n_rows"), F.max("n_pos").alias("n_pos"), F.max("roc_auc").alias("roc_auc"))
 
 
-def fold_metrics(w: Workspace) -> DataFrame:
+def fold_metrics_holds(w: Workspace) -> DataFrame:
     """Per fold: its rows, and that gap = train - validation, with both in range where defined."""
     rows = w.run.pool.scored.groupBy("fold").agg(F.count("*").alias("n_rows"))
     gap = F.abs(F.col("gap") - (F.col("train_auc") - F.col("validation_auc"))) < 1e-12
@@ -328,15 +330,15 @@ def fold_metrics(w: Workspace) -> DataFrame:
     return rows.join(w.run.fold_metrics().select("fold", F.coalesce(sound, F.lit(True)).alias("sound")), "fold")
 
 
-def holdout_metrics(w: Workspace) -> DataFrame:
+def holdout_metrics_holds(w: Workspace) -> DataFrame:
     return w.run.holdout_metrics().select("n_rows", F.round("base_rate", 6).alias("base_rate"))
 
 
-def gain_importance(w: Workspace) -> DataFrame:
+def gain_importance_holds(w: Workspace) -> DataFrame:
     return w.run.gain_importance().select("sub_feature", (F.col("gain") >= 0).alias("not_negative"))
 
 
-def oof_attribution(w: Workspace) -> DataFrame:
+def oof_attribution_holds(w: Workspace) -> DataFrame:
     """Per row: its attributions and the base value of its fold's model add up to the model's score."""
     run = w.run
     sums = run.phi.groupBy(*KEYS).agg(F.sum("phi").alias("phi"))
@@ -349,7 +351,7 @@ def oof_attribution(w: Workspace) -> DataFrame:
         *KEYS, "fold", (F.col("high") - F.col("low") < 1e-6).alias("adds_up"))
 
 
-def model_importance(w: Workspace) -> DataFrame:
+def model_importance_holds(w: Workspace) -> DataFrame:
     """Every feature once, ranks without gaps, in the order of the rounded means."""
     by_rank = Window.orderBy("rank")  # one row per feature
     falling = F.coalesce(F.lag("mean_abs_shap").over(by_rank) >= F.col("mean_abs_shap"), F.lit(True))
@@ -357,20 +359,20 @@ def model_importance(w: Workspace) -> DataFrame:
         "sub_feature", (F.row_number().over(by_rank) == F.col("rank")).alias("in_order"), falling.alias("falling"))
 
 
-def attribution_per_row(w: Workspace) -> DataFrame:
+def attribution_per_row_holds(w: Workspace) -> DataFrame:
     wide = w.run.attribution_per_row()
     return wide.select(*KEYS, "engaged", F.lit(len(wide.columns) - 4).alias("n_features"))
 
 
-def live_scores(w: Workspace) -> DataFrame:
+def live_scores_holds(w: Workspace) -> DataFrame:
     return w.live.scores.select(*KEYS, _share("forecast_probability"))
 
 
-def live_importance(w: Workspace) -> DataFrame:
+def live_importance_holds(w: Workspace) -> DataFrame:
     return w.live.ranking.select("sub_feature", (F.col("mean_abs_shap") >= 0).alias("not_negative"))
 
 
-def live_summary(w: Workspace) -> DataFrame:
+def live_summary_holds(w: Workspace) -> DataFrame:
     return w.live.summary.withColumn("mean_probability", _share("mean_probability"))
 
 
@@ -383,7 +385,7 @@ FIT_FREE = (
 )
 
 
-def report(w: Workspace) -> DataFrame:
+def run_metrics_holds(w: Workspace) -> DataFrame:
     return w.report().filter(F.col("metric").isin(*FIT_FREE))
 
 
@@ -457,19 +459,33 @@ QUERIES = {
     "importance_by_snapshot": lambda w: w.surrogate_by_snapshot(),
     "importance_latest": lambda w: importance.latest(w.surrogate_by_snapshot()),
     # model-bound
-    "oof_scores": oof_scores,
-    "oof_metrics": oof_metrics,
-    "permutation_auc": permutation_auc,
-    "fold_metrics": fold_metrics,
-    "holdout_metrics": holdout_metrics,
-    "gain_importance": gain_importance,
-    "oof_attribution": oof_attribution,
-    "model_importance": model_importance,
-    "attribution_per_row": attribution_per_row,
-    "live_scores": live_scores,
-    "live_importance": live_importance,
-    "live_summary": live_summary,
-    "run_metrics": report,
+    "oof_scores": lambda w: w.run.oof.scored.drop("x"),
+    "oof_metrics": lambda w: w.run.oof_metrics(),
+    "permutation_auc": lambda w: w.run.permutation_auc(),
+    "fold_metrics": lambda w: w.run.fold_metrics(),
+    "holdout_metrics": lambda w: w.run.holdout_metrics(),
+    "gain_importance": lambda w: w.run.gain_importance(),
+    "oof_attribution": lambda w: w.run.phi,
+    "model_importance": lambda w: w.run.ranking,
+    "attribution_per_row": lambda w: w.run.attribution_per_row(),
+    "live_scores": lambda w: w.live.scores,
+    "live_importance": lambda w: w.live.ranking,
+    "live_summary": lambda w: w.live.summary,
+    "run_metrics": lambda w: w.report(),
+    # what holds for any fit of the same
+    "oof_scores_holds": oof_scores_holds,
+    "oof_metrics_holds": oof_metrics_holds,
+    "permutation_auc_holds": permutation_auc_holds,
+    "fold_metrics_holds": fold_metrics_holds,
+    "holdout_metrics_holds": holdout_metrics_holds,
+    "gain_importance_holds": gain_importance_holds,
+    "oof_attribution_holds": oof_attribution_holds,
+    "model_importance_holds": model_importance_holds,
+    "attribution_per_row_holds": attribution_per_row_holds,
+    "live_scores_holds": live_scores_holds,
+    "live_importance_holds": live_importance_holds,
+    "live_summary_holds": live_summary_holds,
+    "run_metrics_holds": run_metrics_holds,
 }
 
 _workspaces: dict[tuple[str, str, str], Workspace] = {}

@@ -55,12 +55,12 @@ def forecast(
     """Probabilities, attribution ranking and summary; empty tables for an empty cohort."""
     spark = usage_long.sparkSession
     wide = live_matrix(personas, grid, segments, usage_long, names, cfg)
-    rows = write_through(boosting.model_rows(wide, names), "live-rows")
-    scored = write_through(boosting.score(rows, model, "forecast_probability"), "live-scores")
+    rows = write_through(boosting.model_rows(wide, names).withColumn("fold", F.lit(_LIVE)), "live-rows")
+    scored = write_through(boosting.score(rows.drop("fold"), model, "forecast_probability"), "live-scores")
 
     features = matrix.feature_table(spark, names)
     leaves = attribution.leaf_table(boosting.tree_nodes(spark, {_LIVE: model}))
-    phi = attribution.attribute(rows.withColumn("fold", F.lit(_LIVE)), leaves, features)
+    phi = attribution.attribute(rows, leaves, features)
     ranking = importance.live_ranking(importance.mean_abs(phi, rows, features))
     if rows.isEmpty():
         ranking = ranking.limit(0)
