@@ -102,3 +102,26 @@ def test_boosting_learns_a_rule():
     y = ((x[:, 1] > 0.5) ^ (x[:, 3] > 0.3)).astype(float)
     trees = extraction.boost(x[:1500], y[:1500], extraction.Fit())
     assert ((trees.logits(x[1500:]) > 0) == (y[1500:] > 0)).mean() > 0.97
+
+
+@pytest.mark.parametrize("inside, want", [
+    ("<p>a</p><svg viewBox='0 0 1 1'/><p>b</p>", ["a", "b"]), ("<p>a</p><math/><p>b</p>", ["a", "b"]),
+    ("<p>a</p><object data=x /><p>b</p>", ["a", "b"]), ("<p>a</p><noscript><p>b</p>", ["a", "b"]),
+    ("<p>a</p><select><p>b</p>", ["a", "b"]), ("<p>a</p><template><p>b</p>", ["a", "b"]),
+    ("<p>a</p><iframe src=x><p>b</p>", ["a", "b"]), ("<p>a</p><svg><path d='M0'/><p>b</p>", ["a", "b"]),
+    ("<p>a</p><noscript><p>b</p></noscript><p>c</p>", ["a", "b", "c"]), ("<object><p>a</p></object>", ["a"]),
+    ("<p>as <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", ["as x=1 holds"]),
+    ("<p>a <svg><title>t</title><path d='M0'/></svg> b</p>", ["a b"]), ("<p>a<noscript><img src=x></noscript>b</p>", ["a b"]),
+    ("<p>a</p><svg><text>b</text><style/><circle r=1 /></svg><p>c</p>", ["a", "b", "c"]),
+    ("<p>a</p><iframe>no</iframe><textarea><p>no</textarea><title>no</title><script>no</script><p>b</p>", ["a", "b"]),
+])
+def test_no_text_is_lost_by_its_element(inside, want):
+    page = parse(f"<nav>n</nav><article>{inside}</article><footer>f</footer>")
+    assert [t for t in page.text if t] == ["n", *want, "f"]
+    at = page.tag.index("article")
+    assert [t for t in page.text[at : page.end[at]] if t] == want
+
+
+def test_many_unclosed_elements_take_no_long_time():
+    for tag in ("svg", "math", "object", "select", "noscript", "template", "iframe", "textarea", "title"):
+        assert parse(f"<{tag}>" * 20_000 + "x").text[-1] == "x"

@@ -12,10 +12,17 @@ import re
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg math object textarea select title".split())
+RAW = frozenset("script style iframe textarea title".split())
+#: Of these an unclosed one takes the rest of the page; other raw elements without an end tag hold nothing.
+CODE = frozenset(["script", "style"])
+FOREIGN = frozenset(["svg", "math"])
+#: Without any text they do not part the text around them.
+EMPTY = frozenset("svg noscript object select template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt "
+    "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form "
@@ -37,6 +44,10 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*')*+|[^<>]*+)>",
     re.S,
 )
+_TEXTLESS = {
+    t: re.compile(rf"(?:\s++|<title\b[^<>]*+>[^<]*+</title\s*+>|<(?!/?(?:{t}|title|script|style|iframe|textarea)\b)[/a-z][^<>]*+>)*+</{t}\s*+>", re.I)
+    for t in EMPTY
+}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _MARK = re.compile(r"\bdata-kept\b")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -111,6 +122,7 @@ def parse(source: str) -> Page:
                     return
 
     at, size = 0, len(source)
+    unended: set[str] = set()
     closes_p, barrier = frozenset(["p"]), CLOSES_P - {"p"}
     while at < size:
         m = _TOKEN.search(source, at)
@@ -140,9 +152,24 @@ def parse(source: str) -> Page:
                     continue  # an inline end tag does not close blocks
                 pop(place)
             continue
+        if m[3].endswith("/") and (tag in FOREIGN or any(count.get(t) for t in FOREIGN)):
+            run.append(" ")  # self-closed, as nothing is outside of svg and math
+            continue
         if tag in RAW:
-            ended = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-            at = ended.end() if ended else size
+            ended = None
+            if tag not in unended:
+                ended = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+            if ended:
+                at = ended.end()
+            elif tag in CODE:
+                at = size
+            else:
+                unended.add(tag)
+            run.append(" ")
+            continue
+        textless = _TEXTLESS[tag].match(source, at) if tag in EMPTY else None
+        if textless:
+            at = textless.end()
             run.append(" ")
             continue
         if tag in VOID:
