@@ -143,3 +143,11 @@ def test_ordered_grades():
         chances = -np.diff(np.concatenate(([1.0], above, [0.0])))
         assert (chances >= 0).all() and np.isclose(expected, chances @ [1, 2, 4, 7]) and np.isclose(tail, chances[2:].sum())
         assert model.rate(t, 8)[1] == 0.0 and model.rate(t, 0)[1] == 1.0
+
+
+@pytest.mark.parametrize("label", [None, 0, 1])
+def test_without_two_classes_no_document_is_called_toxic(spark, label):
+    docs = odd_documents(spark)
+    rows = [(i, label) for i in range(9)] if label is not None else []
+    kept = toxicity.clean(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+    assert sorted(kept.collect(), key=str) == sorted(docs.collect(), key=str)

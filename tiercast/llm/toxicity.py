@@ -69,16 +69,17 @@ def buckets(text: str, keep: np.ndarray | None = None) -> np.ndarray:
 
 
 class Model:
-    """``weight`` per bucket (zero where it says nothing) and the bias."""
+    """``weight`` per bucket (zero where it says nothing) and the bias; ``learnt`` if the fit saw both classes."""
 
-    def __init__(self, weight: np.ndarray, bias: float):
+    def __init__(self, weight: np.ndarray, bias: float, learnt: bool = True):
+        self.learnt = learnt
         self.used = np.flatnonzero(weight).astype(np.int32)
         self.values = weight[self.used].astype(np.float64)
         self.bias = float(bias)
         self._dense = None
 
     def __getstate__(self):
-        return {"used": self.used, "values": self.values, "bias": self.bias, "_dense": None}
+        return {"used": self.used, "values": self.values, "bias": self.bias, "learnt": self.learnt, "_dense": None}
 
     def score(self, text: str) -> float:
         if self._dense is None:
@@ -98,7 +99,7 @@ def fit(texts: list[str], labels: list[int], how: Fit = Fit(), share_toxic: floa
     y = np.asarray(labels, np.float64)
     if len(set(labels)) < 2:
         share = min(max(float(y.mean()), 1e-6), 1 - 1e-6) if len(y) else 0.5
-        return Model(np.zeros(1 << BUCKET_BITS), np.log(share / (1 - share)))
+        return Model(np.zeros(1 << BUCKET_BITS), np.log(share / (1 - share)), learnt=False)
     counts = np.zeros((2, 1 << BUCKET_BITS))
     for text, label in zip(texts, labels):
         counts[label, buckets(text)] += 1
@@ -188,6 +189,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), how:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not judged toxic, with their columns."""
-    scored = score(set_aside(docs, "score", "predicted"), train(docs, labels))
+    """The rows of ``docs`` that are not judged toxic, with their columns; all of them if the labels teach no two classes."""
+    model = train(docs, labels)
+    if not model.learnt:
+        return docs
+    scored = score(set_aside(docs, "score", "predicted"), model)
     return restored(scored.where(F.col("predicted") == 0), docs)
