@@ -62,8 +62,10 @@ def token_stream(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
         "doc_id", "doc_tokens", "width", "ids", (F.col("base") + F.col("first")).alias("place"))
 
 
-def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: where a run of a document's ids lies in which sequence, and the ids (u32).
+def pack(
+    docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, end_id: int = END_ID, with_ids: bool = True,
+) -> DataFrame:
+    """One row per piece: where a run of a document's ids lies in which sequence, and the ids (u32; null unless ``with_ids``).
 
     Sequence k holds stream positions [k * length, (k + 1) * length), so every
     sequence but the last is full. Null and empty texts hold the end id alone;
@@ -80,7 +82,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None, e
                 while start < len(ids):
                     sequence, offset = divmod(d["place"] + start, length)
                     piece = ids[start : start + length - offset].tobytes()
-                    rows.append((d["doc_id"], start, len(piece) // 4, zlib.crc32(piece), d["doc_tokens"], sequence, offset, piece))
+                    rows.append((d["doc_id"], start, len(piece) // 4, zlib.crc32(piece), d["doc_tokens"], sequence, offset, piece if with_ids else None))
                     start += len(piece) // 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
 

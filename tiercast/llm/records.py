@@ -103,7 +103,7 @@ class RecordSet:
         ship(self.spark)
         if index is None:
             shards = self.spark.read.parquet(f"{self.folder}/index").agg(F.max("shard")).first()[0]
-            by_shard = self.index().repartition((shards or 0) + 1, "shard")
+            by_shard = self.index().repartitionByRange((shards or 0) + 1, "shard")
             index = by_shard.sortWithinPartitions("shard", "row")
         folder = self.folder
 

@@ -1,25 +1,32 @@
 """Token ids of whole texts, and documents laid out in id order.
 
 The vocabulary is a public file read by the ``tokenizers`` library. Byte-level
-BPE treats every piece between two safe borders on its own, so the ids of a
-piece are looked up once and kept; the ids of a text are those of its pieces.
+BPE treats every piece between two safe borders on its own. The texts of a
+slice are cut into pieces by Arrow; only pieces not met before are looked at
+closer, and the ids of the texts are put together by offsets.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, text_column
-
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces between spaces, and words inside them, kept per Python worker; beyond it a store starts anew. The
-#: first pieces met, mostly the frequent ones, stay in a small store that is fast to search. No result depends on them.
-FIRST_PIECES, KEPT_PIECES, KEPT_WORDS = 20_000, 400_000, 400_000
+#: Text encoded at once, and pieces and their characters kept per Python worker; beyond them a
+#: store starts anew. No result depends on them.
+SLICE_BYTES = 4 << 20
+KEPT_PIECES, KEPT_CHARACTERS = 400_000, 16 << 20
+
+# A space before anything that may be white space: a superset of what byte-level BPE calls so.
+_SPACES = r" [\x00-\x20\x7f-\x{a0}\p{Z}]"
+_SPACES_AHEAD = r"(^| )[\x00-\x20\x7f-\x{a0}\p{Z}]"
+_BORDER = re.compile(r" (?=\S)")
 
 # The split of byte-level BPE, with its letter, number and space classes up to U+024F.
 _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
@@ -28,8 +35,6 @@ _SPLIT = re.compile(
     f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 _BEYOND = re.compile("[^\0-ɏ]")
-_SPACE_RUN = re.compile(r" \s")
-_BORDER = re.compile(r" (?=\S)")
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -40,19 +45,82 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable letter that byte-level BPE writes for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, … of each run, all runs end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def bounds(sizes: np.ndarray) -> np.ndarray:
+    """Where runs of these sizes begin and, last, end."""
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+class PieceStore:
+    """The ids of pieces met before: a number for each piece, and its run in one flat array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict = {}
+        self.characters = 0
+        self.flat = np.empty(0, self.dtype)
+        self.ends = np.zeros(1, np.int64)
+
+    def room(self) -> None:
+        """Start anew if the store is full; a slice's own pieces may go beyond that."""
+        if len(self.numbers) > KEPT_PIECES or self.characters > KEPT_CHARACTERS:
+            self.clear()
+
+    def look_up(self, pieces: list[str], encode) -> np.ndarray:
+        """A number for each of ``pieces``; ``encode`` gives (ids, sizes) of those not met before."""
+        numbers = self.numbers
+        found = np.fromiter(map(numbers.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            unmet = list(map(pieces.__getitem__, missing.tolist()))
+            new = list(dict.fromkeys(unmet))
+            numbers.update(zip(new, count(len(numbers))))
+            ids, sizes = encode(new)
+            self.flat = np.concatenate((self.flat, ids.astype(self.dtype)))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+            self.characters += sum(map(len, new))
+            found[missing] = np.fromiter(map(numbers.__getitem__, unmet), np.int64, len(unmet))
+        return found
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces end to end, and how many each has."""
+        starts = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - starts
+        return self.flat[runs(starts, sizes)], sizes
+
+
+def numbered(values: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The distinct strings, and for each value the place of its own."""
+    coded = values.dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
+def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
 class Encoder:
-    """Ids of texts as little-endian bytes, ``width`` bytes an id.
+    """Ids of texts, ``width`` bytes each.
 
     A text is cut before each space that a non-space follows; no token of the
-    vocabulary crosses such a border. Pieces of characters up to U+024F are cut
-    further by the vocabulary's own split; others go to the library whole.
+    vocabulary crosses such a border. New pieces of characters up to U+024F are
+    cut further by the vocabulary's own split, and only new words go to its
+    merges; other pieces go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -61,56 +129,89 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
-        self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.size = self._tokenizer.get_vocab_size()
+        self.width = 2 if self.size <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self._letters = {chr(b): c for b, c in _byte_letters().items()}
-        self._letters = str.maketrans(self._letters)
-        self._first: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
-
-    def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if len(self._words) >= KEPT_WORDS:
-            self._words.clear()
-        spelled = word.encode().decode("latin-1").translate(self._letters)
-        found = self._words[word] = self._ids([t.id for t in self._model.tokenize(spelled)])
-        return found
+        self._letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self._heads, self._pieces, self._words = (PieceStore(self.dtype) for _ in range(3))
 
-    def _piece(self, piece: str) -> bytes:
-        if _BEYOND.search(piece):
-            return self._ids(self._tokenizer.encode(piece, add_special_tokens=False).ids)
-        words = _SPLIT.findall(piece)
-        found = list(map(self._words.get, words))
-        if None in found:
-            found = [self._word(w) if ids is None else ids for w, ids in zip(words, found)]
-        return b"".join(found)
+    def token_bytes(self) -> list[bytes]:
+        """The bytes that each id stands for."""
+        byte = {c: b for b, c in byte_letters().items()}
+        spelled = (self._tokenizer.id_to_token(i) or "" for i in range(self.size))
+        return [bytes(byte[c] for c in s) if all(c in byte for c in s) else s.encode() for s in spelled]
+
+    def _whole(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces by the library."""
+        return joined([e.ids for e in self._tokenizer.encode_batch(pieces, add_special_tokens=False)])
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, the units of the vocabulary's split, by its merges alone."""
+        space, letters, tokenize = self._letters[ord(" ")], self._letters, self._model.tokenize
+        return joined([
+            [t.id for t in tokenize(
+                w.replace(" ", space) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters))]
+            for w in words])
+
+    def _after_space(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that each follow a space: the known ones' words end to end, the rest by the library."""
+        text = " ".join(["", *pieces])
+        far = np.zeros(len(pieces), bool)
+        if "" in pieces or _BEYOND.search(text):
+            far = np.array([not p or _BEYOND.search(p) is not None for p in pieces], bool)
+        near = [p for p, f in zip(pieces, far) if not f]
+        words = _SPLIT.findall(" ".join(["", *near]) if far.any() else text)
+        ends = np.cumsum(np.fromiter(map(len, near), np.int64, len(near)) + 1)
+        cuts = np.searchsorted(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), ends) + 1
+        self._words.room()
+        ids, sizes = self._words.ids(self._words.look_up(words, self._merged))
+        sizes = np.diff(bounds(sizes)[np.concatenate(([0], cuts))])
+        if not far.any():
+            return ids, sizes
+        more, more_sizes = self._whole([" " + p for p, f in zip(pieces, far) if f])
+        order = np.argsort(np.concatenate((np.flatnonzero(~far), np.flatnonzero(far))))
+        starts, all_sizes = bounds(np.concatenate((sizes, more_sizes))), np.concatenate((sizes, more_sizes))[order]
+        return np.concatenate((ids, more))[runs(starts[order], all_sizes)], all_sizes
+
+    def encode_all(self, texts: pa.Array, after_space: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and the bounds of each text; null counts as empty.
+
+        With ``after_space`` a space stands before every text.
+        """
+        texts = texts.cast(pa.string()).fill_null("")
+        if not len(texts):
+            return np.empty(0, self.dtype), np.zeros(1, np.int64)
+        lists = pc.split_pattern(texts, " ")
+        bare = np.full(len(texts), not after_space)  # the first piece follows no space
+        odd = pc.match_substring_regex(texts, _SPACES_AHEAD if after_space else _SPACES).to_numpy(zero_copy_only=False)
+        if odd.any():
+            rows = np.flatnonzero(odd)
+            lead = " " if after_space else ""
+            cut = [_BORDER.split(lead + texts[i].as_py()) for i in rows.tolist()]
+            order = np.arange(len(texts))
+            order[rows] = len(texts) + np.arange(len(rows))
+            lists = pa.concat_arrays([lists, pa.array(cut, lists.type)]).take(pa.array(order))
+            bare[rows] = True
+        per_text = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = bounds(per_text)
+        is_head = np.zeros(begins[-1], bool)
+        is_head[begins[:-1][bare]] = True
+        pieces, codes = numbered(lists.flatten().filter(pa.array(~is_head)))
+        heads, head_codes = numbered(pc.list_element(lists, 0).filter(pa.array(bare)))
+        self._pieces.room()
+        self._heads.room()
+        ids, sizes = self._pieces.ids(self._pieces.look_up(pieces, self._after_space)[codes])
+        if not heads:
+            return ids, bounds(sizes)[begins]
+        head_ids, head_sizes = self._heads.ids(self._heads.look_up(heads, self._whole)[head_codes])
+        # Put together: the run of each piece lies either among the pieces' ids or, behind them, among the heads'.
+        starts, all_sizes = np.empty(begins[-1], np.int64), np.empty(begins[-1], np.int64)
+        starts[~is_head], starts[is_head] = bounds(sizes)[:-1], len(ids) + bounds(head_sizes)[:-1]
+        all_sizes[~is_head], all_sizes[is_head] = sizes, head_sizes
+        return np.concatenate((ids, head_ids))[runs(starts, all_sizes)], bounds(all_sizes)[begins]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        pieces = _BORDER.split(text) if _SPACE_RUN.search(text) else text.split(" ")
-        found = list(map(self._first.get, pieces))
-        found[0] = self._piece(pieces[0])
-        at = 0
-        for _ in range(found.count(None)):
-            at = found.index(None, at)
-            piece = pieces[at]
-            ids = self._pieces.get(piece)
-            found[at] = ids if ids is not None else self._keep(piece)
-        return b"".join(found)
-
-    def _keep(self, piece: str) -> bytes:
-        ids = self._piece(" " + piece)
-        if len(self._first) < FIRST_PIECES:
-            self._first[piece] = ids
-        else:
-            if len(self._pieces) >= KEPT_PIECES:
-                self._pieces.clear()
-            self._pieces[piece] = ids
-        return ids
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -133,9 +234,23 @@ def in_id_order(docs: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the strings of ``column`` hold about ``limit`` bytes, or one row more than that."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes, dtype=np.int64), 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[list, list[bytes], Encoder]]:
     """(doc ids, ids with the end id) for bounded slices of a partition."""
     enc = encoder(path)
     end = np.array([end_id], dtype=enc.dtype).tobytes()
-    for batch in slices(batches):
-        yield batch.column("doc_id").to_pylist(), [enc.encode(t) + end for t in text_column(batch, "text")], enc
+    for batch in by_bytes(batches, "text"):
+        ids, begins = enc.encode_all(batch.column("text"))
+        whole, cuts = ids.tobytes(), (begins * enc.width).tolist()
+        yield batch.column("doc_id").to_pylist(), [whole[a:b] + end for a, b in zip(cuts, cuts[1:])], enc
