@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, extraction, language, packing, quality, records, simhash, toxicity, urls
+from . import (
+    alignment, decontamination, embeddings, extraction, language, packing, quality, records, simhash, toxicity, urls, warc,
+    whitening,
+)
 from .common import read
 
 
@@ -43,18 +46,31 @@ def op8_digest_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.piece_digests(packing.pack(read(spark, sf_dir, "documents")))
+    return packing.piece_digests(packing.pack(read(spark, sf_dir, "documents"), with_ids=False))
 
 
 def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_digests(warc.write_archives(read(spark, sf_dir, "pages")))
+
+
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(read(spark, sf_dir, "documents"))
+
+
+def op13_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_cumulative_link, op2_binary_records, op3_cross_parsing, op4_simhash_gray_index, op5_pivot_permutation,
         op6_boosted_dom, op7_nb_ngrams, op8_digest_array, op9_concat_and_cut, op10_wu_manber,
+        op11_dictionary_warc, op12_lockstep_alignment, op13_spectrum_slicing,
     )
 }
 
