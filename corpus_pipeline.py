@@ -43,7 +43,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with the checksum of their ids."""
-    return packing.piece_digests(packing.pack(docs))
+    return packing.piece_digests(packing.pack(docs, with_ids=False))
 
 
 STAGES = [
