@@ -73,7 +73,7 @@ def test_an_empty_table(spark):
 
 def test_archives_are_rolled_and_carry_their_dictionary(spark, tmp_path):
     pages = read(spark, SF_DIR, "pages")
-    archives = warc.write_archives(pages.coalesce(1), str(tmp_path / "w"), archive_bytes=1 << 16)
+    archives = warc.write_archives(pages.coalesce(1), str(tmp_path / "w"), archive_bytes=1 << 13)
     files = sorted(glob.glob(f"{tmp_path}/w/archive-*.warc.zst"))
     assert len(files) > 1 and not glob.glob(f"{tmp_path}/w/.archive-0*")
     assert archives.records().count() == pages.count()
