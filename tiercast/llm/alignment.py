@@ -36,7 +36,7 @@ from .tokens import PieceStore, bounds, by_bytes, encoder, joined, numbered, run
 
 PIECES = "piece_bpe_32k.model"
 #: Text aligned at once, and the bytes one pair of pointers goes over. No result depends on them.
-BLOCK_BYTES, STRETCH = 2 << 20, 256
+BLOCK_BYTES, STRETCH = 1 << 20, 256
 
 _INNER_SPACE = re.compile("(?<=[^ ]) ")
 _piece_encoders: dict[str, "PieceEncoder"] = {}

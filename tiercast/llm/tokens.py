@@ -21,7 +21,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Text encoded at once, and pieces and their characters kept per Python worker; beyond them a
 #: store starts anew. No result depends on them.
 SLICE_BYTES = 4 << 20
-KEPT_PIECES, KEPT_CHARACTERS = 400_000, 16 << 20
+KEPT_PIECES, KEPT_CHARACTERS = 250_000, 8 << 20
 
 # A space before anything that may be white space: a superset of what byte-level BPE calls so.
 _SPACES = r" [\x00-\x20\x7f-\x{a0}\p{Z}]"
