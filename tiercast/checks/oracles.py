@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from tiercast.checks.fixed_model import values_sql
+
 # Building blocks, in dependency order; a query takes along those it mentions.
 BLOCKS = {
     "usage_daily": """
@@ -148,10 +150,64 @@ BLOCKS = {
                row_number() over (order by substr(md5(user_id || ':' || snapshot_t || ':42-labels'), 1, 8),
                                   user_id, snapshot_t) as giver
         from at_risk_keys""",
+    # a model that is written down: the steps to each leaf, what of them a row meets, and coalitions of the others
+    "fixed_nodes": f"""
+        select * from (values {values_sql()})
+            v(fold, tree, tree_weight, node, prediction, cover, gain, low, high, feature, threshold)""",
+    "fixed_steps": """
+        select fold, tree, node as leaf, points, unnest(path, recursive := true) from (
+            with recursive walk as (
+                select *, 2.0 * tree_weight * prediction as points,
+                       cast([] as struct(f integer, up boolean, t double, r double)[]) as path
+                from fixed_nodes where node = 0
+                union all
+                select n.*, 2.0 * w.tree_weight * n.prediction,
+                       list_append(w.path, {'f': w.feature, 'up': n.node = w.high, 't': w.threshold, 'r': n.cover / w.cover})
+                from walk w join fixed_nodes n on n.fold = w.fold and n.tree = w.tree and n.node in (w.low, w.high)
+                where w.low >= 0)
+            select * from walk where low < 0)""",
+    "fixed_terms": """
+        select user_id, snapshot_t, engaged, s.fold, tree, leaf, points, f, value,
+               cast(min(case when (value > t) = up then 1 else 0 end) as double) as held, product(r) as ratio
+        from cells join fixed_steps s on s.f = cells.idx
+        group by all""",
+    "fixed_scores": """
+        select user_id, snapshot_t, engaged, fold, 1 / (1 + exp(-sum(points))) as score from (
+            select user_id, snapshot_t, engaged, fold, tree, leaf, points from fixed_terms
+            group by all having min(held) = 1)
+        group by all""",
+    "fixed_others": """
+        select a.user_id, a.snapshot_t, a.fold, a.tree, a.leaf, a.points, a.f, a.held, a.ratio,
+               count(b.f) as k, coalesce(sum(b.held), 0) as h, coalesce(sum(b.ratio), 0) as r,
+               coalesce(product(b.held), 1) as hh, coalesce(product(b.ratio), 1) as rr, coalesce(sum(b.held * b.ratio), 0) as hr
+        from fixed_terms a join dealt on a.user_id = dealt.user_id and a.fold = dealt.fold
+             left join fixed_terms b
+               on a.user_id = b.user_id and a.snapshot_t = b.snapshot_t and a.fold = b.fold and a.tree = b.tree
+              and a.leaf = b.leaf and a.f <> b.f
+        group by all""",
+    "fixed_phi": """
+        select user_id, snapshot_t, f as idx, sum(points * (held - ratio) * case k
+                   when 0 then 1
+                   when 1 then (h + r) / 2
+                   else hh / 3 + (h * r - hr) / 6 + rr / 3 end) as phi
+        from fixed_others group by all""",
+    "fixed_cells": """
+        select user_id, snapshot_t, cells.idx, sub_feature, value, coalesce(phi, 0) as phi
+        from cells left join fixed_phi using (user_id, snapshot_t, idx)""",
+    "fixed_gain": """
+        select sub_feature, coalesce(sum(g), 0) / 5 as gain
+        from trained left join (select fold, feature, avg(gain) as g from fixed_nodes where low >= 0 group by all) on idx = feature
+        group by sub_feature""",
+    "fixed_ranking": """
+        select sub_feature, round(avg(abs(phi)), 12) as m,
+               row_number() over (order by round(avg(abs(phi)), 12) desc, sub_feature) as rank,
+               cast(case when min(value) = max(value) then 0 when min(round(phi, 12)) = max(round(phi, 12)) then null
+                         else sign(covar_pop(value, phi)) end as double) as direction
+        from fixed_cells group by sub_feature""",
 }
 
 
-def _ranking_sql(by: str) -> str:
+def _ranking_sql(by: str, scored: str = "scored") -> str:
     """Both ranking metrics from tie groups, per ``by`` column or overall."""
     keys, part = (f"{by},", f"partition by {by}") if by else ("", "")
     return f"""
@@ -166,7 +222,7 @@ def _ranking_sql(by: str) -> str:
                 select *, sum(n_pos) over (w) as cum_pos, sum(n_neg) over (w) as cum_neg
                 from (select {keys} score, cast(sum(engaged) as double) as n_pos,
                              cast(sum(1 - engaged) as double) as n_neg
-                      from scored group by {keys} score)
+                      from {scored} group by {keys} score)
                 window w as ({part} order by score desc))
             {f'group by {by}' if by else ''})"""
 
@@ -328,6 +384,39 @@ RAW = {
         where not is_test group by fold""",
     "holdout_metrics_holds": "select count(*) as n_rows, round(avg(engaged), 6) as base_rate from marked where is_test",
     "gain_importance_holds": "select sub_feature, true as not_negative from trained",
+    # a fixed model: values, not only what holds of any
+    "fixed_tree_scores": """
+        select user_id, snapshot_t, engaged, fold, round(score, 9) as score
+        from fixed_scores semi join dealt using (user_id, fold)""",
+    "fixed_tree_in_sample": """
+        select user_id, snapshot_t, engaged, fold, round(score, 9) as score
+        from fixed_scores anti join dealt using (user_id, fold)""",
+    "fixed_tree_metrics": "select * replace (cast(n_rows as bigint) as n_rows) from (" + _ranking_sql("", """(
+        select engaged, round(score, 6) as score from fixed_scores semi join dealt using (user_id, fold))""") + ")",
+    "fixed_tree_fold_metrics": "select * replace (cast(n_rows as bigint) as n_rows) from (" + _ranking_sql("fold", """(
+        select engaged, fold, round(score, 6) as score from fixed_scores anti join dealt using (user_id, fold))""") + ")",
+    "fixed_tree_attribution": """
+        select user_id, snapshot_t, sub_feature, round(value, 9) as value, round(phi, 9) as phi
+        from fixed_cells where round(phi, 9) <> 0""",
+    "fixed_tree_attribution_by_leaf": """
+        select user_id, snapshot_t, sub_feature, round(value, 9) as value, round(phi, 9) as phi
+        from fixed_cells where round(phi, 9) <> 0""",
+    "fixed_tree_gain": "select sub_feature, round(gain, 6) as gain from fixed_gain",
+    "fixed_tree_importance": """
+        select cast(rank as integer) as rank, sub_feature, round_even(m, 3) as mean_abs_shap, round_even(gain, 1) as gain, direction
+        from fixed_ranking join fixed_gain using (sub_feature)""",
+    "fixed_tree_by_snapshot": """
+        select snapshot_t, n_rows, rank, sub_feature, round_even(m, 3) as mean_abs_shap from (
+            select snapshot_t, sub_feature, count(*) as n_rows, avg(abs(phi)) as m,
+                   cast(row_number() over (partition by snapshot_t order by round(avg(abs(phi)), 12) desc, sub_feature) as integer) as rank
+            from fixed_cells group by snapshot_t, sub_feature)
+        where rank <= 10""",
+    "fixed_tree_per_row": """
+        select user_id, snapshot_t, engaged, round(score, 9) as engaged_probability,
+               string_agg(cast(cast(round(phi * 1000000) as bigint) as varchar), ',' order by rank) as cells
+        from fixed_cells join fixed_ranking using (sub_feature) join fixed_scores using (user_id, snapshot_t)
+             join dealt using (user_id, fold)
+        where rank <= 12 group by all""",
     "oof_attribution_holds": """
         select user_id, snapshot_t, fold, true as adds_up from at_risk_keys join dealt using (user_id)""",
     "model_importance_holds": "select sub_feature, true as in_order, true as falling from trained",

@@ -8,13 +8,14 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tiercast.checks import fixed_model
 from tiercast.functions.columns import iso_day, month_label, quoted, sanitize_name
 from tiercast.operators import (
-    calendar, clean, importance, matrix, metrics, population, splits, usage as usage_ops,
+    attribution, calendar, clean, importance, matrix, metrics, population, signatures, splits, usage as usage_ops,
 )
 from tiercast.operators.population import KEYS
 from tiercast.plans.live import Forecast, forecast, live_matrix
-from tiercast.plans.panel import Panel, build_panel
+from tiercast.plans.panel import Panel, build_panel, nonzero_values
 from tiercast.plans.run import PanelTables, run_metrics
 from tiercast.plans.training import TrainingRun
 from tiercast.sources import metadata
@@ -136,6 +137,32 @@ class Workspace:
             self.surrogate_phi, self.at_risk(), self.model_feature_table(), self.cfg.top_n
         )
 
+    # --- a model that is written down, over the panel's rows ---------------
+
+    @cached_property
+    def fixed_nodes(self) -> DataFrame:
+        return fixed_model.nodes(self.spark)
+
+    @cached_property
+    def fixed_tables(self) -> signatures.Signatures:
+        return signatures.signatures(self.fixed_nodes)
+
+    @cached_property
+    def folded(self) -> DataFrame:
+        """The training rows with their fold."""
+        return write_through(splits.group_folds(self.panel.rows, self.cfg.n_folds, self.cfg.seed), "folded")
+
+    @cached_property
+    def fixed_scores(self) -> DataFrame:
+        return write_through(signatures.out_of_fold(self.folded, self.fixed_tables), "fixed-scores")
+
+    @cached_property
+    def fixed_phi(self) -> DataFrame:
+        return write_through(signatures.attribute(self.folded, self.fixed_tables, self.model_feature_table()), "fixed-phi")
+
+    def fixed_means(self) -> DataFrame:
+        return importance.mean_abs(self.fixed_phi, self.panel.rows, self.model_feature_table())
+
     # --- model-bound parts, fitted once ----------------------------------
 
     @cached_property
@@ -298,6 +325,44 @@ def _live_matrix(w: Workspace) -> DataFrame:
     return _packed(live_matrix(w.tables.personas, w.grid, p.segments, p.usage_long, p.names, w.cfg), p.names)
 
 
+# --- a fixed model: scores, attributions and rankings that SQL repeats ---------
+
+
+def fixed_tree_in_sample(w: Workspace) -> DataFrame:
+    scored = signatures.in_sample(w.folded, w.fixed_tables, w.cfg.n_folds)
+    return scored.select(*KEYS, "engaged", "fold", F.round("score", 9).alias("score"))
+
+
+def fixed_tree_fold_metrics(w: Workspace) -> DataFrame:
+    scored = _rounded(signatures.in_sample(w.folded, w.fixed_tables, w.cfg.n_folds), "score")
+    return _rounded(metrics.ranking_metrics(scored, ["fold"]), "roc_auc", "average_precision")
+
+
+def _cells(phi: DataFrame) -> DataFrame:
+    rounded = [F.round(c, 9).alias(c) for c in ("value", "phi")]
+    return phi.select(*KEYS, "sub_feature", *rounded).filter("phi <> 0")
+
+
+def fixed_tree_attribution_by_leaf(w: Workspace) -> DataFrame:
+    return _cells(attribution.attribute(w.folded, attribution.leaf_table(w.fixed_nodes), w.model_feature_table()))
+
+
+def fixed_tree_importance(w: Workspace) -> DataFrame:
+    features, rows = w.model_feature_table(), w.panel.rows
+    values = nonzero_values(w.panel.training_usage, rows)
+    return importance.importance_table(
+        w.fixed_means(), importance.gain(w.fixed_nodes, features, w.cfg.n_folds),
+        importance.direction(w.fixed_phi, values, rows, features))
+
+
+def fixed_tree_per_row(w: Workspace) -> DataFrame:
+    """The wide table of the twelve best features, its attributions as one text."""
+    best = [r.sub_feature for r in importance.ranked(w.fixed_means()).limit(12).collect()]
+    wide = importance.per_row(w.fixed_scores, w.fixed_phi, best)
+    packed = _packed(wide, [f"shap__{n}" for n in best], 1_000_000)
+    return packed.withColumn("engaged_probability", F.round("engaged_probability", 9))
+
+
 # --- model-bound: what can be told of a fit without repeating it ---------------
 
 
@@ -342,10 +407,10 @@ def oof_attribution_holds(w: Workspace) -> DataFrame:
     """Per row: its attributions and the base value of its fold's model add up to the model's score."""
     run = w.run
     sums = run.phi.groupBy(*KEYS).agg(F.sum("phi").alias("phi"))
-    margin = F.log(F.col("score") / (1 - F.col("score"))) / 2
+    log_odds = F.log(F.col("score") / (1 - F.col("score")))
     # A fold's base value is the same for all its rows: what is left after the attributions.
     left = run.oof.scored.join(sums, KEYS, "left").select(
-        *KEYS, "fold", (margin - F.coalesce("phi", F.lit(0.0))).alias("base"))
+        *KEYS, "fold", (log_odds - F.coalesce("phi", F.lit(0.0))).alias("base"))
     bases = left.groupBy("fold").agg(F.min("base").alias("low"), F.max("base").alias("high"))
     return left.join(F.broadcast(bases), "fold").select(  # one row a fold
         *KEYS, "fold", (F.col("high") - F.col("low") < 1e-6).alias("adds_up"))
@@ -458,8 +523,21 @@ QUERIES = {
     "importance_top10": lambda w: w.surrogate_ranking().filter(F.col("rank") <= w.cfg.top_n),
     "importance_by_snapshot": lambda w: w.surrogate_by_snapshot(),
     "importance_latest": lambda w: importance.latest(w.surrogate_by_snapshot()),
+    # a fixed model
+    "fixed_tree_scores": lambda w: w.fixed_scores.withColumn("score", F.round("score", 9)),
+    "fixed_tree_in_sample": fixed_tree_in_sample,
+    "fixed_tree_metrics": lambda w: _rounded(
+        metrics.ranking_metrics(_rounded(w.fixed_scores, "score")), "roc_auc", "average_precision"),
+    "fixed_tree_fold_metrics": fixed_tree_fold_metrics,
+    "fixed_tree_attribution": lambda w: _cells(w.fixed_phi),
+    "fixed_tree_attribution_by_leaf": fixed_tree_attribution_by_leaf,
+    "fixed_tree_gain": lambda w: _rounded(importance.gain(w.fixed_nodes, w.model_feature_table(), w.cfg.n_folds), "gain"),
+    "fixed_tree_importance": fixed_tree_importance,
+    "fixed_tree_by_snapshot": lambda w: importance.by_snapshot(
+        w.fixed_phi, w.panel.rows, w.model_feature_table(), w.cfg.top_n),
+    "fixed_tree_per_row": fixed_tree_per_row,
     # model-bound
-    "oof_scores": lambda w: w.run.oof.scored.drop("x"),
+    "oof_scores": lambda w: w.run.oof.scored,
     "oof_metrics": lambda w: w.run.oof_metrics(),
     "permutation_auc": lambda w: w.run.permutation_auc(),
     "fold_metrics": lambda w: w.run.fold_metrics(),

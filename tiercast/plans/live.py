@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tiercast.config import PanelConfig
 from tiercast.functions.columns import iso_day, month_label
-from tiercast.operators import attribution, boosting, calendar, importance, matrix, population
+from tiercast.operators import attribution, boosting, calendar, importance, matrix, population, signatures
 from tiercast.operators.population import KEYS
 from tiercast.sources.storage import write_through
 
@@ -56,11 +56,16 @@ def forecast(
     spark = usage_long.sparkSession
     wide = live_matrix(personas, grid, segments, usage_long, names, cfg)
     rows = write_through(boosting.model_rows(wide, names).withColumn("fold", F.lit(_LIVE)), "live-rows")
-    scored = write_through(boosting.score(rows.drop("fold"), model, "forecast_probability"), "live-scores")
-
     features = matrix.feature_table(spark, names)
-    leaves = attribution.leaf_table(boosting.tree_nodes(spark, {_LIVE: model}))
-    phi = attribution.attribute(rows, leaves, features)
+    nodes = boosting.tree_nodes(spark, {_LIVE: model})
+    tables = signatures.signatures(nodes)
+    if tables:
+        scored = signatures.score(rows.withColumnRenamed("fold", "model"), tables, "forecast_probability")
+        phi = signatures.attribute(rows, tables, features)
+    else:
+        scored = boosting.score(rows.drop("fold"), model, "forecast_probability")
+        phi = attribution.attribute(rows, attribution.leaf_table(nodes), features)
+    scored = write_through(scored, "live-scores")
     ranking = importance.live_ranking(importance.mean_abs(phi, rows, features))
     if rows.isEmpty():
         ranking = ranking.limit(0)

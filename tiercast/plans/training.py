@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, functions as F
 
 from tiercast.config import PanelConfig
-from tiercast.operators import attribution, boosting, importance, metrics, splits
+from tiercast.operators import attribution, boosting, importance, metrics, signatures, splits
 from tiercast.plans.panel import Panel, nonzero_values
 from tiercast.sources.storage import write_through
 
@@ -20,6 +20,8 @@ class Evaluation:
 
     folded: DataFrame
     models: dict[int, GBTClassificationModel]
+    nodes: DataFrame
+    tables: signatures.Signatures | None  # None if the trees are too deep for them
     scored: DataFrame
 
 
@@ -41,8 +43,10 @@ class TrainingRun:
         # Laid out by fold: a fit reads the folders of the other folds only.
         folded = write_through(folded, f"{name}-folds", "fold")
         models = boosting.fit_folds(folded, self.pos_weight, self.cfg)
-        scored = write_through(boosting.oof_scores(folded, models), f"{name}-scores")
-        return Evaluation(folded, models, scored)
+        nodes = write_through(boosting.tree_nodes(self.spark, models), f"{name}-nodes")
+        tables = signatures.signatures(nodes)
+        scored = signatures.out_of_fold(folded, tables) if tables else boosting.oof_scores(folded, models).drop("x")
+        return Evaluation(folded, models, nodes, tables, write_through(scored, f"{name}-scores"))
 
     @cached_property
     def oof(self) -> Evaluation:
@@ -79,9 +83,12 @@ class TrainingRun:
 
     def fold_metrics(self) -> DataFrame:
         """Train and validation ROC-AUC of every fold of the pool, and their gap."""
-        inside = metrics.roc_auc(
-            boosting.in_sample_scores(self.pool.folded, self.pool.models), ["fold"]
-        ).withColumnRenamed("roc_auc", "train_auc")
+        pool = self.pool
+        scored = (
+            signatures.in_sample(pool.folded, pool.tables, self.cfg.n_folds) if pool.tables
+            else boosting.in_sample_scores(pool.folded, pool.models)
+        )
+        inside = metrics.roc_auc(scored, ["fold"]).withColumnRenamed("roc_auc", "train_auc")
         outside = metrics.roc_auc(self.pool.scored, ["fold"]).withColumnRenamed("roc_auc", "validation_auc")
         return inside.join(outside, "fold").withColumn(
             "gap", F.col("train_auc") - F.col("validation_auc")
@@ -101,15 +108,18 @@ class TrainingRun:
 
     # --- attribution and rankings ----------------------------------------
 
-    @cached_property
+    @property
     def nodes(self) -> DataFrame:
-        return write_through(boosting.tree_nodes(self.spark, self.oof.models), "nodes")
+        return self.oof.nodes
 
     @cached_property
     def phi(self) -> DataFrame:
         """Out-of-fold attributions: each row explained by its own fold's model."""
-        leaves = attribution.leaf_table(self.nodes)
-        cells = attribution.attribute(self.oof.folded, leaves, self.panel.features())
+        folded, features = self.oof.folded, self.panel.features()
+        cells = (
+            signatures.attribute(folded, self.oof.tables, features) if self.oof.tables
+            else attribution.attribute(folded, attribution.leaf_table(self.nodes), features)
+        )
         return write_through(cells, "phi")
 
     def gain_importance(self) -> DataFrame:
