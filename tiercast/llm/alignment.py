@@ -37,6 +37,8 @@ from .tokens import PieceStore, bounds, by_bytes, encoder, joined, numbered, run
 PIECES = "piece_bpe_32k.model"
 #: Text aligned at once, and the bytes one pair of pointers goes over. No result depends on them.
 BLOCK_BYTES, STRETCH = 1 << 20, 256
+#: Pieces kept by each of the two encoders, fewer than where only one works.
+KEPT = 250_000
 
 _INNER_SPACE = re.compile("(?<=[^ ]) ")
 _piece_encoders: dict[str, "PieceEncoder"] = {}
@@ -68,7 +70,7 @@ class PieceEncoder:
         if any("▁" in self._model.id_to_piece(i).lstrip("▁") for i in range(self.size)):
             raise ValueError(f"{path}: a piece holds a space behind other characters")
         self._space = [self._model.piece_to_id("▁")]
-        self._store = PieceStore(np.dtype("<u2" if self.size <= 1 << 16 else "<u4"))
+        self._store = PieceStore(np.dtype("<u2" if self.size <= 1 << 16 else "<u4"), KEPT)
 
     def token_bytes(self) -> list[bytes]:
         """The bytes that each id stands for."""
@@ -119,7 +121,7 @@ class _Spelling:
 
 class _Tokenizers:
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = encoder(a_path), piece_encoder(b_path)
+        self.a, self.b = encoder(a_path, KEPT), piece_encoder(b_path)
         self.a_spelling, self.b_spelling = _Spelling(self.a.token_bytes()), _Spelling(self.b.token_bytes())
         a, b = range(self.a.size), range(self.b.size)
         #: An id as it stands inside a group and, for each vocabulary, at the end of its side of one.

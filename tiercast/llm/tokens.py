@@ -21,7 +21,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Text encoded at once, and pieces and their characters kept per Python worker; beyond them a
 #: store starts anew. No result depends on them.
 SLICE_BYTES = 4 << 20
-KEPT_PIECES, KEPT_CHARACTERS = 250_000, 8 << 20
+KEPT_PIECES, KEPT_CHARACTERS = 600_000, 16 << 20
 
 # A space before anything that may be white space: a superset of what byte-level BPE calls so.
 _SPACES = r" [\x00-\x20\x7f-\x{a0}\p{Z}]"
@@ -36,7 +36,7 @@ _SPLIT = re.compile(
 )
 _BEYOND = re.compile("[^\0-ɏ]")
 
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -66,26 +66,33 @@ def bounds(sizes: np.ndarray) -> np.ndarray:
 class PieceStore:
     """The ids of pieces met before: a number for each piece, and its run in one flat array."""
 
-    def __init__(self, dtype: np.dtype):
-        self.dtype = dtype
-        self.clear()
+    def __init__(self, dtype: np.dtype, kept: int):
+        self.dtype, self.kept = dtype, kept
+        self._start([], np.empty(0, dtype), np.empty(0, np.int64))
 
-    def clear(self) -> None:
-        self.numbers: dict = {}
-        self.characters = 0
-        self.flat = np.empty(0, self.dtype)
-        self.ends = np.zeros(1, np.int64)
+    def _start(self, pieces: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.numbers = dict(zip(pieces, range(len(pieces))))
+        self.characters = sum(map(len, pieces))
+        self.flat, self.ends = flat, bounds(sizes)
+        self._again = np.empty(0, np.int64)  # pieces met in the last look-up and before it
 
     def room(self) -> None:
-        """Start anew if the store is full; a slice's own pieces may go beyond that."""
-        if len(self.numbers) > KEPT_PIECES or self.characters > KEPT_CHARACTERS:
-            self.clear()
+        """If the store is full, keep what came up again last, the frequent pieces; a slice's own may go beyond that."""
+        if len(self.numbers) <= self.kept and self.characters <= KEPT_CHARACTERS:
+            return
+        kept = np.unique(self._again)
+        pieces = list(self.numbers)
+        pieces = [pieces[i] for i in kept.tolist()]
+        if len(pieces) > self.kept // 2 or sum(map(len, pieces)) > KEPT_CHARACTERS // 2:
+            kept, pieces = kept[:0], []
+        self._start(pieces, *self.ids(kept))
 
     def look_up(self, pieces: list[str], encode) -> np.ndarray:
         """A number for each of ``pieces``; ``encode`` gives (ids, sizes) of those not met before."""
         numbers = self.numbers
         found = np.fromiter(map(numbers.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(found < 0)
+        self._again = found[found >= 0]
         if len(missing):
             unmet = list(map(pieces.__getitem__, missing.tolist()))
             new = list(dict.fromkeys(unmet))
@@ -123,7 +130,7 @@ class Encoder:
     merges; other pieces go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -133,7 +140,7 @@ class Encoder:
         self.width = 2 if self.size <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self._letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        self._heads, self._pieces, self._words = (PieceStore(self.dtype) for _ in range(3))
+        self._heads, self._pieces, self._words = (PieceStore(self.dtype, kept) for _ in range(3))
 
     def token_bytes(self) -> list[bytes]:
         """The bytes that each id stands for."""
@@ -214,11 +221,11 @@ class Encoder:
         return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT_PIECES) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]
 
 
 def in_id_order(docs: DataFrame) -> DataFrame:
