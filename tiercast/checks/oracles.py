@@ -384,6 +384,20 @@ RAW = {
         where not is_test group by fold""",
     "holdout_metrics_holds": "select count(*) as n_rows, round(avg(engaged), 6) as base_rate from marked where is_test",
     "gain_importance_holds": "select sub_feature, true as not_negative from trained",
+    # months added to an older run: as if the run had known them
+    "refreshed_usage": "select * from usage_long",
+    "refreshed_segments": "select * from segments",
+    "refreshed_personas": """
+        select user_id, acct_id, score_date, tier as user_category_persona, is_test_a, is_test_b from personas""",
+    "new_month_scores": """
+        select user_id, snapshot_t, round(1 / (1 + exp(-sum(points))), 9) as forecast_probability from (
+            select k.user_id, k.snapshot_t, tree, leaf, points
+            from live_keys k cross join fixed_steps s
+                 left join (select user_id, snapshot_t, idx, early_events from live_usage join trained using (sub_feature)) u
+                   on u.user_id = k.user_id and u.snapshot_t = k.snapshot_t and u.idx = s.f
+            where s.fold = 0
+            group by all having bool_and((ln(1 + coalesce(early_events, 0)) > t) = up))
+        group by all""",
     # a fixed model: values, not only what holds of any
     "fixed_tree_scores": """
         select user_id, snapshot_t, engaged, fold, round(score, 9) as score
@@ -472,4 +486,6 @@ def with_blocks(sql: str) -> str:
     return f"with {', '.join(ctes)}\n{sql.strip()}" if ctes else sql.strip()
 
 
+RAW["refreshed_metadata"] = RAW["run_metadata"]
+
 ORACLES = {name: with_blocks(sql) for name, sql in RAW.items()}

@@ -13,13 +13,15 @@ from tiercast.functions.columns import iso_day, month_label, quoted, sanitize_na
 from tiercast.operators import (
     attribution, calendar, clean, importance, matrix, metrics, population, signatures, splits, usage as usage_ops,
 )
+from tiercast.operators.boosting import model_rows
 from tiercast.operators.population import KEYS
 from tiercast.plans.live import Forecast, forecast, live_matrix
 from tiercast.plans.panel import Panel, build_panel, nonzero_values
-from tiercast.plans.run import PanelTables, run_metrics
+from tiercast.plans.refresh import add_months
+from tiercast.plans.run import PanelTables, prepare_run, read_personas, run_metrics
 from tiercast.plans.training import TrainingRun
 from tiercast.sources import metadata
-from tiercast.sources.storage import fingerprint, write_through
+from tiercast.sources.storage import fingerprint, fresh_path, write_through
 from tiercast.sources.tables import ingest_personas, scan
 from tiercast.sources.testdata import INPUTS, TEST_CONFIG, domain_tables
 
@@ -137,6 +139,32 @@ class Workspace:
             self.surrogate_phi, self.at_risk(), self.model_feature_table(), self.cfg.top_n
         )
 
+    # --- a run over older tables, brought up to date ------------------------
+
+    @cached_property
+    def refreshed(self) -> str:
+        """The folder of a run whose tables ended 70 days earlier, after the months since were added."""
+        t, out = self.tables, fresh_path(self.spark, "run")
+        last = F.lit(self.horizon.first().data_max - dt.timedelta(days=70))
+        older = PanelTables(
+            t.usage.filter(F.col("time_period") <= last), t.catalog, t.personas.filter(F.col("score_date") <= last),
+            t.account_state.filter(F.col("date") <= last))
+        prepare_run(self.spark, older, self.cfg, out)
+        add_months(self.spark, out, PanelTables(t.usage, t.catalog, t.personas, t.account_state), self.cfg)
+        return out
+
+    def refreshed_table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.refreshed}/{name}")
+
+    def new_month_scores(self) -> DataFrame:
+        """The live month from the refreshed folder, scored by the fixed model of fold 0."""
+        grid = calendar.pin(metadata.grid_from_metadata(metadata.read_metadata(self.spark, f"{self.refreshed}/metadata")))
+        wide = live_matrix(
+            read_personas(self.spark, self.refreshed), grid, self.refreshed_table("segments"), self.refreshed_table("usage_long"),
+            self.panel.names, self.cfg)
+        rows = model_rows(wide, self.panel.names).withColumn("model", F.lit(0))
+        return signatures.score(rows, self.fixed_tables, "forecast_probability").drop("model")
+
     # --- a model that is written down, over the panel's rows ---------------
 
     @cached_property
@@ -523,6 +551,14 @@ QUERIES = {
     "importance_top10": lambda w: w.surrogate_ranking().filter(F.col("rank") <= w.cfg.top_n),
     "importance_by_snapshot": lambda w: w.surrogate_by_snapshot(),
     "importance_latest": lambda w: importance.latest(w.surrogate_by_snapshot()),
+    # months added to an older run
+    "refreshed_usage": lambda w: w.refreshed_table("usage_long"),
+    "refreshed_segments": lambda w: w.refreshed_table("segments"),
+    "refreshed_personas": lambda w: read_personas(w.spark, w.refreshed),
+    "refreshed_metadata": lambda w: metadata.read_metadata(w.spark, f"{w.refreshed}/metadata").withColumn(
+        "snapshots", F.to_json("snapshots")),
+    "new_month_scores": lambda w: w.new_month_scores().withColumn(
+        "forecast_probability", F.round("forecast_probability", 9)),
     # a fixed model
     "fixed_tree_scores": lambda w: w.fixed_scores.withColumn("score", F.round("score", 9)),
     "fixed_tree_in_sample": fixed_tree_in_sample,

@@ -11,6 +11,7 @@ from tiercast.functions.columns import sanitize_name
 from tiercast.operators import calendar, matrix, population, usage as usage_ops
 from tiercast.operators.boosting import model_rows
 from tiercast.operators.population import KEYS
+from tiercast.sources import sinks
 from tiercast.sources.storage import write_through
 
 
@@ -47,21 +48,27 @@ def build_panel(
     catalog: DataFrame,
     account_state: DataFrame | None,
     cfg: PanelConfig,
+    keep: str | None = None,
 ) -> Panel:
     """Segments, windowed usage, panel frame, feature list and model rows.
 
     Segments, usage, frame and rows are each read several times downstream, so
-    each is written to the shared folder once and read back from there.
+    each is written to the shared folder once and read back from there. With
+    ``keep``, segments and usage are written below it instead, and stay.
     """
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        """One folder per snapshot: training and scoring read the folders of their own days."""
+        if keep is None:
+            return write_through(df, name.replace("_", "-"), "snapshot_t")
+        sinks.write_parquet(df, f"{keep}/{name}", "snapshot_t")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{keep}/{name}")
+
     segments = None
     if account_state is not None:
         days = calendar.segment_days(grid)
-        segments = write_through(
-            population.segment_at_snapshot(personas, account_state, days), "segments"
-        )
-    # One folder per snapshot: training and scoring read the folders of their own days.
-    windowed = usage_ops.windowed_usage(usage, grid, catalog, cfg).repartitionByRange("snapshot_t", "user_id")
-    usage_long = write_through(windowed, "usage-long", "snapshot_t")
+        segments = written(sinks.by_snapshot(population.segment_at_snapshot(personas, account_state, days)), "segments")
+    usage_long = written(sinks.by_snapshot(usage_ops.windowed_usage(usage, grid, catalog, cfg)), "usage_long")
     training = calendar.recent(grid, cfg.training_months)
     training_usage = calendar.on_days(usage_long, "snapshot_t", training.select("snapshot_t"))
     frame = write_through(population.panel_frame(personas, training, segments, cfg), "frame")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tiercast.config import PanelConfig
+from tiercast.functions.columns import safe_date
 from tiercast.operators import boosting, calendar, clean, metrics, population
 from tiercast.plans.live import Forecast, forecast
 from tiercast.plans.panel import Panel, build_panel
@@ -111,21 +113,39 @@ def write_outputs(run: TrainingRun, live: Forecast, out: str) -> None:
     boosting.save_model(run.final_model, run.panel.names, f"{out}/model")
 
 
-def run_panel(spark: SparkSession, tables: PanelTables, cfg: PanelConfig, out: str) -> DataFrame:
-    """Everything, with its files below ``out``; returns the run report."""
+def _month() -> Column:
+    return F.date_format(safe_date(F.col("score_date")), "yyyy-MM")
+
+
+def write_personas(personas: DataFrame, run: str, since: dt.date | None = None) -> None:
+    """The tier history by month; with ``since``, only that day's month and later ones, and rows without a readable day."""
+    rows = personas.withColumn("tier_month", _month())
+    if since is None:
+        sinks.write_parquet(rows, f"{run}/personas", "tier_month")
+        return
+    known = F.coalesce(F.col("tier_month") < f"{since:%Y-%m}", F.lit(False))
+    sinks.add_parquet(rows.filter(~known), f"{run}/personas", "tier_month")
+
+
+def read_personas(spark: SparkSession, run: str) -> DataFrame:
+    return spark.read.parquet(f"{run}/personas").drop("tier_month")
+
+
+def prepare_run(spark: SparkSession, tables: PanelTables, cfg: PanelConfig, out: str) -> tuple[Panel, DataFrame]:
+    """Metadata, tiers, windowed usage and segments below ``out``; the panel over them, and the horizon."""
     horizon, grid = plan_calendar(tables, cfg)
     metadata.write_metadata(metadata.run_metadata(grid, horizon, cfg), f"{out}/metadata")
     metadata.read_metadata(spark, f"{out}/metadata")  # warns when the tier history is stale
-    panel: Panel = build_panel(
-        grid, tables.personas, tables.usage, tables.catalog, tables.account_state, cfg
-    )
-    sinks.write_parquet(tables.personas, f"{out}/personas")
-    sinks.write_usage(panel.usage_long, f"{out}/usage_long")
-    if panel.segments is not None:
-        sinks.write_parquet(panel.segments, f"{out}/segments")
+    write_personas(tables.personas, out)
+    return build_panel(grid, tables.personas, tables.usage, tables.catalog, tables.account_state, cfg, keep=out), horizon
+
+
+def run_panel(spark: SparkSession, tables: PanelTables, cfg: PanelConfig, out: str) -> DataFrame:
+    """Everything, with its files below ``out``; returns the run report."""
+    panel, horizon = prepare_run(spark, tables, cfg, out)
     run = TrainingRun(panel, cfg)
     live = forecast(
-        run.final_model, panel.names, tables.personas, panel.usage_long, panel.segments, grid, cfg
+        run.final_model, panel.names, tables.personas, panel.usage_long, panel.segments, panel.grid, cfg
     )
     write_outputs(run, live, out)
     report = run_metrics(run, tables, live, horizon)
@@ -141,7 +161,7 @@ def score_month(spark: SparkSession, run: str, cfg: PanelConfig, out: str) -> Fo
     grid = calendar.pin(metadata.grid_from_metadata(metadata.read_metadata(spark, f"{run}/metadata")))
     segments = spark.read.parquet(f"{run}/segments") if cfg.restrict_segment else None
     model, names = boosting.load_model(spark, f"{run}/model")
-    personas, usage_long = (spark.read.parquet(f"{run}/{name}") for name in ("personas", "usage_long"))
-    live = forecast(model, names, personas, usage_long, segments, grid, cfg)
+    usage_long = spark.read.parquet(f"{run}/usage_long")
+    live = forecast(model, names, read_personas(spark, run), usage_long, segments, grid, cfg)
     write_live(live, out)
     return live

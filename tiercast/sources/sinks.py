@@ -10,13 +10,23 @@ def write_parquet(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def write_usage(usage_long: DataFrame, path: str) -> None:
-    """Windowed usage, one folder per snapshot.
+def add_parquet(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Replace the folders that ``df`` has rows for; the other folders are not touched."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def by_snapshot(usage_long: DataFrame) -> DataFrame:
+    """Windowed usage laid out for one folder per snapshot.
 
     Ranges of (snapshot, user) go to the writing tasks: a task meets one or two
     snapshots and so opens few files, and a large snapshot has many writers.
     """
-    write_parquet(usage_long.repartitionByRange("snapshot_t", "user_id"), path, "snapshot_t")
+    return usage_long.repartitionByRange("snapshot_t", "user_id")
+
+
+def add_usage(usage_long: DataFrame, path: str) -> None:
+    """Windowed usage of further snapshots, a folder each."""
+    add_parquet(by_snapshot(usage_long), path, "snapshot_t")
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
