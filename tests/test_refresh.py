@@ -15,7 +15,7 @@ from tiercast.plans.live import forecast
 from tiercast.plans.panel import build_panel
 from tiercast.plans.run import PanelTables, plan_calendar, prepare_run, read_personas, score_month
 from tiercast.plans.training import TrainingRun
-from tiercast.sources import metadata
+from tiercast.sources import metadata, sinks
 
 LAST = dt.date(2001, 6, 5)  # the tables go on to August
 
@@ -64,7 +64,7 @@ def test_equal_to_a_full_rebuild(spark, scored, whole):
     horizon, grid = plan_calendar(whole, cfg)
     panel = build_panel(grid, whole.personas, whole.usage, whole.catalog, whole.account_state, cfg)
     same(spark.read.parquet(f"{out}/usage_long"), panel.usage_long)
-    same(spark.read.parquet(f"{out}/segments"), panel.segments)
+    same(sinks.read_segments(spark, f"{out}/segments"), panel.segments)
     same(read_personas(spark, out), whole.personas)
     saved = metadata.read_metadata(spark, f"{out}/metadata")
     assert saved.collect() == metadata.run_metadata(grid, horizon, cfg).select(*saved.columns).collect()

@@ -21,6 +21,7 @@ from tiercast.plans.refresh import add_months
 from tiercast.plans.run import PanelTables, prepare_run, read_personas, run_metrics
 from tiercast.plans.training import TrainingRun
 from tiercast.sources import metadata
+from tiercast.sources.sinks import read_segments
 from tiercast.sources.storage import fingerprint, fresh_path, write_through
 from tiercast.sources.tables import ingest_personas, scan
 from tiercast.sources.testdata import INPUTS, TEST_CONFIG, domain_tables
@@ -153,16 +154,13 @@ class Workspace:
         add_months(self.spark, out, PanelTables(t.usage, t.catalog, t.personas, t.account_state), self.cfg)
         return out
 
-    def refreshed_table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.refreshed}/{name}")
-
     def new_month_scores(self) -> DataFrame:
         """The live month from the refreshed folder, scored by the fixed model of fold 0."""
         grid = calendar.pin(metadata.grid_from_metadata(metadata.read_metadata(self.spark, f"{self.refreshed}/metadata")))
-        wide = live_matrix(
-            read_personas(self.spark, self.refreshed), grid, self.refreshed_table("segments"), self.refreshed_table("usage_long"),
-            self.panel.names, self.cfg)
-        rows = model_rows(wide, self.panel.names).withColumn("model", F.lit(0))
+        segments = read_segments(self.spark, f"{self.refreshed}/segments")
+        usage_long = self.spark.read.parquet(f"{self.refreshed}/usage_long")
+        wide = live_matrix(read_personas(self.spark, self.refreshed), grid, segments, usage_long, self.panel.names, self.cfg)
+        rows = write_through(model_rows(wide, self.panel.names).withColumn("model", F.lit(0)), "new-month-rows")
         return signatures.score(rows, self.fixed_tables, "forecast_probability").drop("model")
 
     # --- a model that is written down, over the panel's rows ---------------
@@ -552,8 +550,8 @@ QUERIES = {
     "importance_by_snapshot": lambda w: w.surrogate_by_snapshot(),
     "importance_latest": lambda w: importance.latest(w.surrogate_by_snapshot()),
     # months added to an older run
-    "refreshed_usage": lambda w: w.refreshed_table("usage_long"),
-    "refreshed_segments": lambda w: w.refreshed_table("segments"),
+    "refreshed_usage": lambda w: w.spark.read.parquet(f"{w.refreshed}/usage_long"),
+    "refreshed_segments": lambda w: read_segments(w.spark, f"{w.refreshed}/segments"),
     "refreshed_personas": lambda w: read_personas(w.spark, w.refreshed),
     "refreshed_metadata": lambda w: metadata.read_metadata(w.spark, f"{w.refreshed}/metadata").withColumn(
         "snapshots", F.to_json("snapshots")),

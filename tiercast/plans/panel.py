@@ -57,18 +57,22 @@ def build_panel(
     ``keep``, segments and usage are written below it instead, and stay.
     """
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        """One folder per snapshot: training and scoring read the folders of their own days."""
-        if keep is None:
-            return write_through(df, name.replace("_", "-"), "snapshot_t")
-        sinks.write_parquet(df, f"{keep}/{name}", "snapshot_t")
-        return df.sparkSession.read.schema(df.schema).parquet(f"{keep}/{name}")
-
     segments = None
     if account_state is not None:
         days = calendar.segment_days(grid)
-        segments = written(sinks.by_snapshot(population.segment_at_snapshot(personas, account_state, days)), "segments")
-    usage_long = written(sinks.by_snapshot(usage_ops.windowed_usage(usage, grid, catalog, cfg)), "usage_long")
+        segments = population.segment_at_snapshot(personas, account_state, days)
+        if keep is None:
+            segments = write_through(segments, "segments")
+        else:
+            sinks.write_segments(segments, f"{keep}/segments")
+            segments = sinks.read_segments(grid.sparkSession, f"{keep}/segments")
+    # One folder per snapshot: training and scoring read the folders of their own days.
+    windowed = sinks.by_snapshot(usage_ops.windowed_usage(usage, grid, catalog, cfg))
+    if keep is None:
+        usage_long = write_through(windowed, "usage-long", "snapshot_t")
+    else:
+        sinks.write_parquet(windowed, f"{keep}/usage_long", "snapshot_t")
+        usage_long = grid.sparkSession.read.schema(windowed.schema).parquet(f"{keep}/usage_long")
     training = calendar.recent(grid, cfg.training_months)
     training_usage = calendar.on_days(usage_long, "snapshot_t", training.select("snapshot_t"))
     frame = write_through(population.panel_frame(personas, training, segments, cfg), "frame")

@@ -62,7 +62,7 @@ def add_months(
         days = new_segment_days(grid, saved, fresh)
         if not days.isEmpty():
             segments = population.segment_at_snapshot(tables.personas, tables.account_state, days)
-            sinks.add_parquet(segments, f"{run}/segments", "snapshot_t")
+            sinks.write_segments(segments, f"{run}/segments", add=True)
     write_personas(tables.personas, run, min(last_tier_day, again_from) if again_from else last_tier_day)
     # Read back: a JSON document of one row, complete before it replaces the old one.
     metadata.write_metadata(metadata.run_metadata(grid, horizon, cfg), f"{run}/metadata")
@@ -80,7 +80,7 @@ def score_new_month(
     model, names = boosting.load_model(spark, f"{run}/model")
     grid = add_months(spark, run, tables, cfg, again_from)
     usage_long = spark.read.parquet(f"{run}/usage_long")
-    segments = spark.read.parquet(f"{run}/segments") if tables.account_state is not None else None
+    segments = sinks.read_segments(spark, f"{run}/segments") if tables.account_state is not None else None
     live = forecast(model, names, read_personas(spark, run), usage_long, segments, grid, cfg)
     write_live(live, out)
     return live

@@ -159,7 +159,7 @@ def score_month(spark: SparkSession, run: str, cfg: PanelConfig, out: str) -> Fo
     Reads metadata, personas, windowed usage, segments and model; writes the live files below ``out``.
     """
     grid = calendar.pin(metadata.grid_from_metadata(metadata.read_metadata(spark, f"{run}/metadata")))
-    segments = spark.read.parquet(f"{run}/segments") if cfg.restrict_segment else None
+    segments = sinks.read_segments(spark, f"{run}/segments") if cfg.restrict_segment else None
     model, names = boosting.load_model(spark, f"{run}/model")
     usage_long = spark.read.parquet(f"{run}/usage_long")
     live = forecast(model, names, read_personas(spark, run), usage_long, segments, grid, cfg)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DateType
 
 
@@ -29,6 +29,20 @@ def add_usage(usage_long: DataFrame, path: str) -> None:
     add_parquet(by_snapshot(usage_long), path, "snapshot_t")
 
 
+def write_segments(segments: DataFrame, path: str, add: bool = False) -> None:
+    """Segments, one folder per day; with ``add``, the folders of other days stay.
+
+    The folder has a column of its own: were it ``snapshot_t``, a join on that key would
+    run its other side twice to prune folders that are all wanted.
+    """
+    laid_out = by_snapshot(segments).withColumn("segment_day", F.date_format("snapshot_t", "yyyy-MM-dd"))
+    (add_parquet if add else write_parquet)(laid_out, path, "segment_day")
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("segment_day")
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header and ISO dates; ``single_file`` is for short rankings only."""
     dates = [f.name for f in df.schema.fields if isinstance(f.dataType, DateType)]
