@@ -3,12 +3,14 @@
 import html
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
 
 from tiercast.llm import extraction
 from tiercast.llm.common import read
+from tiercast.llm import dom
 from tiercast.llm.dom import LEAF, parse
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -125,3 +127,12 @@ def test_no_text_is_lost_by_its_element(inside, want):
 def test_many_unclosed_elements_take_no_long_time():
     for tag in ("svg", "math", "object", "select", "noscript", "template", "iframe", "textarea", "title"):
         assert parse(f"<{tag}>" * 20_000 + "x").text[-1] == "x"
+
+
+@pytest.mark.parametrize("junk", [
+    "<a" * 500_000, "<b>" + "<div>" * 140_000 + "</b>" * 60_000, "<p><table>" + "<i>" * 100_000 + "<div></div>" * 50_000,
+    '<a "' * 250_000, "<ul><li>" * 60_000 + "</li>" * 100_000])
+def test_a_megabyte_of_junk_is_parsed_in_no_time(junk):
+    start = time.process_time()
+    page = dom.parse(junk + "<p>end")
+    assert time.process_time() - start < 10 and "end" in page.text

@@ -78,4 +78,8 @@ def test_odd_rows_pass_every_stage(spark):
         assert 0 < kept.count() <= docs.count()
         assert stage(spark, docs.limit(0), SF_DIR).count() == 0
     near = corpus_pipeline.drop_near_copies(spark, docs, SF_DIR)
-    assert sorted(r.doc_id for r in near.where("doc_id is not null").collect()) == [1, 2, 5, 6, 7, 8]
+    assert sorted(r.doc_id for r in near.where("doc_id is not null").collect()) == [1, 2, 5, 5, 6, 7, 8]
+    assert sorted(r.text for r in near.where("doc_id = 5").collect()) == ["another word", "word"]
+    assert near.where("doc_id is null").count() == 1
+    again = corpus_pipeline.drop_near_copies(spark, docs.repartition(7), SF_DIR)
+    assert sorted(map(str, again.collect())) == sorted(map(str, near.collect()))

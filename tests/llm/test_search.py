@@ -1,5 +1,7 @@
 """Benchmark passages and url rules against plain versions."""
 
+import time
+
 import numpy as np
 import pytest
 from helpers import contamination, odd_documents
@@ -102,3 +104,12 @@ def test_many_rules(tmp_path):
     urls.write_digests(str(tmp_path / "d"), rules)
     got = urls.Digests(str(tmp_path / "d")).judge([(f"www.{h}", p + "rest") for h, p, _ in rules])
     assert got == [(h + p, v) for h, p, v in rules]
+
+
+def test_hosts_of_a_megabyte(tmp_path):
+    urls.write_digests(str(tmp_path / "d"), urls.RULES)
+    digests = urls.Digests(str(tmp_path / "d"))
+    start = time.process_time()
+    got = digests.judge([("a." * 500_000 + "example.com", "/de/x"), ("a" * 1_000_000, "/de/x"), ("." * 1_000_000, "/"), ("x." * 400_000 + "www.example.net", "/en/")])
+    assert time.process_time() - start < 5
+    assert got == [("example.com/de/", "block"), (None, "allow"), (None, "allow"), ("example.net/en/", "allow")]

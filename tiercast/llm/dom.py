@@ -41,7 +41,7 @@ LEAF = "#text"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*')*+|[^<>]*+)>",
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*')*+|[^<>]*+)>",
     re.S,
 )
 _TEXTLESS = {
@@ -85,7 +85,8 @@ def names_of(attributes: str) -> tuple:
 def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("html", 0)]  # inline elements carry the node of their block
-    count: dict[str, int] = {}
+    open_at: dict[str, list[int]] = {}  # places on the stack of the open elements of each tag
+    blocks: list[int] = [0]  # and of all that are not inline
     run: list[str] = []
     linked, links, kept = 0, 0, False
 
@@ -106,20 +107,18 @@ def parse(source: str) -> Page:
             if tag not in INLINE:
                 flush()
             stack.pop()
-            count[tag] -= 1
+            open_at[tag].pop()
             links -= tag == "a"
             if tag not in INLINE:
+                blocks.pop()
                 page.end[node] = len(page.tag)
                 kept = page.kept[stack[-1][1]]
 
     def close(tags: frozenset, until: frozenset) -> None:
-        if any(count.get(t) for t in tags):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in tags:
-                    flush()
-                    return pop(k)
-                if stack[k][0] in until:
-                    return
+        found = max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+        if found and found >= max((open_at[t][-1] for t in until if open_at.get(t)), default=0):
+            flush()
+            pop(found)
 
     at, size = 0, len(source)
     unended: set[str] = set()
@@ -144,15 +143,15 @@ def parse(source: str) -> Page:
                 continue
             if tag == "br":
                 run.append(" ")
-            elif count.get(tag):
+            elif open_at.get(tag):
                 if tag not in INLINE:
                     flush()
-                place = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag)
-                if tag in INLINE and any(t not in INLINE for t, _ in stack[place:]):
+                place = open_at[tag][-1]
+                if tag in INLINE and blocks[-1] > place:
                     continue  # an inline end tag does not close blocks
                 pop(place)
             continue
-        if m[3].endswith("/") and (tag in FOREIGN or any(count.get(t) for t in FOREIGN)):
+        if m[3].endswith("/") and (tag in FOREIGN or any(open_at.get(t) for t in FOREIGN)):
             run.append(" ")  # self-closed, as nothing is outside of svg and math
             continue
         if tag in RAW:
@@ -188,13 +187,14 @@ def parse(source: str) -> Page:
             close(closes_p, barrier)
         if tag in SIBLINGS:
             close(*SIBLINGS[tag])
-        count[tag] = count.get(tag, 0) + 1
+        open_at.setdefault(tag, []).append(len(stack))
         if tag in INLINE:
             stack.append((tag, stack[-1][1]))
             links += tag == "a"
         else:
             flush()
             kept = kept or bool(_MARK.search(m[3]))
+            blocks.append(len(stack))
             stack.append((tag, page.add(tag, stack[-1][1], names_of(m[3]) if m[3] else (), kept=kept)))
     flush()
     pop(1)

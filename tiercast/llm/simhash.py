@@ -59,17 +59,19 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, **carried: Column) -> DataFrame:
+    """(doc_id, long columns carried along, fp): the fingerprint as a signed long."""
     ship(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            fps = np.array([fingerprint(t, words, seed) for t in text_column(batch, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        for part in slices(batches):
+            fps = np.array([fingerprint(t, words, seed) for t in text_column(part, "text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(fps.view(np.int64))], [*part.schema.names[1:], "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        hashed, "doc_id long, fp long")
+    rows = docs.select(
+        F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"),
+        *(c.cast("long").alias(name) for name, c in carried.items()))
+    return rows.mapInArrow(hashed, ", ".join(f"{name} long" for name in ["doc_id", *carried, "fp"]))
 
 
 def hex16(fp: Column) -> Column:
@@ -283,3 +285,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, group
     owner = distinct.join(found, "node", "left").select(
         "fp", F.when(component < unnamed, component).alias("component_id"))
     return hashed.join(owner, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS, group: int = GROUP) -> DataFrame:
+    """The rows of ``docs`` without near copies: one of each group that fingerprints link, all columns as they are.
+
+    Groups are of texts, whatever their ids: different texts under one doc_id stay, and rows without an id are
+    reduced like others. The smallest doc_id stays (a null last), of rows with the same id the
+    smallest text hash, then the smallest hash of all columns; so a rerun keeps the same rows, and of wholly equal
+    rows one. Null and empty texts form one group with all of fingerprint zero; an empty table gives no rows.
+    """
+    # Columns of the tables' plain types; a hash of both row and text stands for the row.
+    marked = docs.withColumns({"__text": F.xxhash64("text"), "__row": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])})
+    hashed = write_through(
+        fingerprints(marked, words, text_hash=F.col("__text"), row_hash=F.col("__row")), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "row_hash")
+    distinct = write_through(hashed.groupBy("fp").agg(F.min(first).alias("first")).withColumn("node", F.col("fp")), "distinct")
+    found = components(links(distinct.select("node", "fp"), bits, group))
+    kept = (
+        distinct.join(found, "node", "left")
+        .groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+        .select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__text"), F.col("first.row_hash").alias("__row"))
+    )
+    same = [marked[c] == kept[c] for c in ("__text", "__row")]
+    rows = marked.join(kept, [F.col("doc_id").cast("long").eqNullSafe(kept["__id"]), *same], "left_semi")
+    return rows.dropDuplicates(["doc_id", "__text", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -80,6 +80,7 @@ class Digests:
         self.lengths = np.array(mapped(np.int64, lengths, at := at + 8 * (self.n + 1))).tolist()
         self.blocks = mapped(np.uint8, self.n, at := at + 8 * lengths)
         self.texts = mapped(np.uint8, size, at + self.n)
+        self.longest = int(np.diff(self.ends).max(initial=0))
         self._digest = digest
 
     def _same(self, at: int, text: bytes) -> bool:
@@ -92,9 +93,12 @@ class Digests:
         """
         asked, owner = [], []
         for i, (host, path) in enumerate(urls):
-            labels = host.split(".")
-            for cut in range(len(labels)):
-                suffix = ".".join(labels[cut:])
+            start = len(host) + 1
+            while start > 0:  # suffixes of whole labels, none longer than any rule
+                start = host.rfind(".", 0, start - 1) + 1
+                if len(host) - start > self.longest:
+                    break
+                suffix = host[start:]
                 for n in self.lengths:
                     if suffix and n <= len(path):
                         asked.append((suffix + path[:n]).encode("utf-8", "replace"))
