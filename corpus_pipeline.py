@@ -7,7 +7,7 @@ returns the same columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tiercast.llm import decontamination, language, packing, simhash, toxicity
 from tiercast.llm.common import read
@@ -15,34 +15,37 @@ from tiercast.sources.storage import write_through
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier, trained on ``labels``, does not call toxic."""
+    """Documents that the toxicity classifier, trained on ``labels``, does not call toxic.
+
+    Null and empty texts are scored like any other; repeated rows share their fate; without labels of both classes all stay.
+    """
     return toxicity.clean(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; those without any letter go."""
+    """Documents in some language; null, empty and other texts without any letter go, repeated rows alike."""
     return language.with_language(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links: the one with the smallest doc_id.
+    """One document of each group of texts that SimHash links: the one with the smallest doc_id.
 
-    Repeated rows of that id are one document, of which one row stays. Rows
-    without an id cannot be told apart from each other and stay.
+    Different texts under one id stay; rows without an id are reduced, too; of
+    repeated rows one stays. Null and empty texts are one group.
     """
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    return simhash.first_of_groups(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lies in benchmark passages."""
+    """Documents of which less than a twentieth of the words lies in benchmark passages.
+
+    Null and empty texts have no words and stay; an empty benchmark keeps all; repeated rows share their fate.
+    """
     return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with the checksum of their ids."""
+    """The pieces of the packed sequences, with the checksum of their ids; null and empty texts hold the end id alone."""
     return packing.piece_digests(packing.pack(docs, with_ids=False))
 
 
