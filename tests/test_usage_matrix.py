@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 from dataclasses import replace
 
 import pytest
@@ -104,7 +105,7 @@ def long_usage(spark, *rows):
 
 def test_matrix_keeps_rows_without_usage_and_adds_up_colliding_names(spark):
     at_risk, use = keys(spark, "u", "v"), long_usage(spark, ("u", "a[b", 2), ("u", "a<b", 3), ("u", "c.d`e", 1), ("x", "c", 9))
-    names = matrix.feature_names(matrix.feature_list(matrix.at_risk_usage(use, at_risk)), CFG)
+    names = matrix.feature_names(matrix.feature_list(matrix.at_risk_usage(use, at_risk)))
     assert names == ["a_b", "c.d`e"]
     wide = matrix.feature_matrix(at_risk, use, names)
     assert wide.columns == ["user_id", "snapshot_t", "engaged", "a_b", "c.d`e"]
@@ -133,7 +134,24 @@ def test_excluded_features_compare_after_sanitising(spark):
     assert listed.count() == 2
 
 
-def test_too_many_features_are_refused_not_cut(spark):
-    use = long_usage(spark, *[("u", f"f{i}", 1) for i in range(4)])
-    with pytest.raises(ValueError, match="more than 3 features"):
-        matrix.feature_names(matrix.feature_list(use), replace(CFG, max_features=3))
+def test_sparse_rows_hold_the_logged_matrix(spark):
+    at_risk = keys(spark, "u", "v", "w")
+    use = long_usage(spark, ("u", "a[b", 2), ("u", "a<b", 3), ("u", "c", 1), ("u", "z", 4), ("w", "c", 0), ("x", "c", 9), ("v", None, 5))
+    features = matrix.feature_table(spark, ["a_b", "c", "never"])
+    got = {r.user_id: r for r in matrix.sparse_rows(at_risk, use, features, 3).collect()}
+    assert (got["u"].engaged, got["u"].x.size, got["u"].x.indices) == (0, 3, [0, 1])
+    assert got["u"].x["values"] == pytest.approx([1.791759469228055, 0.6931471805599453])
+    assert got["v"].x.indices == got["w"].x.indices == []
+    assert matrix.sparse_rows(at_risk.limit(0), use, features, 3).count() == 0
+
+
+def test_a_list_beyond_any_column_limit_keeps_every_feature(spark):
+    use = spark.range(20_000).select(
+        F.format_string("u%d", F.col("id") % 50).alias("user_id"), F.lit(T1).alias("snapshot_t"),
+        F.format_string("f%05d", "id").alias("sub_feature"), (F.col("id") + 1).alias("early_events"))
+    names = matrix.feature_names(matrix.feature_list(use))
+    assert len(names) == 20_000
+    rows = matrix.sparse_rows(keys(spark, *[f"u{i}" for i in range(50)]), use, matrix.feature_table(spark, names), len(names))
+    cells = rows.select(F.explode(F.arrays_zip("x.indices", "x.values")).alias("c")).select("c.*").collect()
+    assert len(cells) == 20_000 and {r[0] for r in cells} == set(range(20_000))
+    assert all(abs(r[1] - math.log1p(r[0] + 1)) < 1e-12 for r in cells)

@@ -83,7 +83,7 @@ class Workspace:
 
     @cached_property
     def names(self) -> list[str]:
-        return matrix.feature_names(self.features(), self.cfg)
+        return matrix.feature_names(self.features())
 
     def training_set(self) -> DataFrame:
         return matrix.training_set(self.panel.frame, self.panel.training_usage, self.panel.names)

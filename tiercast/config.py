@@ -42,7 +42,6 @@ class PanelConfig:
 
     # Feature list.
     exclude_features: tuple[str, ...] = ()
-    max_features: int = 10_000
 
     # Evaluation and reporting.
     n_folds: int = 5

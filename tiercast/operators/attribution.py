@@ -21,6 +21,7 @@ from operator import mul
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
+from tiercast.functions.vectors import value_at
 from tiercast.operators.population import KEYS
 
 # Leaves in one broadcast; larger models are handled in several passes.
@@ -84,7 +85,7 @@ def _contributions(rows: DataFrame, leaves: DataFrame, slots: int, keys: Sequenc
     flat = leaves.select(
         "fold", "value", *[step[i][c].alias(f"{c}{i}") for i in range(slots) for c in ("feature", "lo", "hi", "ratio")]
     )
-    x = [F.get("x", F.col(f"feature{i}")) for i in range(slots)]
+    x = [value_at(rows, F.col(f"feature{i}")) for i in range(slots)]
     joined = rows.select(*keys, "fold", "x").join(F.broadcast(flat), "fold").select(
         *keys,
         "value",
@@ -148,7 +149,7 @@ def attribute(
     return (
         cells.groupBy(*keys, "idx")
         .agg(F.max("value").alias("value"), F.sum("phi").alias("phi"))
-        # Bounded by the feature list, whose length was checked when it was read.
-        .join(F.broadcast(features), "idx")
+        # No hint: the list is as long as the feature dictionary.
+        .join(features, "idx")
         .select(*keys, "sub_feature", "value", "phi")
     )

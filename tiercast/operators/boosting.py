@@ -8,10 +8,11 @@ from multiprocessing.pool import ThreadPool
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tiercast.config import PanelConfig
+from tiercast.functions.vectors import ml_vector
 from tiercast.operators.matrix import feature_table, logged_array
 from tiercast.operators.population import KEYS
 from tiercast.sources.storage import fresh_path, shared_folder
@@ -25,7 +26,7 @@ def model_rows(matrix: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def fit(rows: DataFrame, pos_weight: float, cfg: PanelConfig) -> GBTClassificationModel:
-    """One weighted fit on ``rows`` (KEYS, engaged, x).
+    """One weighted fit on ``rows`` (KEYS, engaged, x); dense and sparse vectors give the same model.
 
     Rows are laid out by key first, in a task for every ``fit_rows_per_task``
     rows. The row sampling goes by partition and position, so the model depends
@@ -38,7 +39,7 @@ def fit(rows: DataFrame, pos_weight: float, cfg: PanelConfig) -> GBTClassificati
         rows.repartition(parts, *KEYS)
         .sortWithinPartitions(*KEYS)
         .select(
-            array_to_vector("x").alias("features"),
+            ml_vector(rows).alias("features"),
             F.col("engaged").cast("double").alias("label"),
             F.when(F.col("engaged") == 1, F.lit(float(pos_weight))).otherwise(1.0).alias("weight"),
         )
@@ -54,7 +55,7 @@ def fit(rows: DataFrame, pos_weight: float, cfg: PanelConfig) -> GBTClassificati
 
 def score(rows: DataFrame, model: GBTClassificationModel, name: str = "score") -> DataFrame:
     """Add the probability of the positive class."""
-    scored = model.transform(rows.withColumn("features", array_to_vector("x")))
+    scored = model.transform(rows.withColumn("features", ml_vector(rows)))
     return scored.withColumn(name, F.element_at(vector_to_array("probability"), 2)).select(
         *rows.columns, name
     )

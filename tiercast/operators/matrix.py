@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tiercast.config import PanelConfig
 from tiercast.functions.columns import quoted, sanitize_name, sanitize_text
+from tiercast.functions.vectors import sparse
 from tiercast.operators.population import KEYS
 
 
@@ -37,14 +38,9 @@ def model_features(features: DataFrame, cfg: PanelConfig) -> DataFrame:
     return _numbered(kept)
 
 
-def feature_names(features: DataFrame, cfg: PanelConfig) -> list[str]:
-    """The ordered names on the driver, refused beyond ``cfg.max_features``."""
-    rows = features.select("idx", "sub_feature").orderBy("idx").limit(cfg.max_features + 1).collect()
-    if len(rows) > cfg.max_features:
-        raise ValueError(
-            f"more than {cfg.max_features} features: narrow the usage scope or raise max_features"
-        )
-    return [r.sub_feature for r in rows]
+def feature_names(features: DataFrame) -> list[str]:
+    """The ordered names on the driver: the feature dictionary, which a model file carries too."""
+    return [r.sub_feature for r in features.select("idx", "sub_feature").orderBy("idx").collect()]
 
 
 def feature_table(spark: SparkSession, names: Sequence[str]) -> DataFrame:
@@ -95,6 +91,20 @@ def sparse_matrix(at_risk: DataFrame, usage_long: DataFrame, features: DataFrame
     )
 
 
+def sparse_rows(at_risk: DataFrame, usage_long: DataFrame, features: DataFrame, size: int) -> DataFrame:
+    """``at_risk`` with ``x``: the logged events of the features used, as a sparse vector of ``size``.
+
+    A row is as long as its own usage, however long the feature list is; no
+    column per feature, so nothing limits the list.
+    """
+    cells = sparse_matrix(at_risk, usage_long, features)
+    used = F.filter(F.arrays_zip("indices", "values"), lambda c: c["values"] != 0)
+    return cells.withColumn("_used", used).select(
+        *at_risk.columns,
+        sparse(F.col("_used.indices"), F.transform("_used.values", lambda n: F.log1p(n.cast("double"))), size).alias("x"),
+    )
+
+
 def training_set(frame: DataFrame, usage_long: DataFrame, names: Sequence[str]) -> DataFrame:
     """Label and features of every at-risk row of the panel."""
     at_risk = frame.filter("at_risk").select(*KEYS, "engaged")

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
+from tiercast.functions.vectors import value_at
 from tiercast.operators.population import KEYS
 
 #: Split tests of one tree; its part of the lookup has 2 ** splits rows.
@@ -116,15 +117,15 @@ def signatures(nodes: DataFrame) -> Signatures | None:
     )
 
 
-def _signature(splits: int) -> Column:
+def _signature(rows: DataFrame, splits: int) -> Column:
     bits = [
-        F.shiftleft((F.get("x", F.col(f"feature{k}")) > F.col(f"threshold{k}")).cast("int"), k) for k in range(splits)]
+        F.shiftleft((value_at(rows, F.col(f"feature{k}")) > F.col(f"threshold{k}")).cast("int"), k) for k in range(splits)]
     return sum(bits, F.lit(0))
 
 
 def _met(rows: DataFrame, tables: Signatures) -> DataFrame:
     """Rows times the trees of their model, with what the lookup says of the row's signature."""
-    signed = rows.join(F.broadcast(tables.tests), "model").withColumn("signature", _signature(tables.splits))
+    signed = rows.join(F.broadcast(tables.tests), "model").withColumn("signature", _signature(rows, tables.splits))
     return signed.join(F.broadcast(tables.lookup), ["model", "tree", "signature"])
 
 
@@ -157,11 +158,11 @@ def attribute(rows: DataFrame, tables: Signatures, features: DataFrame, keys: Se
     """
     met = _met(rows.select(*keys, F.col("fold").alias("model"), "x"), tables)
     cells = met.select(*keys, "x", F.explode("terms").alias("t")).select(
-        *keys, F.col("t.idx").alias("idx"), F.get("x", F.col("t.idx")).alias("value"), F.col("t.phi").alias("phi"))
+        *keys, F.col("t.idx").alias("idx"), value_at(rows, F.col("t.idx")).alias("value"), F.col("t.phi").alias("phi"))
     return (
         cells.groupBy(*keys, "idx")
         .agg(F.max("value").alias("value"), F.sum("phi").alias("phi"))
-        # Bounded by the feature list, whose length was checked when it was read.
-        .join(F.broadcast(features), "idx")
+        # No hint: the list is as long as the feature dictionary.
+        .join(features, "idx")
         .select(*keys, "sub_feature", "value", "phi")
     )

@@ -34,10 +34,15 @@ def live_matrix(
     cfg: PanelConfig,
 ) -> DataFrame:
     """At-risk users of the live snapshot with exactly the trained feature columns."""
-    cohort = population.live_population(personas, grid, segments, cfg).filter("at_risk").select(*KEYS)
+    cohort = live_cohort(personas, grid, segments, cfg)
     return matrix.feature_matrix(cohort, live_usage(usage_long, grid), names)
 
 
+def live_cohort(personas: DataFrame, grid: DataFrame, segments: DataFrame | None, cfg: PanelConfig) -> DataFrame:
+    """(user_id, snapshot_t) of the at-risk users of the live snapshot."""
+    return population.live_population(personas, grid, segments, cfg).filter("at_risk").select(*KEYS)
+
+
 def live_usage(usage_long: DataFrame, grid: DataFrame) -> DataFrame:
     """The windowed usage of the live snapshot; the other snapshots' folders are not read."""
     return calendar.on_days(usage_long, "snapshot_t", calendar.live_snapshot(grid).select("snapshot_t"))
@@ -54,9 +59,10 @@ def forecast(
 ) -> Forecast:
     """Probabilities, attribution ranking and summary; empty tables for an empty cohort."""
     spark = usage_long.sparkSession
-    wide = live_matrix(personas, grid, segments, usage_long, names, cfg)
-    rows = write_through(boosting.model_rows(wide, names).withColumn("fold", F.lit(_LIVE)), "live-rows")
     features = matrix.feature_table(spark, names)
+    cohort = live_cohort(personas, grid, segments, cfg)
+    rows = matrix.sparse_rows(cohort, live_usage(usage_long, grid), features, len(names))
+    rows = write_through(rows.withColumn("fold", F.lit(_LIVE)), "live-rows")
     nodes = boosting.tree_nodes(spark, {_LIVE: model})
     tables = signatures.signatures(nodes)
     if tables:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from tiercast.config import PanelConfig
 from tiercast.functions.columns import sanitize_name
 from tiercast.operators import calendar, matrix, population, usage as usage_ops
-from tiercast.operators.boosting import model_rows
 from tiercast.operators.population import KEYS
 from tiercast.sources import sinks
 from tiercast.sources.storage import write_through
@@ -26,7 +25,7 @@ class Panel:
     frame: DataFrame
     n_listed: int  # features before the exclusion
     names: list[str]
-    rows: DataFrame  # user_id, snapshot_t, engaged, x
+    rows: DataFrame  # user_id, snapshot_t, engaged, x (sparse)
 
     def features(self) -> DataFrame:
         return matrix.feature_table(self.rows.sparkSession, self.names)
@@ -78,9 +77,10 @@ def build_panel(
     frame = write_through(population.panel_frame(personas, training, segments, cfg), "frame")
     at_risk = population.at_risk_rows(frame)
     listed = write_through(matrix.feature_list(matrix.at_risk_usage(training_usage, at_risk)), "features")
-    names = matrix.feature_names(matrix.model_features(listed, cfg), cfg)
+    kept = write_through(matrix.model_features(listed, cfg), "model-features")
+    names = matrix.feature_names(kept)
     if not names:
         raise ValueError("no feature left: the at-risk rows have no usage in scope")
-    wide = matrix.training_set(frame, training_usage, names)
-    rows = write_through(model_rows(wide, names), "rows")
+    labelled = frame.filter("at_risk").select(*KEYS, "engaged")
+    rows = write_through(matrix.sparse_rows(labelled, training_usage, kept, len(names)), "rows")
     return Panel(grid, segments, usage_long, training_usage, frame, listed.count(), names, rows)
