@@ -149,3 +149,32 @@ def test_pairs_at_the_threshold_share_pivots_at_every_number(spark, number):
     told = embeddings.describe(reps, embeddings.Pivots(least=number, sample=0))  # pivots apart from the pairs
     lists = {n: set(k) for n, k in told.select("node", embeddings._lists(F.col("pivots"))).collect()}
     assert np.mean([not lists[i].isdisjoint(lists[i + 1500]) for i in range(1500)]) > 0.965
+
+
+@pytest.mark.parametrize("common", [0.0, 0.75, 0.9])
+def test_cones_are_parted_and_planted_pairs_found(common):
+    """Vectors with a common direction: lists stay short, and pairs at the threshold share a list."""
+    r = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = np.zeros(64)
+    base[3] = 1
+    x = unit(math.sqrt(common) * base + math.sqrt(1 - common) * unit(r.standard_normal((6000, 64))))
+    index = embeddings.fit(x[:2048], 256, 64, embeddings.Pivots())
+    aside = r.standard_normal((1000, 64))
+    aside -= (aside * x[-1000:]).sum(1, keepdims=True) * x[-1000:]
+    copies = 0.95 * x[-1000:] + math.sqrt(1 - 0.95**2) * unit(aside)
+    share = [len(set(a) & set(b)) >= 2 for a, b in zip(index.order(x[-1000:]).tolist(), index.order(unit(copies)).tolist())]
+    assert np.mean(share) > 0.955
+    p = np.sort(index.order(x), axis=1)
+    i, j = np.triu_indices(p.shape[1], 1)
+    lengths = np.unique(p[:, i] * 256 + p[:, j], return_counts=True)[1].astype(float)
+    assert (lengths * (lengths - 1) / 2).sum() < (0.04 if common < 0.9 else 0.25) * 6000 * 5999 / 2
+
+
+def test_the_index_of_few_dimensions_or_one_vector():
+    for sample in (np.empty((0, 2)), np.array([[0.0, 3.0]]), np.array([[1.0, 0.0], [0.0, 1.0]]), np.eye(3), np.ones((4, 1))):
+        index = embeddings.fit(sample, 256, sample.shape[1], embeddings.Pivots())
+        assert embeddings.NEAREST <= index.nearest <= embeddings.MOST and index.pivots.shape[1] == sample.shape[1]
+        assert np.isfinite(index.pivots).all()
+    how = embeddings.Pivots(held=1 << 20)
+    assert how.number(10**9, 1024) * 1024 * 8 <= 1 << 20 and how.drawn(128, 1024) == 128

@@ -4,8 +4,10 @@ Every vector is described by its closest reference points (pivots), in order of
 closeness. Vectors that are close see the pivots in nearly the same order, so
 candidates are those that share at least ``SHARED`` = 2 pivots: the index keeps
 an inverted list for each pair of pivots, and a candidate pair is counted once,
-in the list of its two smallest shared pivots. The more pivots there are, the
-more of the closest describe a vector, so that recall holds at every size.
+in the list of its two smallest shared pivots. Pivots and order are taken about the
+mean of the vectors, so that they part vectors of one cone too. How many pivots
+describe a vector is measured on pairs planted at the threshold round vectors of
+the table, so that recall holds at every size and shape.
 Candidates are verified by cosine in double precision.
 
 Lists are compared block against block inside tasks, which return link counts
@@ -30,7 +32,7 @@ from .components import components
 from .simhash import spanning
 
 THRESHOLD = 0.95
-NEAREST, FEW = 5, 256
+NEAREST, MOST = 5, 16
 SHARED = 2
 BLOCK = 2048
 _PIVOT_BITS = 20
@@ -42,23 +44,41 @@ class Pivots:
 
     They come from about ``sample`` times as many vectors, drawn and ordered by
     hash: one is taken if its cosine with all taken before is below ``apart``, so that a
-    crowd of near copies gives one pivot. Fixed random directions fill up.
+    crowd of near copies gives one pivot. Fixed random directions fill up. Pivots and sample take up to
+    ``held`` bytes each. A vector is described by as few pivots, ``NEAREST`` or more, as let a share of ``recall`` of
+    ``planted`` pairs share two; where ``MOST`` do not, there are half as many pivots, and lists are longer.
     """
 
     least: int = 256
     sample: int = 8
     apart: float = 0.7
+    recall: float = 0.975
+    planted: int = 1024
+    held: int = 128 << 20
 
-    def number(self, vectors: int) -> int:
-        return min(max(self.least, 1 << int(np.ceil(np.log2(max(vectors, 1)) / 2))), 1 << _PIVOT_BITS)
+    def number(self, vectors: int, size: int = 1) -> int:
+        number = min(max(self.least, 1 << int(np.ceil(np.log2(max(vectors, 1)) / 2))), 1 << _PIVOT_BITS)
+        while number > 2 * MOST and number * size * 8 > self.held:
+            number //= 2
+        return number
 
+    def drawn(self, number: int, size: int) -> int:
+        """Vectors in the sample."""
+        return min(self.sample * number, self.held // (size * 8))
 
-def nearest(number: int) -> int:
-    """Pivots that describe a vector: ``NEAREST`` of ``FEW``, one more for each four times as many.
 
-    More pivots stand closer together, and near vectors order them less alike; this makes up for it.
-    """
-    return NEAREST + max(0, int(np.ceil(np.log2(number / FEW) / 2)))
+@dataclass(frozen=True)
+class Index:
+    """The fitted index of vectors of one length."""
+
+    mean: np.ndarray
+    pivots: np.ndarray
+    nearest: int
+
+    def order(self, units: np.ndarray, most: int | None = None) -> np.ndarray:
+        """The closest pivots of unit vectors, nearest first."""
+        close = (units - self.mean) @ self.pivots.T
+        return np.argsort(-close, axis=1, kind="stable")[:, : most or self.nearest]
 
 
 def usable(vector: Column) -> Column:
@@ -70,15 +90,20 @@ def usable(vector: Column) -> Column:
 def _units(rows: np.ndarray) -> np.ndarray:
     rows = rows.astype(np.float64)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
-    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return _scaled(rows)
+
+
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows at length 1; rows of zeros stay."""
+    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-300)
 
 
 def choose(sample: np.ndarray, number: int, apart: float) -> np.ndarray:
-    """``number`` unit pivots: far-apart vectors of the sample in its order, then fixed random directions."""
+    """``number`` unit pivots: far-apart rows of the sample in its order, then fixed random directions."""
     size = sample.shape[1]
     taken = np.empty((0, size))
     for start in range(0, len(sample), 256):
-        part = _units(sample[start : start + 256])
+        part = _scaled(sample[start : start + 256])
         part = part[(part @ taken.T).max(axis=1, initial=-1) < apart]
         close = part @ part.T
         fresh: list[int] = []
@@ -92,11 +117,37 @@ def choose(sample: np.ndarray, number: int, apart: float) -> np.ndarray:
     return np.concatenate((taken, fill / np.linalg.norm(fill, axis=1, keepdims=True)))
 
 
+def fit(sample: np.ndarray, number: int, size: int, how: Pivots, threshold: float = THRESHOLD) -> Index:
+    """The index for a sample of vectors (which may be empty), with as many of ``number`` pivots as recall allows."""
+    random = np.random.default_rng(1)
+    units = _units(sample) if len(sample) else np.empty((0, size))
+    mean = units.mean(axis=0) if len(units) else np.zeros(size)
+    probes = units[: how.planted] if len(units) else _scaled(random.standard_normal((how.planted, size)))
+    probes = np.tile(probes, (-(-how.planted // len(probes)), 1))[: how.planted]
+    aside = random.standard_normal(probes.shape)
+    aside = _scaled(aside - (aside * probes).sum(axis=1, keepdims=True) * probes)
+    copies = _scaled(threshold * probes + np.sqrt(max(0.0, 1 - threshold**2)) * aside)
+    while True:
+        index = Index(mean, choose(units - mean, number, how.apart), 0)
+        shared = np.zeros(MOST + 1)
+        for s in range(0, len(probes), 256):
+            first, second = (index.order(x[s : s + 256], MOST) for x in (probes, copies))
+            # The place by which a pivot is among the closest of both; the second smallest completes a pair.
+            both = np.where(first[:, :, None] == second[:, None, :], np.maximum.outer(np.arange(MOST), np.arange(MOST)), MOST)
+            from_place = np.sort(both.reshape(len(both), -1), axis=1)[:, SHARED - 1]
+            shared += np.bincount(from_place, minlength=MOST + 1)
+        reached = np.cumsum(shared)[:MOST] / len(probes) >= how.recall
+        if reached.any() or number <= 2 * MOST:
+            enough = int(np.argmax(reached)) + 1 if reached.any() else MOST
+            return Index(mean, index.pivots, max(NEAREST, enough))
+        number //= 2
+
+
 def _vectors(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def describe(reps: DataFrame, how: Pivots = Pivots()) -> DataFrame:
+def describe(reps: DataFrame, how: Pivots = Pivots(), threshold: float = THRESHOLD) -> DataFrame:
     """``reps`` (node, vector, weight) with ``pivots``: the indices of the closest pivots, nearest first.
 
     Vectors are compared with vectors of their own length only; each length has pivots of its own.
@@ -104,13 +155,15 @@ def describe(reps: DataFrame, how: Pivots = Pivots()) -> DataFrame:
     spark = reps.sparkSession
     ship(spark)
     sizes = {r["size"]: r["n"] for r in reps.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).collect()}
-    pivots = {}
+    fitted = {}
     for size, n in sizes.items():
-        number = how.number(n)
+        number = how.number(n, size)
         of = reps.where(F.size("vector") == size)
-        rows = of.where(drawn(how.sample * number / n, "vector")).select(F.xxhash64("vector").alias("hash"), "vector").collect()
-        pivots[size] = choose(np.array([r.vector for r in sorted(rows)]).reshape(-1, size), number, how.apart)
-    shared = spark.sparkContext.broadcast(pivots)
+        rows = of.where(drawn(how.drawn(number, size) / n, "vector")).select(F.xxhash64("vector").alias("hash"), "vector").toArrow()
+        order = np.argsort(rows["hash"].to_numpy(), kind="stable")
+        sample = _vectors(rows["vector"].combine_chunks(), size)[order] if len(order) else np.empty((0, size))
+        fitted[size] = fit(sample, number, size, how, threshold)
+    shared = spark.sparkContext.broadcast(fitted)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -120,8 +173,7 @@ def describe(reps: DataFrame, how: Pivots = Pivots()) -> DataFrame:
                 near = [None] * batch.num_rows
                 for size in np.unique(lengths):
                     at = np.flatnonzero(lengths == size)
-                    close = _units(_vectors(batch.column("vector").take(pa.array(at)), size)) @ shared.value[size].T
-                    order = np.argsort(-close, axis=1, kind="stable")[:, : nearest(len(shared.value[size]))]
+                    order = shared.value[size].order(_units(_vectors(batch.column("vector").take(pa.array(at)), size)))
                     for i, row in zip(at, order.tolist()):
                         near[i] = row
                 yield pa.RecordBatch.from_arrays(
@@ -237,7 +289,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, how: Pivot
     good = rows.where("usable")
     reps = good.groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
     reps = write_through(reps.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    described = write_through(describe(reps.select("node", "vector", "weight"), how), "described")
+    described = write_through(describe(reps.select("node", "vector", "weight"), how, threshold), "described")
     found = write_through(link_rows(described, threshold), "links")
     counts = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
     named = components(found.select("a", "b"))
