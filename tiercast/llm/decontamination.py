@@ -158,7 +158,11 @@ def judge(found: DataFrame, share: int = SHARE) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of (doc_id, text)."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of (doc_id, text).
+
+    An empty table of documents gives no rows; with an empty benchmark no word is hit. Very long
+    texts are searched whole, in one task each.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return judge(find(rows, benchmark)).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -392,6 +392,6 @@ def extract(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
 
 
 def main_texts(pages: DataFrame, how: Fit = Fit()) -> DataFrame:
-    """page_id, url, text, n_chars for every row."""
+    """page_id, url, text, n_chars for every row; an empty table gives no rows, and the trees then learn from filler text."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     return extract(rows, how).select("page_id", "url", "text", "n_chars")

@@ -174,6 +174,7 @@ def ratings(docs: DataFrame, rated: DataFrame, wanted: int = 1, least: float = 0
     """doc_id, held_out, expected_grade, score (the tail probability) and selected for every document.
 
     An empty table gives no rows; a row with a null doc_id is rated and not held out.
+    Very long texts are rated whole, a portion at a time.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rate(rows, train(docs, rated), wanted)

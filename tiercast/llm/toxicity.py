@@ -182,6 +182,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), how:
     """doc_id, held_out, score, predicted for every row of (doc_id, text); the model learns from ``labels``.
 
     An empty table gives no rows; a row with a null doc_id is scored, teaches nothing and is not held out.
+    Very long texts are scored whole, a portion at a time; those above ``sample.longest`` teach nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = score(rows, train(docs, labels, sample, how))

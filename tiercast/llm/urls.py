@@ -186,7 +186,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES) -> Da
 
 
 def verdicts(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict for every row."""
+    """page_id, host, path, rule, verdict for every row; an empty table gives no rows."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     return judge(rows, rules).select("page_id", "host", "path", "rule", "verdict")
 
