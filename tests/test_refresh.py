@@ -9,11 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiercast import ModelParams
-from tiercast.operators import boosting, calendar
+from tiercast.operators import boosting, calendar, population
 from tiercast.plans import refresh
 from tiercast.plans.live import forecast
 from tiercast.plans.panel import build_panel
-from tiercast.plans.run import PanelTables, plan_calendar, prepare_run, read_personas, score_month
+from tiercast.plans.run import (
+    PanelTables, plan_calendar, prepare_run, read_facts, read_personas, read_tier_days, run_panel, score_month,
+)
 from tiercast.plans.training import TrainingRun
 from tiercast.sources import metadata, sinks
 
@@ -36,6 +38,10 @@ def files(out):
     return {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{out}/*/*/part-*")}
 
 
+def tier_file(path):
+    return path.split("/")[-3] in ("personas", "user_facts", "tier_days")
+
+
 @pytest.fixture(scope="module")
 def whole(work):
     t = work.tables
@@ -80,7 +86,8 @@ def test_equal_to_a_full_rebuild(spark, scored, whole):
 def test_old_folders_are_not_written_again(scored):
     out, _, before, _, _ = scored
     after = files(out)
-    kept = {p for p in before if "tier_month=2001-06" not in p and "tier_month=2001-05" not in p and "tier_month=__HIVE" not in p}
+    last = ("tier_month=2001-05", "tier_month=__HIVE", "tier_day=2001-05")  # the month of the last saved tier day is replaced
+    kept = {p for p in before if not any(folder in p for folder in last)}
     assert len(kept) > 100 and all(after.get(p) == before[p] for p in kept)
     added = {p.split("/")[-2] for p in after if p not in before and "/usage_long/" in p}
     assert added == {"snapshot_t=2001-06-30", "snapshot_t=2001-07-31"}
@@ -116,10 +123,47 @@ def test_repeating_a_refresh_changes_nothing(spark, scored, whole):
     before = files(out)
     grid = refresh.add_months(spark, out, whole, cfg)
     assert usage == spark.read.parquet(f"{out}/usage_long").count() and tiers == read_personas(spark, out).count() == whole.personas.count()
-    assert {p for p in files(out) if p not in before and "/personas/" not in p} == set()
+    assert {p for p in files(out) if p not in before and not tier_file(p)} == set()
     assert calendar.live_snapshot(grid).first().snapshot_t == live.summary.first().snapshot_t
 
 
+def test_facts_and_grid_days_equal_those_of_the_whole_history(spark, scored, whole):
+    out, cfg, _, _, _ = scored
+    _, grid = plan_calendar(whole, cfg)
+    same(read_facts(spark, out), population.user_facts(whole.personas, cfg.flag_columns))
+    same(read_tier_days(spark, out), population.rows_on_grid(whole.personas, grid))
+
+
+def test_facts_of_halves_merge_to_the_whole(whole, work):
+    flags = work.cfg.flag_columns
+    day = F.col("score_date")
+    early = population.user_facts(whole.personas.filter(day <= F.lit(LAST)), flags)
+    late = population.user_facts(whole.personas.filter(day > F.lit(LAST)), flags)
+    merged = population.merged_facts(early.unionByName(late).unionByName(early))
+    same(merged, population.user_facts(whole.personas, flags))
+
+
+def test_a_run_reads_the_tier_history_once(spark, whole, work, tmp_path):
+    """Every row of the source leaves its scan exactly once, training, forecast and report included."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    tables = replace(whole, personas=whole.personas.mapInArrow(counted, whole.personas.schema))
+    run_panel(spark, tables, replace(work.cfg, model=ModelParams(trees=1)), str(tmp_path)).count()
+    assert seen.value == whole.personas.count()
+
+
+def test_last_event_day_from_newer_facts_alone(whole, work):
+    last = calendar.last_event(whole.usage, work.cfg).first().event_max
+    assert calendar.last_event(whole.usage, work.cfg, known=LAST).first().event_max == last
+    assert calendar.last_event(whole.usage, work.cfg, known=last).first().event_max == last
+    assert calendar.last_event(whole.usage.limit(0), work.cfg, known=LAST).first().event_max == LAST
+
+
 def test_other_windows_are_refused(spark, scored, whole):
     out, cfg, _, _, _ = scored
     with pytest.raises(ValueError, match="window_days=30"):

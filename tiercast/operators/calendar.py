@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F
 
 from tiercast.config import PanelConfig
@@ -12,13 +14,29 @@ GRID_SCHEMA = (
 )
 
 
+def last_event(usage: DataFrame, cfg: PanelConfig, known: dt.date | None = None) -> DataFrame:
+    """The last day with an event of the scope, one row.
+
+    With ``known``, a day that is known to have one, only facts from that day on are
+    read: the literal reaches the scan, so older files and row groups are skipped.
+    """
+    events = usage.filter(F.col("product").isin(*cfg.products)) if cfg.products else usage
+    if known is not None:
+        events = events.filter(F.col("time_period") >= F.lit(known))
+    day = F.max(F.to_date("time_period"))
+    return events.agg((day if known is None else F.greatest(day, F.lit(known))).alias("event_max"))
+
+
 def data_horizon(usage: DataFrame, personas: DataFrame, cfg: PanelConfig) -> DataFrame:
     """One row: last event day, first and last tier day, the earlier end, staleness."""
-    events = usage.filter(F.col("product").isin(*cfg.products)) if cfg.products else usage
-    event_max = events.agg(F.max(F.to_date("time_period")))
-    days = personas.select(safe_date(F.col("score_date")).alias("day"))
+    day = safe_date(F.col("score_date"))
+    return horizon_of(last_event(usage, cfg), personas.select(day.alias("joined"), day.alias("last_day")))
+
+
+def horizon_of(event_max: DataFrame, spans: DataFrame) -> DataFrame:
+    """``data_horizon`` from the last event day and from spans (joined, last_day) that cover the tier history."""
     return (
-        days.agg(F.min("day").alias("persona_min"), F.max("day").alias("persona_max"))
+        spans.agg(F.min("joined").alias("persona_min"), F.max("last_day").alias("persona_max"))
         .withColumn("event_max", event_max.scalar())
         .select(
             "event_max", "persona_min", "persona_max",

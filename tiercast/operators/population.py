@@ -36,26 +36,42 @@ def exclude_flagged_users(personas: DataFrame, flags: Sequence[str]) -> DataFram
     return personas.join(flagged.select("user_id"), "user_id", "left_anti")
 
 
+def _marked(personas: DataFrame, flags: Sequence[str], *columns: str) -> DataFrame:
+    return _dated(personas, *flags, *columns).select(
+        "user_id", *columns, F.col("score_date").alias("joined"), F.col("score_date").alias("last_day"),
+        _flagged(personas, flags).alias("ever_flagged"))
+
+
+def merged_facts(facts: DataFrame, *more_keys: str) -> DataFrame:
+    """One row per user (and per further keys) from any number of partial ones.
+
+    Smallest, largest and "ever" merge in any order and any number of times, so
+    facts of two halves of a history merge to those of the whole.
+    """
+    return facts.groupBy("user_id", *more_keys).agg(
+        F.min("joined").alias("joined"), F.max("last_day").alias("last_day"), F.bool_or("ever_flagged").alias("ever_flagged"))
+
+
 def user_facts(personas: DataFrame, flags: Sequence[str]) -> DataFrame:
-    """First day and ever-flagged mark per user: one pass, combined before the shuffle."""
-    return (
-        _dated(personas, *flags)
-        .groupBy("user_id")
-        .agg(
-            F.min("score_date").alias("joined"),
-            F.bool_or(_flagged(personas, flags)).alias("ever_flagged"),
-        )
-    )
+    """First and last day and ever-flagged mark per user: one pass, combined before the shuffle."""
+    return merged_facts(_marked(personas, flags))
+
+
+def monthly_facts(personas: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """``user_facts`` per user and ``tier_month``, a column of the history."""
+    return merged_facts(_marked(personas, flags, "tier_month"), "tier_month")
 
 
-def join_dates(personas: DataFrame, flags: Sequence[str]) -> DataFrame:
-    return user_facts(personas, flags).filter(~F.col("ever_flagged")).select("user_id", "joined")
+def join_dates(personas: DataFrame, flags: Sequence[str], facts: DataFrame | None = None) -> DataFrame:
+    """First day of every user never flagged; ``facts`` spare the scan of the history."""
+    facts = user_facts(personas, flags) if facts is None else facts
+    return facts.filter(~F.col("ever_flagged")).select("user_id", "joined")
 
 
-def exclusion_counts(personas: DataFrame, flags: Sequence[str]) -> DataFrame:
+def exclusion_counts(personas: DataFrame, flags: Sequence[str], facts: DataFrame | None = None) -> DataFrame:
     """Users before, flagged, and after, counted over the per-user facts."""
     flagged = F.coalesce(F.sum(F.col("ever_flagged").cast("bigint")), F.lit(0))
-    return user_facts(personas, flags).agg(
+    return (user_facts(personas, flags) if facts is None else facts).agg(
         F.count("*").alias("n_before"),
         flagged.alias("n_excluded"),
         (F.count("*") - flagged).alias("n_after"),
@@ -110,6 +126,12 @@ def segment_coverage(personas: DataFrame, segments: DataFrame, days: DataFrame)
 # --- panel frame ------------------------------------------------------------
 
 
+def rows_on_grid(personas: DataFrame, grid: DataFrame) -> DataFrame:
+    """The tier rows of the grid's snapshot and check days: all that panel, segments and forecast read of a history."""
+    dated = _dated(personas, "acct_id", "user_category_persona")
+    return on_days(dated, "score_date", _roles(grid).select("score_date"))
+
+
 def _roles(grid: DataFrame) -> DataFrame:
     """The grid as days to look up: each snapshot once for its T, once for its check day."""
     check = grid.select(
@@ -155,9 +177,12 @@ def panel_frame(
     segments: DataFrame | None,
     cfg: PanelConfig,
     strict: bool = True,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (user, snapshot) of ``grid`` with tiers, at-risk mark and label.
 
+    ``facts`` are the ``user_facts`` of the whole history; with them, ``personas``
+    may be cut to ``rows_on_grid``.
     ``segments`` may be missing: an error when training (``strict``), no filter
     for a live cohort whose segments have not arrived yet.
     """
@@ -185,7 +210,7 @@ def panel_frame(
         )
         frame = frame.join(in_segment, KEYS, "left")
         at_risk &= F.coalesce(F.col("in_segment"), F.lit(False))
-    return frame.join(join_dates(personas, cfg.flag_columns), "user_id").select(
+    return frame.join(join_dates(personas, cfg.flag_columns, facts), "user_id").select(
         *KEYS,
         "joined",
         at_t.alias("persona_at_t"),
@@ -201,10 +226,10 @@ def at_risk_rows(frame: DataFrame) -> DataFrame:
 
 
 def live_population(
-    personas: DataFrame, grid: DataFrame, segments: DataFrame | None, cfg: PanelConfig
+    personas: DataFrame, grid: DataFrame, segments: DataFrame | None, cfg: PanelConfig, facts: DataFrame | None = None
 ) -> DataFrame:
     """The panel rules for the live snapshot alone, without an outcome."""
     live = grid.filter("is_live")
-    return panel_frame(personas, live, segments, cfg, strict=False).drop(
+    return panel_frame(personas, live, segments, cfg, strict=False, facts=facts).drop(
         "persona_at_check", "check_observed", "engaged"
     )

@@ -38,9 +38,11 @@ def live_matrix(
     return matrix.feature_matrix(cohort, live_usage(usage_long, grid), names)
 
 
-def live_cohort(personas: DataFrame, grid: DataFrame, segments: DataFrame | None, cfg: PanelConfig) -> DataFrame:
+def live_cohort(
+    personas: DataFrame, grid: DataFrame, segments: DataFrame | None, cfg: PanelConfig, facts: DataFrame | None = None
+) -> DataFrame:
     """(user_id, snapshot_t) of the at-risk users of the live snapshot."""
-    return population.live_population(personas, grid, segments, cfg).filter("at_risk").select(*KEYS)
+    return population.live_population(personas, grid, segments, cfg, facts).filter("at_risk").select(*KEYS)
 
 
 def live_usage(usage_long: DataFrame, grid: DataFrame) -> DataFrame:
@@ -56,11 +58,15 @@ def forecast(
     segments: DataFrame | None,
     grid: DataFrame,
     cfg: PanelConfig,
+    facts: DataFrame | None = None,
 ) -> Forecast:
-    """Probabilities, attribution ranking and summary; empty tables for an empty cohort."""
+    """Probabilities, attribution ranking and summary; empty tables for an empty cohort.
+
+    ``facts`` as in ``panel_frame``.
+    """
     spark = usage_long.sparkSession
     features = matrix.feature_table(spark, names)
-    cohort = live_cohort(personas, grid, segments, cfg)
+    cohort = live_cohort(personas, grid, segments, cfg, facts)
     rows = matrix.sparse_rows(cohort, live_usage(usage_long, grid), features, len(names))
     rows = write_through(rows.withColumn("fold", F.lit(_LIVE)), "live-rows")
     nodes = boosting.tree_nodes(spark, {_LIVE: model})

@@ -48,12 +48,14 @@ def build_panel(
     account_state: DataFrame | None,
     cfg: PanelConfig,
     keep: str | None = None,
+    facts: DataFrame | None = None,
 ) -> Panel:
     """Segments, windowed usage, panel frame, feature list and model rows.
 
     Segments, usage, frame and rows are each read several times downstream, so
     each is written to the shared folder once and read back from there. With
-    ``keep``, segments and usage are written below it instead, and stay.
+    ``keep``, segments and usage are written below it instead, and stay. ``facts``
+    as in ``panel_frame``.
     """
 
     segments = None
@@ -74,7 +76,7 @@ def build_panel(
         usage_long = grid.sparkSession.read.schema(windowed.schema).parquet(f"{keep}/usage_long")
     training = calendar.recent(grid, cfg.training_months)
     training_usage = calendar.on_days(usage_long, "snapshot_t", training.select("snapshot_t"))
-    frame = write_through(population.panel_frame(personas, training, segments, cfg), "frame")
+    frame = write_through(population.panel_frame(personas, training, segments, cfg, facts=facts), "frame")
     at_risk = population.at_risk_rows(frame)
     listed = write_through(matrix.feature_list(matrix.at_risk_usage(training_usage, at_risk)), "features")
     kept = write_through(matrix.model_features(listed, cfg), "model-features")

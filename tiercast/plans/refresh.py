@@ -15,19 +15,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tiercast.config import PanelConfig
 from tiercast.operators import boosting, calendar, population, usage as usage_ops
 from tiercast.plans.live import Forecast, forecast
-from tiercast.plans.run import PanelTables, plan_calendar, read_personas, write_live, write_personas
+from tiercast.plans.run import (
+    PanelTables, read_facts, read_tier_days, write_facts, write_live, write_personas, write_tier_days,
+)
 from tiercast.sources import metadata, sinks
+from tiercast.sources.storage import write_through
 
 
-def _saved(spark: SparkSession, run: str, cfg: PanelConfig) -> tuple[DataFrame, dt.date, dt.date | None]:
-    """The saved grid, the last day of the saved tables, and the last tier day."""
+def _saved(spark: SparkSession, run: str, cfg: PanelConfig) -> tuple[DataFrame, dt.date, dt.date, dt.date]:
+    """The saved grid, the last day of the saved tables, the last tier day and the last event day."""
     document = metadata.read_metadata(spark, f"{run}/metadata")
     row = document.drop("snapshots").first()
     if (row.window_days, row.outcome_buffer_days) != (cfg.window_days, cfg.buffer_days):
         raise ValueError(
             f"{run} was made with window_days={row.window_days}, buffer_days={row.outcome_buffer_days}; "
             f"the configuration says {cfg.window_days}, {cfg.buffer_days}")
-    return metadata.grid_from_metadata(document), dt.date.fromisoformat(row.data_max_date), dt.date.fromisoformat(row.persona_max_date)
+    days = [dt.date.fromisoformat(d) for d in (row.data_max_date, row.persona_max_date, row.event_max_date)]
+    return metadata.grid_from_metadata(document), *days
 
 
 def new_snapshots(grid: DataFrame, last_day: dt.date, again_from: dt.date | None = None) -> DataFrame:
@@ -50,10 +54,19 @@ def add_months(
     Facts up to the saved last day count as known and are not read again, but for
     the windows of month ends from ``again_from`` on, for facts that came late.
     Without a new month end nothing but tiers and metadata is written. Tiers are kept by month: the
-    month of the last saved day and later ones are replaced, with the rows without a readable day.
+    month of the last saved day and later ones are replaced, with the rows without a readable day,
+    and so are the per-user facts and the grid days of those months. The new horizon comes from the
+    merged facts and from events since the saved last one, so it never moves back.
     """
-    saved, last_day, last_tier_day = _saved(spark, run, cfg)
-    horizon, grid = plan_calendar(tables, cfg)
+    saved, last_day, last_tier_day, event_day = _saved(spark, run, cfg)
+    since = min(last_tier_day, again_from) if again_from else last_tier_day
+    write_personas(tables.personas, run, since)
+    write_facts(spark, run, cfg, since)
+    events = calendar.last_event(tables.usage, cfg, known=event_day)
+    horizon = write_through(calendar.horizon_of(events, read_facts(spark, run)), "horizon")
+    grid = calendar.pin(calendar.snapshot_grid(horizon, cfg))
+    write_tier_days(spark, run, grid, since)
+    tiers = read_tier_days(spark, run)
     fresh = new_snapshots(grid, last_day, again_from)
     if not fresh.isEmpty():
         added = usage_ops.windowed_usage(tables.usage, fresh, tables.catalog, cfg)
@@ -61,9 +74,8 @@ def add_months(
     if tables.account_state is not None:
         days = new_segment_days(grid, saved, fresh)
         if not days.isEmpty():
-            segments = population.segment_at_snapshot(tables.personas, tables.account_state, days)
+            segments = population.segment_at_snapshot(tiers, tables.account_state, days)
             sinks.write_segments(segments, f"{run}/segments", add=True)
-    write_personas(tables.personas, run, min(last_tier_day, again_from) if again_from else last_tier_day)
     # Read back: a JSON document of one row, complete before it replaces the old one.
     metadata.write_metadata(metadata.run_metadata(grid, horizon, cfg), f"{run}/metadata")
     return grid
@@ -81,6 +93,6 @@ def score_new_month(
     grid = add_months(spark, run, tables, cfg, again_from)
     usage_long = spark.read.parquet(f"{run}/usage_long")
     segments = sinks.read_segments(spark, f"{run}/segments") if tables.account_state is not None else None
-    live = forecast(model, names, read_personas(spark, run), usage_long, segments, grid, cfg)
+    live = forecast(model, names, read_tier_days(spark, run), usage_long, segments, grid, cfg, read_facts(spark, run))
     write_live(live, out)
     return live

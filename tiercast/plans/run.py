@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,6 +14,7 @@ from tiercast.plans.live import Forecast, forecast
 from tiercast.plans.panel import Panel, build_panel
 from tiercast.plans.training import TrainingRun
 from tiercast.sources import metadata, sinks
+from tiercast.sources.storage import write_through
 
 
 @dataclass(frozen=True)
@@ -46,18 +47,23 @@ def _day_number(day: Column) -> Column:
 
 
 def run_metrics(
-    run: TrainingRun, tables: PanelTables, live: Forecast | None = None, horizon: DataFrame | None = None
+    run: TrainingRun, tables: PanelTables, live: Forecast | None = None, horizon: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    """The run report as (metric, value) rows; days are numbers yyyymmdd, flags 0 or 1."""
+    """The run report as (metric, value) rows; days are numbers yyyymmdd, flags 0 or 1.
+
+    ``facts`` as in ``panel_frame``.
+    """
     cfg, panel = run.cfg, run.panel
+    facts = population.user_facts(tables.personas, cfg.flag_columns) if facts is None else facts
     folds = run.fold_metrics().agg(
         F.avg("train_auc").alias("train_auc"),
         F.avg("validation_auc").alias("validation_auc"),
         F.avg("gap").alias("gap"),
     )
     parts = [
-        _tall(population.exclusion_counts(tables.personas, cfg.flag_columns), "users_"),
-        _tall(tables.personas.agg(_day_number(F.min("score_date")).alias("first_day"), _day_number(F.max("score_date")).alias("last_day")), "tiers_"),
+        _tall(population.exclusion_counts(tables.personas, cfg.flag_columns, facts), "users_"),
+        _tall(facts.agg(_day_number(F.min("joined")).alias("first_day"), _day_number(F.max("last_day")).alias("last_day")), "tiers_"),
         _tall(clean.count_rows(panel.usage_long, n_features="sub_feature", n_users="user_id", n_snapshots="snapshot_t"), "usage_"),
         _tall(panel.grid.agg(
             F.count_if("is_training").alias("available"),
@@ -131,24 +137,64 @@ def read_personas(spark: SparkSession, run: str) -> DataFrame:
     return spark.read.parquet(f"{run}/personas").drop("tier_month")
 
 
+def _kept_from(spark: SparkSession, run: str, since: dt.date | None) -> DataFrame:
+    """The run's copy of the tier history, from the month of ``since`` on: older folders are not read."""
+    kept = spark.read.parquet(f"{run}/personas")
+    return kept if since is None else kept.filter(F.col("tier_month") >= f"{since:%Y-%m}")
+
+
+def write_facts(spark: SparkSession, run: str, cfg: PanelConfig, since: dt.date | None = None) -> None:
+    """Per-user facts by month from the run's copy of the tier history.
+
+    A month's folder depends on that month alone. With ``since``, only that
+    day's month and later ones are read and replaced; readers merge the months.
+    """
+    kept = _kept_from(spark, run, since).dropna(subset=["tier_month"])
+    facts = population.monthly_facts(kept, cfg.flag_columns).repartitionByRange("tier_month", "user_id")
+    (sinks.write_parquet if since is None else sinks.add_parquet)(facts, f"{run}/user_facts", "tier_month")
+
+
+def read_facts(spark: SparkSession, run: str) -> DataFrame:
+    """One row per user of the tier history: joined, last_day, ever_flagged."""
+    return population.merged_facts(spark.read.parquet(f"{run}/user_facts"))
+
+
+def write_tier_days(spark: SparkSession, run: str, grid: DataFrame, since: dt.date | None = None) -> None:
+    """The tier rows of the grid's days, a folder each; with ``since``, days of that month and later ones only."""
+    rows = population.rows_on_grid(_kept_from(spark, run, since), grid)
+    sinks.write_by_day(rows, f"{run}/tier_days", "score_date", "tier_day", add=since is not None)
+
+
+def read_tier_days(spark: SparkSession, run: str) -> DataFrame:
+    return spark.read.parquet(f"{run}/tier_days").drop("tier_day")
+
+
 def prepare_run(spark: SparkSession, tables: PanelTables, cfg: PanelConfig, out: str) -> tuple[Panel, DataFrame]:
-    """Metadata, tiers, windowed usage and segments below ``out``; the panel over them, and the horizon."""
-    horizon, grid = plan_calendar(tables, cfg)
+    """Metadata, tiers, windowed usage and segments below ``out``; the panel over them, and the horizon.
+
+    The tier history is read once, to copy it; the copy is read for the per-user
+    facts and for the rows of the grid's days, which serve everything else.
+    """
+    write_personas(tables.personas, out)
+    write_facts(spark, out, cfg)
+    facts = read_facts(spark, out)
+    horizon = write_through(calendar.horizon_of(calendar.last_event(tables.usage, cfg), facts), "horizon")
+    grid = calendar.pin(calendar.snapshot_grid(horizon, cfg))
     metadata.write_metadata(metadata.run_metadata(grid, horizon, cfg), f"{out}/metadata")
     metadata.read_metadata(spark, f"{out}/metadata")  # warns when the tier history is stale
-    write_personas(tables.personas, out)
-    return build_panel(grid, tables.personas, tables.usage, tables.catalog, tables.account_state, cfg, keep=out), horizon
+    write_tier_days(spark, out, grid)
+    tiers = read_tier_days(spark, out)
+    return build_panel(grid, tiers, tables.usage, tables.catalog, tables.account_state, cfg, keep=out, facts=facts), horizon
 
 
 def run_panel(spark: SparkSession, tables: PanelTables, cfg: PanelConfig, out: str) -> DataFrame:
     """Everything, with its files below ``out``; returns the run report."""
     panel, horizon = prepare_run(spark, tables, cfg, out)
     run = TrainingRun(panel, cfg)
-    live = forecast(
-        run.final_model, panel.names, tables.personas, panel.usage_long, panel.segments, panel.grid, cfg
-    )
+    tiers, facts = read_tier_days(spark, out), read_facts(spark, out)
+    live = forecast(run.final_model, panel.names, tiers, panel.usage_long, panel.segments, panel.grid, cfg, facts)
     write_outputs(run, live, out)
-    report = run_metrics(run, tables, live, horizon)
+    report = run_metrics(run, replace(tables, personas=tiers), live, horizon, facts)
     sinks.write_csv(report, f"{out}/run_metrics", single_file=True)
     return report
 
@@ -156,12 +202,12 @@ def run_panel(spark: SparkSession, tables: PanelTables, cfg: PanelConfig, out: s
 def score_month(spark: SparkSession, run: str, cfg: PanelConfig, out: str) -> Forecast:
     """The live month scored again from what a run left in its folder ``run``, without training.
 
-    Reads metadata, personas, windowed usage, segments and model; writes the live files below ``out``.
+    Reads metadata, tiers, windowed usage, segments and model; writes the live files below ``out``.
     """
     grid = calendar.pin(metadata.grid_from_metadata(metadata.read_metadata(spark, f"{run}/metadata")))
     segments = sinks.read_segments(spark, f"{run}/segments") if cfg.restrict_segment else None
     model, names = boosting.load_model(spark, f"{run}/model")
     usage_long = spark.read.parquet(f"{run}/usage_long")
-    live = forecast(model, names, read_personas(spark, run), usage_long, segments, grid, cfg)
+    live = forecast(model, names, read_tier_days(spark, run), usage_long, segments, grid, cfg, read_facts(spark, run))
     write_live(live, out)
     return live

@@ -29,14 +29,19 @@ def add_usage(usage_long: DataFrame, path: str) -> None:
     add_parquet(by_snapshot(usage_long), path, "snapshot_t")
 
 
-def write_segments(segments: DataFrame, path: str, add: bool = False) -> None:
-    """Segments, one folder per day; with ``add``, the folders of other days stay.
+def write_by_day(rows: DataFrame, path: str, day: str, folder: str, add: bool = False) -> None:
+    """Rows of users, one folder per ``day`` under the name ``folder``; with ``add``, the folders of other days stay.
 
-    The folder has a column of its own: were it ``snapshot_t``, a join on that key would
+    The folder has a column of its own: were it ``day``, a join on that key would
     run its other side twice to prune folders that are all wanted.
     """
-    laid_out = by_snapshot(segments).withColumn("segment_day", F.date_format("snapshot_t", "yyyy-MM-dd"))
-    (add_parquet if add else write_parquet)(laid_out, path, "segment_day")
+    laid_out = rows.repartitionByRange(day, "user_id").withColumn(folder, F.date_format(day, "yyyy-MM-dd"))
+    (add_parquet if add else write_parquet)(laid_out, path, folder)
+
+
+def write_segments(segments: DataFrame, path: str, add: bool = False) -> None:
+    """Segments, one folder per day; with ``add``, the folders of other days stay."""
+    write_by_day(segments, path, "snapshot_t", "segment_day", add)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
