@@ -389,6 +389,13 @@ RAW = {
     "refreshed_segments": "select * from segments",
     "refreshed_personas": """
         select user_id, acct_id, score_date, tier as user_category_persona, is_test_a, is_test_b from personas""",
+    "refreshed_user_facts": """
+        select user_id, min(score_date) as joined, max(score_date) as last_day,
+          bool_or(coalesce(is_test_a, false) or coalesce(is_test_b, false)) as ever_flagged
+        from personas group by user_id""",
+    "refreshed_tier_days": """
+        select user_id, acct_id, score_date, tier as user_category_persona from personas
+        where score_date in (select snapshot_t from grid union select check_day from grid)""",
     "new_month_scores": """
         select user_id, snapshot_t, round(1 / (1 + exp(-sum(points))), 9) as forecast_probability from (
             select k.user_id, k.snapshot_t, tree, leaf, points

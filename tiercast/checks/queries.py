@@ -18,7 +18,7 @@ from tiercast.operators.population import KEYS
 from tiercast.plans.live import Forecast, forecast, live_matrix
 from tiercast.plans.panel import Panel, build_panel, nonzero_values
 from tiercast.plans.refresh import add_months
-from tiercast.plans.run import PanelTables, prepare_run, read_personas, run_metrics
+from tiercast.plans.run import PanelTables, prepare_run, read_facts, read_personas, read_tier_days, run_metrics
 from tiercast.plans.training import TrainingRun
 from tiercast.sources import metadata
 from tiercast.sources.sinks import read_segments
@@ -553,6 +553,8 @@ QUERIES = {
     "refreshed_usage": lambda w: w.spark.read.parquet(f"{w.refreshed}/usage_long"),
     "refreshed_segments": lambda w: read_segments(w.spark, f"{w.refreshed}/segments"),
     "refreshed_personas": lambda w: read_personas(w.spark, w.refreshed),
+    "refreshed_user_facts": lambda w: read_facts(w.spark, w.refreshed),
+    "refreshed_tier_days": lambda w: read_tier_days(w.spark, w.refreshed),
     "refreshed_metadata": lambda w: metadata.read_metadata(w.spark, f"{w.refreshed}/metadata").withColumn(
         "snapshots", F.to_json("snapshots")),
     "new_month_scores": lambda w: w.new_month_scores().withColumn(
