@@ -43,6 +43,30 @@ def test_odd_rows_and_several_passes(spark, pass_words):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_portions_are_bounded_and_a_worker_holds_one(spark):
+    """Ten portions and more, a long item among them: every one near its size, one table alive, results as in one pass."""
+    r = np.random.default_rng(11)
+    draw = lambda n: " ".join(f"w{k}" for k in r.integers(0, 40, n))
+    texts = [draw(n) for n in (6_000, 40, 13, 12, 5, 900, 2_000, 300, 300, 300)]
+    items = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "item_id long, text string")
+    folders = decontamination.portions(items, pass_words=900)
+    sizes = [sum(row.words.count(b" ") + 1 for row in spark.read.parquet(f).collect()) for f in folders]
+    assert len(folders) >= 10 and max(sizes) < 4 * 900
+    for f in folders:
+        decontamination._tables(f, 13)
+        assert len(decontamination._built) == 1
+    rows = [(i, draw(50) + " " + " ".join(t.split()[a : a + 20]) + " " + draw(9), "r") for i, (t, a) in enumerate(zip(texts, (5_000, 3, 0, 0, 0, 880, 6, 1, 2, 3)))]
+    docs = spark.createDataFrame([*rows, (None, None, "r"), (3, rows[3][1], "r")], "doc_id long, text string, __row string")
+    many = decontamination.find(docs, items, pass_words=900)
+    assert many.columns == ["doc_id", "text", "__row", "n_words", "hits", "items"]
+    got, one = (sorted(map(str, x.collect())) for x in (many, decontamination.find(docs, items)))
+    assert got == one
+    found = decontamination.judge(many)
+    want = contamination(pairs(docs, "doc_id"), pairs(items, "item_id"))
+    keys = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted((tuple(x[k] for k in keys) for x in found.collect()), key=str) == sorted(want, key=str)
+
+
 def test_clean_rows_keep_their_columns(spark):
     docs = odd_documents(spark)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

@@ -13,18 +13,25 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from .common import restored, set_aside, ship, slices, text_column
+from tiercast.sources.storage import fresh_path, write_through
+
+from .common import filesystem, restored, set_aside, ship, slices, text_column
 
 WINDOW = 13
 BLOCK = 2
 #: A document is contaminated if hit words are this share of its words or more (1 / SHARE).
 SHARE = 20
-#: Benchmark words searched for in one pass; a larger benchmark takes more passes over the documents.
+#: Benchmark windows searched for in one pass, about; a larger benchmark takes more passes over the documents.
 PASS_WORDS = 500_000
+#: A piece of an item holds at most this part of a pass.
+PIECES = 128
 
 # A-Z lower-cased; digits, letters and all bytes of characters beyond ASCII stay; the rest parts words.
 _WORDS = bytes(
@@ -89,62 +96,154 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return out
 
 
-def passes(benchmark: DataFrame, pass_words: int = PASS_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The benchmark's items in portions of about ``pass_words`` words, one portion at a time."""
-    portion, size = [], 0
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
-    for row in items.toLocalIterator():
-        w = words(row.text)
-        if portion and size + len(w) > pass_words:
-            yield portion
-            portion, size = [], 0
-        portion.append((row.item, w))
-        size += len(w)
-    yield portion
+def portions(benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> list[str]:
+    """Folders in the shared folder that hold the benchmark, each about ``pass_words`` windows of it.
+
+    Items are cut into pieces with all their windows, so that a long item spreads
+    over portions; a hash deals the distinct pieces. No item reaches the driver.
+    """
+    spark = benchmark.sparkSession
+    ship(spark)
+    most = max(1, pass_words // PIECES)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, parts, counts = [], [], []
+            for item, text in zip(batch.column("item").to_pylist(), text_column(batch, "text")):
+                w = words(text)
+                n = max(1, len(w) - window + 1) if w else 0
+                for a in range(0, n, most):
+                    b = min(a + most, n)
+                    ids.append(item)
+                    parts.append(b" ".join(w[a : b + window - 1]))
+                    counts.append(b - a)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.string()), pa.array(parts, pa.binary()), pa.array(counts, pa.int64())],
+                names=["item", "words", "n"])
+
+    items = benchmark.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
+    pieces = write_through(items.mapInArrow(cut, "item string, words binary, n long").distinct(), "benchmark-pieces")
+    count = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // pass_words)
+    if not count:
+        return []
+    path = fresh_path(spark, "benchmark")
+    dealt = pieces.select("item", "words", F.pmod(F.xxhash64("item", "words"), F.lit(count)).alias("portion"))
+    dealt.repartition("portion").write.partitionBy("portion").parquet(path)
+    return [f"{path}/portion={r.portion}" for r in dealt.select("portion").distinct().orderBy("portion").collect()]
+
+
+#: The search tables a Python worker has built last, by folder and window.
+_built: dict[tuple[str, int], WuManber] = {}
+
+
+def _tables(folder: str | None, window: int) -> WuManber:
+    """The tables of one portion, read from its folder; a worker keeps those of one portion."""
+    if (folder, window) not in _built:
+        _built.clear()
+        items = []
+        if folder is not None:
+            store, path = filesystem(folder)
+            rows = pq.read_table(path, columns=["item", "words"], filesystem=store, partitioning=None)
+            items = [(i, w.split()) for i, w in zip(rows["item"].to_pylist(), rows["words"].to_pylist())]
+        _built[folder, window] = WuManber(items, window)
+    return _built[folder, window]
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_HITS = "array<struct<start:int,end:int>>"
+_FOUND = "hits array<struct<start:int,end:int>>, items array<string>"
+
+
+def _columns(hits: list, items: list) -> list[pa.Array]:
+    rows = [[{"start": a, "end": b} for a, b in spans] for spans in hits]
+    return [pa.array(rows, _SPANS), pa.array(items, pa.list_(pa.string()))]
+
+
+def _in_one_pass(docs: DataFrame, folder: str | None, window: int) -> DataFrame:
+    keep = docs.columns
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(folder, window)
+        for batch in slices(batches):
+            counts, hits, items = [], [], []
+            for text in text_column(batch, "text"):
+                w = words(text)
+                spans, found = tables.search(w)
+                counts.append(len(w))
+                hits.append(merged(spans))
+                items.append(sorted(found))
+            added = [pa.array(counts, pa.int64()), *_columns(hits, items)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + added, names=[*keep, "n_words", "hits", "items"])
+
+    return docs.mapInArrow(search, _with_found(docs))
+
+
+def _with_found(docs: DataFrame) -> StructType:
+    return StructType([*docs.schema.fields, *StructType.fromDDL(f"n_words long, {_FOUND}").fields])
+
+
+def _hit_rows(rows: DataFrame, folder: str, window: int) -> DataFrame:
+    """(row, hits, items) of the rows in which a window of the portion occurs."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(folder, window)
+        for batch in slices(batches):
+            numbers, hits, items = [], [], []
+            for number, text in zip(batch.column("row").to_pylist(), text_column(batch, "text")):
+                spans, found = tables.search(words(text))
+                if spans:
+                    numbers.append(number)
+                    hits.append(merged(spans))
+                    items.append(sorted(found))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *_columns(hits, items)], names=["row", "hits", "items"])
+
+    return rows.mapInArrow(search, f"row long, {_FOUND}")
+
+
+def _in_passes(docs: DataFrame, folders: list[str], window: int) -> DataFrame:
+    """One pass per portion, each leaving a table of its hit rows; then the hits meet their rows.
+
+    The rows are written once, numbered; a pass reads numbers and texts alone.
+    """
+    keep = docs.columns
+    number = "__row"
+    while number in {c.lower() for c in keep}:
+        number += "_"
+    numbered = write_through(docs.withColumn(number, F.monotonically_increasing_id()), "searched")
+    texts = numbered.select(F.col(number).alias("row"), "text")
+    tables = [write_through(_hit_rows(texts, folder, window), "hits") for folder in folders]
+    # At most one entry per portion and row.
+    found = reduce(DataFrame.unionByName, tables).groupBy(F.col("row").alias(number)).agg(
+        F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            counts = [len(words(text)) for text in text_column(batch, "text")]
+            hits = [merged([(s["start"], s["end"]) for s in spans or ()]) for spans in batch.column("hits").to_pylist()]
+            items = [sorted(set(ids or ())) for ids in batch.column("items").to_pylist()]
+            added = [pa.array(counts, pa.int64()), *_columns(hits, items)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + added, names=[*keep, "n_words", "hits", "items"])
+
+    return numbered.join(found, number, "left").drop(number).mapInArrow(finish, _with_found(docs))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
     """``docs`` with n_words, hits (merged word spans) and items (sorted ids of items found).
 
-    Each pass over a portion of the benchmark adds to the same row; rows are
-    neither moved nor gathered, and the portions' tables have a bounded size.
+    A benchmark of one portion is searched for in place: rows are neither moved nor
+    gathered. A larger one takes a pass per portion, and a worker holds the tables of one
+    portion at a time, whatever the size of the benchmark.
     Null and empty texts have no words. Items without words match nothing; a
     null item_id counts as the id "null". Rows with repeated or null doc_ids
     are judged each on its own. Other columns pass through; columns of the
     names added here are replaced.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    out = docs.drop("n_words", "hits", "items")
-    keep = out.columns
-    out = out.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(_HITS), "items": F.array().cast("array<string>")})
-    schema = out.schema
-    for portion in passes(benchmark, pass_words):
-        shared = spark.sparkContext.broadcast(portion)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tables = WuManber(shared.value, window)
-            for batch in slices(batches):
-                counts, hits, items = [], [], []
-                for text, before, known in zip(
-                    text_column(batch, "text"), batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-                ):
-                    w = words(text)
-                    spans, found = tables.search(w)
-                    spans += [(s["start"], s["end"]) for s in before]
-                    counts.append(len(w))
-                    hits.append([{"start": a, "end": b} for a, b in merged(spans)])
-                    items.append(sorted(found.union(known)))
-                added = [pa.array(counts, pa.int64()), pa.array(hits, _SPANS), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in keep] + added, names=[*keep, "n_words", "hits", "items"])
-
-        out = out.mapInArrow(search, schema)
-    return out
+    ship(docs.sparkSession)
+    folders = portions(benchmark, window, pass_words)
+    docs = docs.drop("n_words", "hits", "items")
+    if len(folders) > 1:
+        return _in_passes(docs, folders, window)
+    return _in_one_pass(docs, folders[0] if folders else None, window)
 
 
 def judge(found: DataFrame, share: int = SHARE) -> DataFrame:
