@@ -49,9 +49,20 @@ def test_phrases_equal_plain_parsing():
     got = parser.phrases(texts)
     for text, row in zip(texts, got):
         assert row.tolist() == [plain_phrases(text, references[n]) for n in parser.languages]
-    long = draw(3 * language.STRETCH + 7, 4)
-    parts = [long[s : s + language.STRETCH] for s in range(0, len(long), language.STRETCH)]
-    assert parser.phrases([long])[0].tolist() == parser.phrases(parts).sum(axis=0).tolist()
+
+
+@pytest.mark.parametrize("stretch, portion", [(512, 1 << 20), (7, 1 << 20), (16, 48), (1, 3)])
+def test_phrases_run_across_stretches(monkeypatch, stretch, portion):
+    """Whole texts, also where a stretch ends inside a phrase, a phrase spans stretches, or readings never fall into step."""
+    monkeypatch.setattr(language, "STRETCH", stretch)
+    monkeypatch.setattr(language, "PORTION", portion)
+    r = np.random.default_rng(3)
+    draw = lambda n, k: bytes((97 + r.integers(0, k, n)).tolist())
+    references = {"x": draw(300, 3), "y": draw(2000, 5), "z": b"aaa b", "w": b"abc" * 70}
+    parser = language.CrossParser(references)
+    texts = [draw(n, 4) for n in (5, 1543, 40, 700, 16)] + [b"a" * 1200, b"abc" * 400, references["y"], b"", references["y"][300:1700] + b"aaaa", b"a b " * 90]
+    for text, row in zip(texts, parser.phrases(texts)):
+        assert row.tolist() == [plain_phrases(text, references[n]) for n in parser.languages]
 
 
 def test_languages_of_held_out_documents(spark):

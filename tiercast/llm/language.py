@@ -9,8 +9,10 @@ the cross entropy; the language with the least wins.
 Text is lower-cased, and ASCII characters other than letters become single
 spaces; phrases are runs of the remaining UTF-8 bytes, so any script works.
 Many texts are parsed in lockstep: a text is cut into stretches of ``STRETCH``
-bytes, each parsed from a fresh phrase and added up, and one step moves all
-stretches by a byte in all automata at once.
+bytes, each first parsed from a fresh phrase; one step moves all stretches by a
+byte in all automata at once. Then every stretch is read again from where the one
+before it really ended, until both readings stand in the same state: from there
+on they agree. So the counts are those of the whole text.
 """
 
 from __future__ import annotations
@@ -114,20 +116,25 @@ class CrossParser:
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases each text needs in each language: one row a text."""
         out = np.zeros((len(texts), len(self.languages)), np.int64)
-        owner, parts, size = [], [], 0
+        owner, parts, size, before = [], [], 0, None
         for i, text in enumerate(texts):
             for s in range(0, len(text), STRETCH):
                 owner.append(i)
                 parts.append(text[s : s + STRETCH])
                 size += STRETCH
                 if size >= PORTION:
-                    self._parse(parts, owner, out)
+                    end = self._parse(parts, owner, out, before)
+                    before = end if s + STRETCH < len(text) else None
                     owner, parts, size = [], [], 0
         if parts:
-            self._parse(parts, owner, out)
+            self._parse(parts, owner, out, before)
         return out
 
-    def _parse(self, parts: list[bytes], owner: list[int], out: np.ndarray) -> None:
+    def _parse(self, parts: list[bytes], owner: list[int], out: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+        """Adds the phrases of stretches in text order; returns the states after the last one.
+
+        ``before``: the states after the stretch before the first one, if that goes on with its text.
+        """
         order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
         lengths = np.array([len(parts[i]) for i in order])
         symbols = np.zeros((STRETCH, len(parts)), np.int32)
@@ -141,7 +148,49 @@ class CrossParser:
             nxt = self.table[state[:, :n] + symbols[step, :n]]
             count[:, :n] -= nxt >> 31
             state[:, :n] = nxt & _PLACE
-        np.add.at(out, np.array(owner)[order], count.T)
+        place = np.argsort(order)
+        owner, lengths, ends = np.array(owner), lengths[place], state[:, place]
+        np.add.at(out, owner, count[:, place].T)
+
+        goes_on = np.concatenate(([before is not None], owner[1:] == owner[:-1]))
+        chain = np.cumsum(~goes_on)
+        fresh_ends, more = ends.copy(), np.zeros(ends.shape, np.int64)
+        starts = np.concatenate((ends[:, :1] if before is None else before[:, None], ends[:, :-1]), axis=1)
+        waiting = np.repeat(goes_on[None, :], len(ends), axis=0)
+        # First all at once, as if every stretch had come into step by its end; then, where one had not, those after it in order.
+        lang, part = np.nonzero(waiting)
+        while len(part):
+            waiting[lang, part] = False
+            more[lang, part], end, in_step = self._again(symbols, place[part], lengths[part], lang, starts[lang, part])
+            end = np.where(in_step, fresh_ends[lang, part], end)
+            moved = (end != ends[lang, part]) & (part + 1 < len(parts))
+            ends[lang, part] = end
+            lang, part, end = lang[moved], part[moved] + 1, end[moved]
+            waiting[lang, part] |= goes_on[part]
+            starts[lang, part] = end
+            lang, part = np.nonzero(waiting)
+            first = np.unique(lang * (len(parts) + 1) + chain[part], return_index=True)[1]
+            lang, part = lang[first], part[first]
+        np.add.at(out, owner, more.T)
+        return ends[:, -1]
+
+    def _again(self, symbols: np.ndarray, column: np.ndarray, lengths: np.ndarray, lang: np.ndarray, start: np.ndarray):
+        """Stretches read from ``start`` beside a fresh reading, until both agree or the stretch ends.
+
+        Returns the phrases that this reading has more, its state, and whether they agree.
+        """
+        more, end, in_step = np.zeros(len(column), np.int64), start.copy(), np.zeros(len(column), bool)
+        at, state, fresh, step = np.arange(len(column)), start, np.array(self.roots, np.int32)[lang], 0
+        while len(at):
+            symbol = symbols[step, column[at]]
+            state, fresh = self.table[state + symbol], self.table[fresh + symbol]
+            more[at] += (fresh >> 31) - (state >> 31)
+            state, fresh = state & _PLACE, fresh & _PLACE
+            end[at], in_step[at] = state, state == fresh
+            step += 1
+            on = (state != fresh) & (lengths[at] > step)
+            at, state, fresh = at[on], state[on], fresh[on]
+        return more, end, in_step
 
     def decide(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, score) of each text. The score is the lead of the winner in bits, as a share of the runner-up."""
