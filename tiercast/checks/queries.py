@@ -319,9 +319,12 @@ def _packed(wide: DataFrame, names: list[str], scale: int | None = None) -> Data
     return wide.select(*carried, F.array_join(F.array(*[c.cast("string") for c in cells]), ",").alias("cells"))
 
 
+def wide_features(w: Workspace) -> DataFrame:
+    return matrix.feature_matrix(w.at_risk().drop("engaged"), w.panel.training_usage, w.names)
+
+
 def feature_matrix(w: Workspace) -> DataFrame:
-    wide = matrix.feature_matrix(w.at_risk().drop("engaged"), w.panel.training_usage, w.names)
-    return _packed(wide, w.names)
+    return _packed(wide_features(w), w.names)
 
 
 def log_features(w: Workspace) -> DataFrame:
@@ -346,9 +349,13 @@ def unseen_features(w: Workspace) -> DataFrame:
     return matrix.unseen_features(w.live_features(), w.model_feature_table())
 
 
-def _live_matrix(w: Workspace) -> DataFrame:
+def wide_live(w: Workspace) -> DataFrame:
     p = w.panel
-    return _packed(live_matrix(w.tables.personas, w.grid, p.segments, p.usage_long, p.names, w.cfg), p.names)
+    return live_matrix(w.tables.personas, w.grid, p.segments, p.usage_long, p.names, w.cfg)
+
+
+def _live_matrix(w: Workspace) -> DataFrame:
+    return _packed(wide_live(w), w.panel.names)
 
 
 # --- a fixed model: scores, attributions and rankings that SQL repeats ---------
