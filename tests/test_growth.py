@@ -1,11 +1,12 @@
-"""Work that grows with users stays off the driver."""
+"""Work that grows with users stays off the driver, and fits have a bounded number of tasks."""
 
 import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
-from tiercast.operators import matrix, population, splits
+from tiercast.config import PanelConfig
+from tiercast.operators import boosting, matrix, population, splits
 
 DAY = dt.date(2024, 1, 31)
 
@@ -44,3 +45,9 @@ def test_rows_at_risk_and_folds_are_not_broadcast(spark, broadcasts):
     spread = splits.group_folds(rows, 5, 42)
     plan = spread._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=merge)" in plan
+
+
+def test_tasks_of_a_fit_end_somewhere():
+    cfg = PanelConfig()
+    assert [boosting.tasks_of(n, cfg) for n in (0, 4_999, 12_000, 320_000)] == [1, 1, 2, 64]
+    assert boosting.tasks_of(30_000_000, cfg) == boosting.MAX_TASKS
