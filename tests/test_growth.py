@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiercast.config import PanelConfig
-from tiercast.operators import boosting, matrix, population, splits
+from tiercast.operators import boosting, importance, matrix, population, splits
 
 DAY = dt.date(2024, 1, 31)
 
@@ -47,6 +47,14 @@ def test_rows_at_risk_and_folds_are_not_broadcast(spark, broadcasts):
     assert "rightHint=(strategy=merge)" in plan
 
 
+def test_cells_meet_the_mean_of_their_feature_where_they_are(spark):
+    """A shuffle by feature would send all cells of a feature to one task."""
+    phi = _users(spark).select("*", F.lit("f").alias("sub_feature"), F.lit(1.0).alias("value"), F.col("user_id").cast("double").alias("phi"))
+    out = importance.direction(
+        phi, phi.select("sub_feature", "value"), _users(spark), spark.createDataFrame([(0, "f")], "idx int, sub_feature string"))
+    assert "rightHint=(strategy=broadcast)" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_tasks_of_a_fit_end_somewhere():
     cfg = PanelConfig()
     assert [boosting.tasks_of(n, cfg) for n in (0, 4_999, 12_000, 320_000)] == [1, 1, 2, 64]

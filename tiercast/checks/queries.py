@@ -22,7 +22,7 @@ from tiercast.plans.run import PanelTables, prepare_run, read_facts, read_person
 from tiercast.plans.training import TrainingRun
 from tiercast.sources import metadata
 from tiercast.sources.sinks import read_segments
-from tiercast.sources.storage import fingerprint, fresh_path, write_through
+from tiercast.sources.storage import fingerprint, fresh_path, spread, write_through
 from tiercast.sources.tables import ingest_personas, scan
 from tiercast.sources.testdata import INPUTS, TEST_CONFIG, domain_tables
 
@@ -99,21 +99,27 @@ class Workspace:
 
     def surrogate_scores(self) -> DataFrame:
         """A score with many ties: the log of a row's events, shifted by user."""
+        return self._surrogate_scores
+
+    @cached_property
+    def _surrogate_scores(self) -> DataFrame:
         events = self.panel.usage_long.groupBy(*KEYS).agg(F.sum("early_events").alias("n"))
         value = F.log(1 + F.coalesce("n", F.lit(0))) + (F.col("user_id") % 7) / 10
-        return self.at_risk().join(events, KEYS, "left").select(
+        scored = self.at_risk().join(spread(events), KEYS, "left").select(
             *KEYS, "engaged", F.round(value, 2).alias("score")
         )
+        return write_through(scored, "surrogate-scores")  # metrics read scores twice: for buckets and for points
 
     @cached_property
     def surrogate_phi(self) -> DataFrame:
         """Centred feature values, with the sign turned for names of odd length."""
-        cells = self.training_set().unpivot(
+        # Written as rows: the mean and the cells each read them.
+        cells = write_through(self.training_set(), "surrogate-rows").unpivot(
             KEYS, [F.col(quoted(n)) for n in self.panel.names], "sub_feature", "n"
         ).withColumn("value", F.log1p(F.col("n").cast("double")))
         centre = cells.groupBy("sub_feature").agg(F.avg("value").alias("centre"))
         sign = F.when(F.length("sub_feature") % 2 == 0, 1.0).otherwise(-1.0)
-        phi = cells.join(centre, "sub_feature").select(
+        phi = cells.join(F.broadcast(centre), "sub_feature").select(  # as long as the names on the driver
             *KEYS, "sub_feature", "value", ((F.col("value") - F.col("centre")) * sign).alias("phi")
         )
         return write_through(phi, "surrogate-phi")
@@ -442,7 +448,7 @@ def oof_attribution_holds(w: Workspace) -> DataFrame:
     sums = run.phi.groupBy(*KEYS).agg(F.sum("phi").alias("phi"))
     log_odds = F.log(F.col("score") / (1 - F.col("score")))
     # A fold's base value is the same for all its rows: what is left after the attributions.
-    left = run.oof.scored.join(sums, KEYS, "left").select(
+    left = run.oof.scored.join(spread(sums), KEYS, "left").select(
         *KEYS, "fold", (log_odds - F.coalesce("phi", F.lit(0.0))).alias("base"))
     bases = left.groupBy("fold").agg(F.min("base").alias("low"), F.max("base").alias("high"))
     return left.join(F.broadcast(bases), "fold").select(  # one row a fold

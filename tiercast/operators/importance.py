@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tiercast.functions.columns import quoted
 from tiercast.operators.population import KEYS
+from tiercast.sources.storage import spread
 
 
 def _rankable(mean: Column) -> Column:
@@ -47,7 +48,8 @@ def direction(phi: DataFrame, values: DataFrame, rows: DataFrame, features: Data
     # Centred before summing: the difference of two large sums would lose its sign near 0.
     means = of_value.select("sub_feature", (F.col("_sv") / n_rows).alias("_mean"))
     co_moment = (
-        phi.join(means, "sub_feature", "left")
+        # One row a feature, and the names are on the driver: without the hint all cells go by feature to few tasks.
+        phi.join(F.broadcast(means), "sub_feature", "left")
         .groupBy("sub_feature")
         .agg(F.sum(F.col("phi") * (F.col("value") - F.coalesce("_mean", F.lit(0.0)))).alias("_covariance"))
     )
@@ -142,7 +144,7 @@ def per_row(scored: DataFrame, phi: DataFrame, top: Sequence[str]) -> DataFrame:
     labelled = scored.select(*KEYS, "engaged", F.col("score").alias("engaged_probability"))
     carried = labelled.columns
     wide = (
-        labelled.join(phi.filter(F.col("sub_feature").isin(*top)).select(*KEYS, "sub_feature", "phi"), KEYS, "left")
+        labelled.join(spread(phi.filter(F.col("sub_feature").isin(*top)).select(*KEYS, "sub_feature", "phi")), KEYS, "left")
         .groupBy(*carried)
         .pivot("sub_feature", list(top))
         .agg(F.sum("phi"))
