@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tiercast.config import PanelConfig
 from tiercast.operators import boosting, importance, matrix, population, splits
 from tiercast.plans.run import read_personas, write_personas
+from tiercast.sources.testdata import personas
 
 DAY = dt.date(2024, 1, 31)
 
@@ -72,3 +73,18 @@ def test_a_month_is_written_by_the_tasks_that_hold_it(spark, tmp_path):
     files = sum(f.endswith(".parquet") for d in folders for f in os.listdir(d))
     assert len(folders) == 40 and files <= len(folders) + 8
     assert read_personas(spark, f"{tmp_path}/run").count() == 4_000
+
+
+def test_days_of_the_tier_history_are_made_where_the_user_is(spark):
+    """No row of the history is shuffled or sorted to meet its count; a null user's counts meet nobody."""
+    usage = spark.createDataFrame(
+        [(1, dt.date(2024, 1, 30), 4), (1, dt.date(2024, 3, 5), 1), (None, dt.date(2024, 1, 31), 3)],
+        "user_id bigint, time_period date, event_count bigint")
+    history = personas(usage)
+    joins = [x for x in history._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftOuter" in x]
+    assert joins and not any("(d#" in x for x in joins)
+    rows = {(r.user_id, f"{r.score_date:%m-%d}"): r.user_category_persona for r in history.collect()}
+    assert rows == {
+        (1, "01-30"): "New", (1, "01-31"): "New", (1, "02-29"): "Inactive", (1, "03-01"): "Inactive",
+        (1, "03-30"): "Casual", (None, "01-31"): "Inactive", (None, "02-29"): "Inactive", (None, "03-01"): "Inactive",
+        (None, "03-30"): "Inactive"}

@@ -86,12 +86,6 @@ def personas(usage: DataFrame) -> DataFrame:
     probes = probe_days(usage)
     act = usage.groupBy("user_id", "time_period").agg(F.sum("event_count").alias("n"))
     first = act.groupBy("user_id").agg(F.min("time_period").alias("joined"))
-    dates = first.withColumn("_probes", _days(probes)).select(
-        "user_id", "joined",
-        F.explode(
-            F.array_union(F.array("joined"), F.filter("_probes", lambda d: d >= F.col("joined")))
-        ).alias("d"),
-    )
     # Calendar days a probe day looks back on: 30 rows per probe day.
     covered = probes.select("d", F.explode(F.sequence(F.date_sub("d", LOOK_BACK), F.col("d"))).alias("time_period"))
     on_probe = act.join(F.broadcast(covered), "time_period").select("user_id", "d", "n")
@@ -99,7 +93,15 @@ def personas(usage: DataFrame) -> DataFrame:
         F.broadcast(probes), F.col("time_period") == F.col("d"), "left_anti"
     ).select("user_id", F.col("time_period").alias("d"), "n")
     items = on_probe.unionByName(on_first).groupBy("user_id", "d").agg(F.sum("n").alias("items"))
-    n = F.coalesce("items", F.lit(0))
+    # At most one entry per probe day and user: the days are made after the join, so none is shuffled or sorted.
+    of_user = items.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("d", "items"))).alias("_items"))
+    dates = first.join(spread(of_user), "user_id", "left").withColumn("_probes", _days(probes)).select(
+        "user_id", "joined", "_items",
+        F.explode(
+            F.array_union(F.array("joined"), F.filter("_probes", lambda d: d >= F.col("joined")))
+        ).alias("d"),
+    )
+    n = F.coalesce(F.try_element_at("_items", "d"), F.lit(0))
     tier = (
         F.when(n == 0, "Inactive")
         .when(F.col("d") < F.date_add("joined", LOOK_BACK), "New")
@@ -108,7 +110,7 @@ def personas(usage: DataFrame) -> DataFrame:
         .when(n <= 8, "Power User")
         .otherwise("Elite Power User")
     )
-    return dates.join(spread(items), ["user_id", "d"], "left").select(
+    return dates.select(
         "user_id",
         F.col("user_id").alias("acct_id"),
         F.col("d").alias("score_date"),
