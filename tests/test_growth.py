@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiercast.config import PanelConfig
-from tiercast.operators import boosting, importance, matrix, population, splits
+from tiercast.operators import boosting, importance, matrix, population, ranks, splits
+from tiercast.plans.panel import nonzero_values
 from tiercast.sources.testdata import personas
 
 DAY = dt.date(2024, 1, 31)
@@ -48,6 +49,18 @@ def test_rows_at_risk_and_folds_are_not_broadcast(spark, broadcasts):
     assert "rightHint=(strategy=merge)" in plan
 
 
+@pytest.mark.parametrize("within", [[], ["group"]])
+def test_offsets_of_buckets_are_not_broadcast(spark, broadcasts, within):
+    """There are more of them with every user, up to all buckets of every group."""
+    users = _users(spark).select("user_id", (F.col("user_id") % 3).alias("group"), (F.col("user_id") * 2**26).alias("h"))
+    assert broadcasts(lambda u: ranks.rank_by_hash(u, "h", ["user_id"], "n", within), users) == 0
+
+
+def test_rows_are_not_broadcast_to_their_values(spark, broadcasts):
+    usage = _users(spark).select("*", F.lit("f").alias("sub_feature"), F.lit(1).cast("bigint").alias("early_events"))
+    assert broadcasts(nonzero_values, usage, _users(spark)) == 0
+
+
 def test_cells_meet_the_mean_of_their_feature_where_they_are(spark):
     """A shuffle by feature would send all cells of a feature to one task."""
     phi = _users(spark).select("*", F.lit("f").alias("sub_feature"), F.lit(1.0).alias("value"), F.col("user_id").cast("double").alias("phi"))

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tiercast.sources.storage import spread
+
 # Buckets over a uniform 32-bit hash: its upper 12 bits.
 HASH_BUCKETS = 4096
 _HASH_STEP = 2**32 // HASH_BUCKETS
@@ -26,7 +28,7 @@ def rank_by_hash(
     """
     bucketed = df.withColumn("_bucket", F.floor(F.col(hash_col) / _HASH_STEP).cast("int"))
     before = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most HASH_BUCKETS rows per group.
+    # At most HASH_BUCKETS rows per group, but more with every user until then. The rows already lie by these keys.
     offsets = (
         bucketed.groupBy(*within, "_bucket")
         .agg(F.count("*").alias("_n"))
@@ -36,7 +38,7 @@ def rank_by_hash(
     inside = Window.partitionBy(*within, "_bucket").orderBy(hash_col, *ties)
     return (
         bucketed.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*within, "_bucket"])
+        .join(spread(offsets), [*within, "_bucket"])
         .withColumn(name, F.col("_before") + F.col("_rn"))
         .drop("_bucket", "_before", "_rn")
     )
