@@ -61,6 +61,12 @@ def test_rows_are_not_broadcast_to_their_values(spark, broadcasts):
     assert broadcasts(nonzero_values, usage, _users(spark)) == 0
 
 
+def test_cells_of_the_table_per_row_are_not_broadcast(spark, broadcasts):
+    scored = _users(spark).select("*", F.lit(1).alias("engaged"), F.lit(0.5).alias("score"))
+    phi = _users(spark).select("*", F.lit("f").alias("sub_feature"), F.lit(1.0).alias("phi"))
+    assert broadcasts(lambda s, p: importance.per_row(s, p, ["f"]), scored, phi) == 0
+
+
 def test_cells_meet_the_mean_of_their_feature_where_they_are(spark):
     """A shuffle by feature would send all cells of a feature to one task."""
     phi = _users(spark).select("*", F.lit("f").alias("sub_feature"), F.lit(1.0).alias("value"), F.col("user_id").cast("double").alias("phi"))
