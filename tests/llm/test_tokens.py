@@ -4,13 +4,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import odd_documents
 from pyspark.sql import functions as F
 
 from tiercast.llm import packing, records
 from tiercast.llm.common import read
-from tiercast.llm.tokens import encoder, vocabulary_path
+from tiercast.llm.tokens import Encoder, PieceStore, encoder, vocabulary_path
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -33,6 +34,27 @@ def test_pieces_give_the_ids_of_the_whole_text(plain):
         assert np.frombuffer(enc.encode(t), enc.dtype).tolist() == plain(t), repr(t)
 
 
+def test_words_are_kept_and_not_the_pieces_they_stand_in(plain):
+    """A word before a comma and before a stop is one word; only what words cannot tell goes to the library by piece."""
+    enc = Encoder(vocabulary_path())
+    texts = ["a tea, tea. coffee. coffee, tea, 你好", "a coffee, tea. 你好 tea  "]
+    for _ in range(2):
+        ids, begins = enc.encode_all(pa.array(texts))
+        assert [ids[i:j].tolist() for i, j in zip(begins, begins[1:])] == [plain(t) for t in texts]
+    stores = [s for s in vars(enc).values() if isinstance(s, PieceStore)]
+    assert sorted(w for s in stores for w in s.numbers) == sorted(["a", " tea", " coffee", ",", ".", " 你好", "  "])
+
+
+@pytest.mark.parametrize("kept", [0, 2, 5])
+def test_a_full_store_changes_no_id(plain, kept):
+    enc, r = Encoder(vocabulary_path(), kept), random.Random(kept)
+    words = ["tea,", "café", "你好", "don't", "12½", "—", "", "\n", "river.", "x"]
+    for _ in range(50):
+        texts = [" ".join(r.choices(words, k=r.randint(0, 9))) for _ in range(5)]
+        ids, begins = enc.encode_all(pa.array(texts))
+        assert [ids[i:j].tolist() for i, j in zip(begins, begins[1:])] == [plain(t) for t in texts]
+
+
 def expected(rows, plain, end):
     return {d: plain(t) + [end] for d, t in rows}
 

@@ -1,9 +1,10 @@
 """Token ids of whole texts, and documents laid out in id order.
 
 The vocabulary is a public file read by the ``tokenizers`` library. Byte-level
-BPE treats every piece between two safe borders on its own. The texts of a
-slice are cut into pieces by Arrow; only pieces not met before are looked at
-closer, and the ids of the texts are put together by offsets.
+BPE treats every piece between two safe borders on its own. Arrow cuts the
+texts of a slice into pieces and keeps each distinct one once; these are cut
+into words, of which only those not met before go to the merges. The ids of the
+texts are put together by offsets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Text encoded at once, and pieces and their characters kept per Python worker; beyond them a
 #: store starts anew. No result depends on them.
 SLICE_BYTES = 4 << 20
-KEPT_PIECES, KEPT_CHARACTERS = 600_000, 16 << 20
+KEPT_PIECES, KEPT_CHARACTERS = 1_200_000, 16 << 20
 
 # A space before anything that may be white space: a superset of what byte-level BPE calls so.
 _SPACES = r" [\x00-\x20\x7f-\x{a0}\p{Z}]"
@@ -34,7 +35,7 @@ _SPLIT = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+"
     f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
-_BEYOND = re.compile("[^\0-ɏ]")
+_BEYOND = r"[^\x00-\x{24f}]"
 
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
@@ -88,20 +89,19 @@ class PieceStore:
         self._start(pieces, *self.ids(kept))
 
     def look_up(self, pieces: list[str], encode) -> np.ndarray:
-        """A number for each of ``pieces``; ``encode`` gives (ids, sizes) of those not met before."""
+        """A number for each of ``pieces``, all distinct; ``encode`` gives (ids, sizes) of those not met before."""
         numbers = self.numbers
         found = np.fromiter(map(numbers.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(found < 0)
         self._again = found[found >= 0]
         if len(missing):
-            unmet = list(map(pieces.__getitem__, missing.tolist()))
-            new = list(dict.fromkeys(unmet))
-            numbers.update(zip(new, count(len(numbers))))
+            new = list(map(pieces.__getitem__, missing.tolist()))
+            found[missing] = np.arange(len(numbers), len(numbers) + len(new))
             ids, sizes = encode(new)
+            numbers.update(zip(new, count(len(numbers))))
             self.flat = np.concatenate((self.flat, ids.astype(self.dtype)))
             self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
             self.characters += sum(map(len, new))
-            found[missing] = np.fromiter(map(numbers.__getitem__, unmet), np.int64, len(unmet))
         return found
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,10 +111,14 @@ class PieceStore:
         return self.flat[runs(starts, sizes)], sizes
 
 
+def listed(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def numbered(values: pa.Array) -> tuple[list[str], np.ndarray]:
     """The distinct strings, and for each value the place of its own."""
     coded = values.dictionary_encode()
-    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+    return listed(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
 
 
 def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,9 +129,9 @@ class Encoder:
     """Ids of texts, ``width`` bytes each.
 
     A text is cut before each space that a non-space follows; no token of the
-    vocabulary crosses such a border. New pieces of characters up to U+024F are
+    vocabulary crosses such a border. Pieces of characters up to U+024F are
     cut further by the vocabulary's own split, and only new words go to its
-    merges; other pieces go to the library whole.
+    merges; other new pieces go to the library whole.
     """
 
     def __init__(self, path: str, kept: int = KEPT_PIECES):
@@ -140,7 +144,7 @@ class Encoder:
         self.width = 2 if self.size <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self._letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        self._heads, self._pieces, self._words = (PieceStore(self.dtype, kept) for _ in range(3))
+        self._heads, self._far, self._words = (PieceStore(self.dtype, kept) for _ in range(3))
 
     def token_bytes(self) -> list[bytes]:
         """The bytes that each id stands for."""
@@ -160,22 +164,23 @@ class Encoder:
                 w.replace(" ", space) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters))]
             for w in words])
 
-    def _after_space(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces that each follow a space: the known ones' words end to end, the rest by the library."""
-        text = " ".join(["", *pieces])
-        far = np.zeros(len(pieces), bool)
-        if "" in pieces or _BEYOND.search(text):
-            far = np.array([not p or _BEYOND.search(p) is not None for p in pieces], bool)
-        near = [p for p, f in zip(pieces, far) if not f]
-        words = _SPLIT.findall(" ".join(["", *near]) if far.any() else text)
-        ends = np.cumsum(np.fromiter(map(len, near), np.int64, len(near)) + 1)
-        cuts = np.searchsorted(np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), ends) + 1
+    def _after_space(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces that each follow a space: by their words, or by the library."""
+        if not len(pieces):
+            return np.empty(0, self.dtype), np.zeros(0, np.int64)
+        far = pc.or_(pc.equal(pieces, ""), pc.match_substring_regex(pieces, _BEYOND)).to_numpy(zero_copy_only=False)
+        near = pieces.filter(pa.array(~far)) if far.any() else pieces
+        words = pa.array(_SPLIT.findall(" ".join(["", *listed(near)])), pa.string())
+        ends = np.cumsum(pc.utf8_length(near).to_numpy().astype(np.int64) + 1)
+        cuts = np.searchsorted(np.cumsum(pc.utf8_length(words).to_numpy(), dtype=np.int64), ends) + 1
+        distinct, codes = numbered(words)
         self._words.room()
-        ids, sizes = self._words.ids(self._words.look_up(words, self._merged))
+        ids, sizes = self._words.ids(self._words.look_up(distinct, self._merged)[codes])
         sizes = np.diff(bounds(sizes)[np.concatenate(([0], cuts))])
         if not far.any():
             return ids, sizes
-        more, more_sizes = self._whole([" " + p for p, f in zip(pieces, far) if f])
+        self._far.room()
+        more, more_sizes = self._far.ids(self._far.look_up([" " + p for p in listed(pieces.filter(pa.array(far)))], self._whole))
         order = np.argsort(np.concatenate((np.flatnonzero(~far), np.flatnonzero(far))))
         starts, all_sizes = bounds(np.concatenate((sizes, more_sizes))), np.concatenate((sizes, more_sizes))[order]
         return np.concatenate((ids, more))[runs(starts[order], all_sizes)], all_sizes
@@ -203,19 +208,17 @@ class Encoder:
         begins = bounds(per_text)
         is_head = np.zeros(begins[-1], bool)
         is_head[begins[:-1][bare]] = True
-        pieces, codes = numbered(lists.flatten().filter(pa.array(~is_head)))
+        pieces = lists.flatten().filter(pa.array(~is_head)).dictionary_encode()
         heads, head_codes = numbered(pc.list_element(lists, 0).filter(pa.array(bare)))
-        self._pieces.room()
+        ids, piece_sizes = self._after_space(pieces.dictionary)
         self._heads.room()
-        ids, sizes = self._pieces.ids(self._pieces.look_up(pieces, self._after_space)[codes])
-        if not heads:
-            return ids, bounds(sizes)[begins]
-        head_ids, head_sizes = self._heads.ids(self._heads.look_up(heads, self._whole)[head_codes])
+        head_ids, head_sizes = self._heads.ids(self._heads.look_up(heads, self._whole))
         # Put together: the run of each piece lies either among the pieces' ids or, behind them, among the heads'.
-        starts, all_sizes = np.empty(begins[-1], np.int64), np.empty(begins[-1], np.int64)
-        starts[~is_head], starts[is_head] = bounds(sizes)[:-1], len(ids) + bounds(head_sizes)[:-1]
-        all_sizes[~is_head], all_sizes[is_head] = sizes, head_sizes
-        return np.concatenate((ids, head_ids))[runs(starts, all_sizes)], bounds(all_sizes)[begins]
+        run = np.empty(begins[-1], np.int64)
+        run[~is_head], run[is_head] = pieces.indices.to_numpy(), len(piece_sizes) + head_codes
+        sizes = np.concatenate((piece_sizes, head_sizes))
+        starts, sizes = bounds(sizes)[run], sizes[run]
+        return np.concatenate((ids, head_ids))[runs(starts, sizes)], bounds(sizes)[begins]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
