@@ -68,3 +68,14 @@ def test_folds_of_unlike_sizes_are_laid_out_by_their_own_tasks(spark):
     for k in (0, 3):
         alone = boosting.fit(rows.filter(F.col("fold") != k), 2.0, cfg)
         assert models[k].toDebugString.split("\n")[1:] == alone.toDebugString.split("\n")[1:]
+
+
+def test_values_are_read_once_for_the_direction(spark, counted):
+    phi = spark.range(20).select(
+        F.col("id").alias("user_id"), F.lit(DAY).alias("snapshot_t"), F.lit("f").alias("sub_feature"),
+        F.col("id").cast("double").alias("value"), F.col("id").cast("double").alias("phi"))
+    count, seen = counted
+    out = importance.direction(
+        phi, count(phi.select("sub_feature", "value")), phi.select("user_id", "snapshot_t"),
+        spark.createDataFrame([(0, "f")], "idx int, sub_feature string"))
+    assert out.first().direction == 1.0 and seen() == 20

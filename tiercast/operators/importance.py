@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tiercast.functions.columns import quoted
 from tiercast.operators.population import KEYS
-from tiercast.sources.storage import spread
+from tiercast.sources.storage import spread, write_through
 
 
 def _rankable(mean: Column) -> Column:
@@ -37,10 +37,10 @@ def direction(phi: DataFrame, values: DataFrame, rows: DataFrame, features: Data
     ``values`` are the nonzero (sub_feature, value) pairs of the rows.
     """
     n_rows = rows.agg(F.count("*")).scalar()
-    of_value = values.groupBy("sub_feature").agg(
+    of_value = write_through(values.groupBy("sub_feature").agg(
         F.count("*").alias("_nv"), F.sum("value").alias("_sv"),
         F.min("value").alias("_minv"), F.max("value").alias("_maxv"),
-    )
+    ), "of-value")  # one row a feature, read for the means and for the result
     of_phi = phi.groupBy("sub_feature").agg(
         F.count("*").alias("_np"),
         F.min("phi").alias("_minp"), F.max("phi").alias("_maxp"),
