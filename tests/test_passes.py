@@ -79,3 +79,26 @@ def test_values_are_read_once_for_the_direction(spark, counted):
         phi, count(phi.select("sub_feature", "value")), phi.select("user_id", "snapshot_t"),
         spark.createDataFrame([(0, "f")], "idx int, sub_feature string"))
     assert out.first().direction == 1.0 and seen() == 20
+
+
+def test_labels_are_dealt_once_for_the_permuted_fits(work, counted, monkeypatch):
+    count, seen = counted
+    deal = splits.permute_labels
+    monkeypatch.setattr(splits, "permute_labels", lambda *a, **k: count(deal(*a, **k)))
+    TrainingRun(work.panel, replace(work.cfg, model=ModelParams(trees=1))).permuted
+    assert seen() == work.panel.rows.count()
+
+
+def test_rows_are_scored_once_for_the_metrics_in_sample(work):
+    assert "signature" not in plan_of(work.run.fold_metrics())
+
+
+def test_segment_coverage_joins_nothing(spark):
+    personas = spark.createDataFrame(
+        [(1, 7, DAY), (1, 8, DAY), (2, 9, DAY), (None, 5, DAY), (3, None, DAY)], "user_id int, acct_id int, score_date date")
+    segments = spark.createDataFrame(
+        [(1, DAY, "Paid"), (1, DAY, "Other"), (None, DAY, "Paid"), (9, DAY, "Paid")], "user_id int, snapshot_t date, customer_segment string")
+    days = spark.createDataFrame([(DAY,)], "snapshot_t date")
+    out = population.segment_coverage(personas, segments, days)
+    assert tuple(out.first()) == (1, 3) and "Join" not in plan_of(out)
+    assert tuple(population.segment_coverage(personas.limit(0), segments, days).first()) == (0, 0)
