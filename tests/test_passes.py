@@ -102,3 +102,14 @@ def test_segment_coverage_joins_nothing(spark):
     out = population.segment_coverage(personas, segments, days)
     assert tuple(out.first()) == (1, 3) and "Join" not in plan_of(out)
     assert tuple(population.segment_coverage(personas.limit(0), segments, days).first()) == (0, 0)
+
+
+def test_usage_is_read_once_for_the_tier_history(spark, counted):
+    usage = spark.createDataFrame(
+        [(1, dt.date(2024, 1, 30), 4), (1, dt.date(2024, 3, 5), 1), (2, dt.date(2024, 1, 31), None), (None, DAY, 3), (3, None, 2)],
+        "user_id bigint, time_period date, event_count bigint")
+    count, seen = counted
+    rows = {(r.user_id, r.score_date and f"{r.score_date:%m-%d}"): r.user_category_persona for r in personas(count(usage)).collect()}
+    assert seen() == 2 * 5  # the span of its days, and the rows
+    assert rows[1, "01-30"] == "New" and rows[1, "03-30"] == "Casual" and rows[2, "01-31"] == "Inactive" and rows[3, None] == "Inactive"
+    assert rows[None, "01-31"] == "Inactive" and len(rows) == 5 + 4 + 4 + 1
