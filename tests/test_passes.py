@@ -113,3 +113,24 @@ def test_usage_is_read_once_for_the_tier_history(spark, counted):
     assert seen() == 2 * 5  # the span of its days, and the rows
     assert rows[1, "01-30"] == "New" and rows[1, "03-30"] == "Casual" and rows[2, "01-31"] == "Inactive" and rows[3, None] == "Inactive"
     assert rows[None, "01-31"] == "Inactive" and len(rows) == 5 + 4 + 4 + 1
+
+
+def test_grid_days_and_horizon_of_a_run_need_no_shuffle(spark, tmp_path):
+    days = spark.range(50).select(
+        F.col("id").alias("user_id"), F.col("id").alias("acct_id"), F.lit(DAY).alias("score_date"),
+        F.lit("Core").alias("user_category_persona"), F.lit(False).alias("is_test_a"), F.lit(False).alias("is_test_b"))
+    runs.write_personas(days, str(tmp_path))
+    runs.write_facts(spark, str(tmp_path), PanelConfig())
+    assert "Aggregate" not in plan_of(runs.read_spans(spark, str(tmp_path)))
+    grid = spark.createDataFrame(
+        [(DAY, dt.date(2024, 1, 2), dt.date(2024, 3, 1), True, True)],
+        "snapshot_t date, window_start date, check_day date, is_training boolean, is_live boolean")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)  # a shuffle would leave one file
+    try:
+        copies = spark.read.parquet(f"{tmp_path}/personas").inputFiles()
+        runs.write_tier_days(spark, str(tmp_path), grid)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    back = runs.read_tier_days(spark, str(tmp_path))
+    assert back.count() == 50 and len(copies) > 1 and len(back.inputFiles()) > 1
